@@ -120,18 +120,20 @@ def regular_grid(
         F.max(F.when(has, F.col("m"))).alias("m_last"), F.max_by("v", F.when(has, F.col("m"))).alias("v_last"),
     )
     sums = [f"a{i}_{j}" for i, j in pairs] + [f"b{i}" for i in range(p)]
-    normal = summary.groupBy("source").agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums])
+    normal = summary.groupBy("source").agg(F.sum("wanted").alias("wanted"), F.sum("n").alias("n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums])
+    normal = normal.filter("wanted > 0").drop("wanted")  # a source without grid rows needs no model
     source_type = moments.schema["source"].dataType.simpleString()
     model = normal.mapInPandas(_solver(p, ridge), f"source {source_type}, beta array<double>")
 
     order = Window.partitionBy("source").orderBy("block")
     back = Window.partitionBy("source").orderBy(F.col("block").desc())
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
+    # All uses of ``moments`` need all its columns, so its exchanges are planned and run once.
     ends = summary.select(
-        "source", "block",
+        "source", "block", "wanted",
         *[F.last(c, ignorenulls=True).over(before).alias(a) for c, a in (("m_last", "m_in"), ("v_last", "v_in"))],
         *[F.last(c, ignorenulls=True).over(after).alias(a) for c, a in (("m_first", "m_out"), ("v_first", "v_out"))],
-    ).join(model, "source", "left")
+    ).filter("wanted > 0").drop("wanted").join(model, "source", "left")
 
     rows = moments.join(ends, ["source", "block"], "left")
     at = Window.partitionBy("source", "block").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
