@@ -45,7 +45,7 @@ def candidate_readings(words: DataFrame, vocab: DataFrame, *, limit: int = 5) ->
     prior = F.when(F.col("max_rank") > 0, F.lit(1.0) - F.col("rank") / F.col("max_rank")).otherwise(0.0)
     scored = both.withColumn("raw", (F.lit(1.0) - F.col("prob")) * F.col("sim") * (F.lit(0.5) + F.lit(0.5) * prior))
     order = Window.partitionBy("word", "prob").orderBy(F.col("raw").desc(), "reading")
-    return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("word", "prob", "reading", F.round("raw", 4).alias("score"), "tier", "reading_key", "position")
+    return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("word", "prob", "reading", F.round(F.col("raw") + F.lit(1e-12), 4).alias("score"), "tier", "reading_key", "position")
 
 
 def doubtful_words(segments: DataFrame, *, id: str, logprob: str = "avg_logprob", words: str = "words", below: float = -0.8, word_below: float = 0.5, limit: int = 3) -> DataFrame:
