@@ -79,7 +79,7 @@ def regular_grid(
     grid_ms: int = 100,
     period_ms: float = 16_970.0,
     harmonics: int = 2,
-    ridge: float = 1.0e-3,
+    ridge: float = 1.0e-4,
     block_moments: int = 4096,
     lowest: float | None = None,
 ) -> DataFrame:

@@ -142,8 +142,8 @@ def tracks(sightings: DataFrame, keys: list[str], *, label: str = "label", least
 def live_tracks(track_log: DataFrame, keys: list[str], now_ms: int, *, lifetime_ms: int = 60_000) -> DataFrame:
     """(keys, thing, track, x, y, conf, hits, age_ms, rank): tracks alive at a time, most hits first, then latest."""
     past = track_log.filter(F.col("t_ms") <= now_ms)
-    last = past.groupBy(*keys, "thing", "track").agg(F.max_by(F.struct("x", "y", "conf", "hits", "t_ms"), F.struct("t_ms", "hits")).alias("s"))
-    live = last.select(*keys, "thing", "track", "s.x", "s.y", "s.conf", "s.hits", (F.lit(now_ms) - F.col("s.t_ms")).alias("age_ms")).filter(F.col("age_ms") <= lifetime_ms)
+    last = past.groupBy(*keys, "thing", "track").agg(F.max_by(F.struct("x", "y", "conf", "hits", "t_ms"), F.struct("t_ms", "hits")).alias("__s"))
+    live = last.select(*keys, "thing", "track", "__s.x", "__s.y", "__s.conf", "__s.hits", (F.lit(now_ms) - F.col("__s.t_ms")).alias("age_ms")).filter(F.col("age_ms") <= lifetime_ms)
     return live.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "thing").orderBy(F.col("hits").desc(), "age_ms", "track")))
 
 
