@@ -2,8 +2,8 @@
 
 A linear-chain model tags every token of a segment as speaker, timestamp, annotation, filler or
 speech; Viterbi decodes the best sequence; segments and turns are assembled from the tags alone. The
-model is an averaged structured perceptron over shape, bracket, position and roster features. It is
-trained here, on hand-labelled lines (SEEDS) and on at most ``train_rows`` transcript rows that label
+model is a structured perceptron over shape, bracket, position and roster features. It is
+trained here, on hand-labelled lines (seed_lines) and on at most ``train_rows`` transcript rows that label
 themselves: a row's ``words`` hold what was spoken, so aligning text and words tells spoken tokens
 from the rest.
 
@@ -30,30 +30,29 @@ SPEAKER, TIMESTAMP, ANNOTATION, FILLER, SPEECH = range(5)
 
 # Number words that a speaker label may use.
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty").split()
-# Hand-labelled lines; the letter after '/' is the tag's first letter, z stands for speech.
-SEEDS = (
-    "Operator:/s hold/z on/z um/f the/z bell/z",
-    "[00:00:45]/t Operator:/s right/z um/f --/z so/z",
-    "(00:53)/t speaker/s one:/s can/z you/z look/z",
-    "<00:55.8>/t Hold/z on/z",
-    "1:24/t We/z lost/z erm.../f the/z lamp/z",
-    "00:00:24.986/t -->/t 00:00:26.986/t >>/s SOUND/s DESK:/s that/z is/z 24/z onsets/z",
-    "S1:/s note:/z the/z curtain/z is/z out/z of/z frame/z",
-    "warning:/z the/z belt/z moved/z",
-    "Note:/z the/z lamp/z fell/z (applause)/a",
-    "[music]/a the/z gate/z [/a hum/a of/a a/a fan/a ]/a is/z here/z",
-    "*clears/a throat*/a Um.../f yes/z",
-    "♪/a uh-huh/f",
-    "{static}/a mm-hmm,/f okay/z <noise>/a",
-    "(sighs/a softly)/a I/z think/z",
-    "operator/s -/s mark/z that/z one/z",
-    "**Operator:**/s Yes./z",
-    "[Operator]/s did/z anyone/z hear/z",
-    "SPK_01:/s the/z door/z at/z 10:30/t",
-    "Operator./s :/s what/z",
-    "Operator/s ：/s what/z now/z",
-    "in/z about/z 45/z seconds/z hm/f",
-)
+# Parts of hand-labelled lines. A body's tokens carry the first letter of their tag, z for speech.
+LABEL_FORMS = ("", "Operator:", "**Operator:**", ">> OPERATOR:", "[Operator]", "(Operator)", "<operator>", "operator -", "Operator. :", "Operator ：", "S1:", "SPK_01:", "Speaker 1:", "speaker one:", "Oprator:", "Sound Desk:", "**Sound Desk:**", ">> SOUND DESK:", "[Sound Desk]", "(Sound Desk)", "<sound_desk>", "sound desk -", "Sound-Desk. :", "Sound Desk ：", "Sond Desk:")
+CLOCK_FORMS = ("", "[00:00:45]", "(00:53)", "<00:55.8>", "1:24", "00:00:24.986 --> 00:00:26.986")
+BODIES = (
+    "hold/z on/z um/f the/z bell/z", "right/z um/f --/z so/z the/z door/z", "can/z you/z look/z up/z", "We/z lost/z erm.../f the/z lamp/z", "note:/z the/z curtain/z is/z out/z of/z frame/z",
+    "warning:/z the/z belt/z moved/z", "Note:/z the/z lamp/z fell/z (applause)/a", "the/z gate/z [/a hum/a of/a a/a fan/a ]/a is/z here/z", "*clears/a throat*/a Um.../f yes/z", "♪/a uh-huh/f",
+    "{static}/a mm-hmm,/f okay/z <noise>/a", "(sighs/a softly)/a I/z think/z so/z", "[music]/a that/z is/z 24/z onsets/z", "the/z door/z at/z 10:30/t", "in/z about/z 45/z seconds/z hm/f", "yes/z",
+    "the/z sound/z [crosstalk]/a uh.../f came/z back/z", "Umm/f um.../f", "45/z seconds/z in/z",
+)
+
+
+def seed_lines() -> list[list[tuple[str, str]]]:
+    """Hand-labelled lines: every label form with every clock form, before and after it, over bodies in turn."""
+    out = []
+    for label in LABEL_FORMS:
+        for clock in CLOCK_FORMS:
+            parts = [[(x, "s") for x in label.split()], [(x, "t") for x in clock.split()]]
+            for order in (parts, parts[::-1])[: 2 if label and clock else 1]:
+                for k in range(3):
+                    body = BODIES[(len(out) + k) % len(BODIES)]
+                    out.append([*order[0], *order[1], *[tuple(x.rsplit("/", 1)) for x in body.split()]])
+    return out
+
 
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 _CLOCK = re.compile(r"[\[(<{]*\d{1,3}(?::\d{2}){1,2}(?:[.,]\d+)?[\])>},.?!]*")
@@ -239,14 +238,17 @@ def self_label(text: str, words: list[str], roster: Roster) -> list[int] | None:
     return out
 
 
-def train(rows: list[tuple[str, list[str]]], roster: Roster, epochs: int = 4) -> Tagger:
-    """Averaged structured perceptron over SEEDS and the rows that label themselves; no randomness."""
+def train(rows: list[tuple[str, list[str]]], roster: Roster, epochs: int = 30) -> Tagger:
+    """Structured perceptron over seed_lines and the rows that label themselves; no randomness.
+
+    It ends with the first pass without a mistake; where none comes, the average of all weights seen
+    is the model.
+    """
     data = []
-    first = {t[0]: k for k, t in enumerate(TAGS)} | {"z": SPEECH}
-    seeds = Roster.of([(1, "Operator"), (2, "Sound Desk"), *[(i + 3, n) for i, n in enumerate(roster.names)]])
-    for line in SEEDS:
-        pairs = [x.rsplit("/", 1) for x in line.split()]
-        data.append((features([a for a, _ in pairs], seeds), [first[b] for _, b in pairs]))
+    first = {"s": SPEAKER, "t": TIMESTAMP, "a": ANNOTATION, "f": FILLER, "z": SPEECH}
+    seeds = Roster.of([(1, "Operator"), (2, "Sound Desk")])
+    for line in seed_lines():
+        data.append((features([a for a, _ in line], seeds), [first[b] for _, b in line]))
     for text, words in rows:
         if (gold := self_label(text, words, roster)) is not None:
             data.append((features(tokens(text), roster), gold))
@@ -278,7 +280,8 @@ def train(rows: list[tuple[str, list[str]]], roster: Roster, epochs: int = 4) ->
                 step_sums[before_p, p] -= n
                 before_g, before_p = g, p
         if not wrong:
-            break
+            model.seen.clear()
+            return model
     n += 1
     return Tagger({x: w - sums[x] / n for x, w in model.weights.items()}, model.steps - step_sums / n)
 
