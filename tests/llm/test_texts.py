@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 
 from chronoloom.llm import leak
@@ -67,16 +68,12 @@ WORDS = "the quiet lamp near wide harbour turns while seven gulls cross under co
 
 
 def brute(texts, items, n):
-    con = connect()
-    words = lambda t: con.execute(f"select {leak.words_sql()} from (select ? as text)", [t]).fetchone()[0].split()
+    split = lambda pairs: [(k, w.split()) for (k, _), w in zip(pairs, leak._words(connect(), pa.array([t or "" for _, t in pairs])))]
     out = []
-    for d, t in texts:
-        w = words(t or "")
+    wanted = [(i, {tuple(v[k : k + n]) for k in range(len(v) - n + 1)}) for i, v in split(items)]
+    for d, w in split(texts):
         grams = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
-        for i, x in items:
-            v = words(x or "")
-            if any(tuple(v[k : k + n]) in grams for k in range(len(v) - n + 1)):
-                out.append((d, i))
+        out += [(d, i) for i, own in wanted if own & grams]
     return sorted(out, key=repr)
 
 
