@@ -21,6 +21,12 @@ def _one_shorter(key):
     return F.array_distinct(F.concat(F.array(key), cut))
 
 
+def _keyed(df: DataFrame, word: str) -> DataFrame:
+    """Rows with a phonetic key. The key comes out of a generator, or the optimizer would push the test
+    for it below the aggregation that made the words distinct and work it out once per token."""
+    return df.withColumn("key", F.explode(F.array(phonetic_key(F.col(word))))).filter("key <> ''")
+
+
 def near_keys(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(key, near): pairs of different phonetic keys one edit apart. Runs on distinct keys, as an equi-join."""
     a = words.select("key").distinct().withColumn("part", F.explode(_one_shorter(F.col("key"))))
@@ -35,8 +41,9 @@ def candidate_readings(words: DataFrame, vocab: DataFrame, *, limit: int = 5) ->
     frequent words of the vocabulary come first; the word itself is no reading. Words without letters
     have none. prob is null-safe as 0. Ties are broken by the reading.
     """
-    w = words.select("word", F.coalesce(F.col("prob"), F.lit(0.0)).alias("prob")).distinct().withColumn("key", phonetic_key(F.col("word"))).filter("key <> ''")
-    v = vocab.select(F.col("word").alias("reading"), "rank").withColumn("key", phonetic_key(F.col("reading"))).filter("key <> ''")
+    w = words.select("word", F.coalesce(F.col("prob"), F.lit(0.0)).alias("prob")).distinct()
+    w = _keyed(w, "word")
+    v = _keyed(vocab.select(F.col("word").alias("reading"), "rank"), "reading")
     top = F.broadcast(vocab.agg(F.max("rank").alias("max_rank")))
     exact = w.join(v, "key").select("word", "prob", "reading", "rank", F.lit("exact").alias("tier"), F.lit(1.0).alias("sim"), F.col("key").alias("reading_key"))
     keys = near_keys(w, v)

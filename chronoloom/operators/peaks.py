@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators.grid import framed, max_abs_diff_curve
 from chronoloom.operators.ordered import sessions
 from chronoloom.operators.robust import global_threshold, local_threshold
+from chronoloom.session import materialise
 
 
 def local_maxima(curve: DataFrame, keys: list[str], *, index: str = "m", value: str = "v", reach: int = 2) -> DataFrame:
@@ -42,8 +43,10 @@ def min_gap(peaks: DataFrame, keys: list[str], gap: int, *, index: str = "m", va
 
     Candidates ``gap`` or more apart cannot affect each other, so the stream falls into independent
     clusters; single candidates never leave the JVM and only real clusters are walked in Arrow
-    batches, many to a batch.
+    batches, many to a batch. Peaks are few beside the curve they come from, so they are written out
+    once instead of being found again for every use.
     """
+    peaks = materialise(peaks)
     clustered = sessions(peaks, keys, index, gap, closed=True, name="__cluster")
     order = [*keys, "__cluster"]
     sizes = clustered.groupBy(*order).agg(F.count(F.lit(1)).alias("__n"))
