@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.session import materialise
 from chronoloom.timekeys import floor_div, seconds_to_ms
 
 TAGS = ("speaker", "timestamp", "annotation", "filler", "speech")
@@ -367,7 +368,9 @@ def speaker_turns(segments: DataFrame, speakers: DataFrame, *, run="run_id", id=
         raise ValueError(f"more than {max_speakers} speakers")
     roster = Roster.of([(r[0], r[1]) for r in listed])
     tagger = fit_tagger(segments, roster, text=text, words=words, id=id, train_rows=train_rows)
-    return label_turns(clean_segments(segments, tagger, roster, run=run, id=id, start=start, text=text, words=words), block_ms=block_ms)
+    # The model reads each text once; the passes below come back to its answers four times.
+    clean = materialise(clean_segments(segments, tagger, roster, run=run, id=id, start=start, text=text, words=words))
+    return label_turns(clean, block_ms=block_ms)
 
 
 def turn_spans(labelled: DataFrame) -> DataFrame:
