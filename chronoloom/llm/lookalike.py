@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.session import materialise
+
 # Letters of other scripts that are drawn as a Latin letter.
 LOOK_ALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j",
@@ -118,10 +120,13 @@ def consistent_form(df: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def look_keys(df: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, look, exact): MD5 of the consistent form and of the text; rows without a text are left out."""
+    """(id, look, exact): MD5 (16 bytes) of the consistent form and of the text; rows without a text are left out.
+
+    The keys are written out once, as both uses of them would otherwise normalise every text again.
+    """
     slim, kind = _slim(df.filter(F.col(text).isNotNull()), id, text)
-    fields = [T.StructField("id", kind), T.StructField("look", T.StringType()), T.StructField("exact", T.StringType())]
-    return slim.mapInArrow(_run("id, md5(form) AS look, md5(text) AS exact"), T.StructType(fields))
+    fields = [T.StructField("id", kind), T.StructField("look", T.BinaryType()), T.StructField("exact", T.BinaryType())]
+    return materialise(slim.mapInArrow(_run("id, unhex(md5(form)) AS look, unhex(md5(text)) AS exact"), T.StructType(fields)))
 
 
 def look_classes(df: DataFrame, id: str, text: str) -> DataFrame:
