@@ -118,7 +118,7 @@ def sql() -> dict[str, str]:
         "qualify row_number() over (partition by run_id order by strength desc, t asc nulls last, event_id) <= 5",
         "p7_found": f"with d as ({pieces('documents', 'doc_id')}), e as ({pieces('eval_items', 'item_id')}) select distinct doc_id, item_id from d join e using (piece)",
         "p9_found": f"with f as (select doc_id, text, {form_sql()} as form from documents where text is not null), "
-        "t as (select form, text, min(doc_id) as first_id from f group by 1, 2) "
+        "t as (select form, text, doc_id as first_id from f qualify row_number() over (partition by form, text order by doc_id) <= 8) "
         "select distinct least(f.doc_id, t.first_id) as doc_id_a, greatest(f.doc_id, t.first_id) as doc_id_b from f join t on f.form = t.form and f.text <> t.text",
         "p9_forms": f"select doc_id, {form_sql()} as form from documents",
         "p9_classes": f"with f as (select doc_id, text, {form_sql()} as form from documents where text is not null) "

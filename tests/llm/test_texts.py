@@ -61,7 +61,9 @@ def test_pairs_classes_and_copies(spark):
 def test_copies_stay_linear(spark):
     df = docs(spark, [(i, "copy" if i % 2 else "сopy") for i in range(600)])
     got = rows(look_pairs(df, "doc_id", "text"))
-    assert len(got) == 599 and {i for p in got for i in p} == set(range(600))
+    assert len(got) == 300 * 8 * 2 - 8 * 8 and {i for p in got for i in p} == set(range(600))
+    few = docs(spark, [(i, "copy" if i % 2 else "сopy") for i in range(10)])
+    assert len(rows(look_pairs(few, "doc_id", "text"))) == 25
 
 
 WORDS = "the quiet lamp near wide harbour turns while seven gulls cross under copper light and every small boat keeps to its own slow line".split()
