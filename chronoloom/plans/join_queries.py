@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators import audit, grid, joins, peaks
+from chronoloom.operators import audit, gaze, grid, joins, resample
 from chronoloom.operators.binding import greedy_pairs
 from chronoloom.plans.binding_queries import _HEAD
 from chronoloom.plans.common import CURVE, EV, GRID, WIDE, curve, events, of_type, r
@@ -158,7 +158,23 @@ def flow_onsets_by_user(spark, d):
     return out.select("user_id", "session", "n", "first_ms")
 
 
+def interpolated_values(spark, d):
+    """Each error's value on the line between the views around it."""
+    left = _kind(spark, d, "error").select("user_id", "event_id", "ms")
+    right = _kind(spark, d, "view").select("user_id", "ms", "value")
+    return resample.interpolate(left, right, U, "ms", "ms", "value", id="event_id", block=24 * HOUR).select("event_id", F.round(F.col("value") + F.lit(1e-9), 5).alias("value"))
+
+
+def gaze_lookup(spark, d):
+    """Where a user's eyes are at each view, with purchases as saccades."""
+    sac = _kind(spark, d, "purchase").select("user_id", F.col("ms").alias("t_on"), F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
+    moves = gaze.movements(sac, U, per_px=1_000_000.0)
+    pts = _kind(spark, d, "view").select("user_id", "event_id", "ms")
+    return gaze.gaze_at(pts, moves, U, "ms").select("event_id", r("x", 4), r("y", 4), "suppressed")
+
+
 _NAMES = (
+    interpolated_values, gaze_lookup,
     asof_gaze, asof_gaze_clamped, nearest_moment, interval_contains_list, event_at_first, bucket_list, first_following_within, coincidence_semi, near_in_space, overlap_pairs,
     span_to_moments, speech_share, equi_left_fill, update_merge, topk_priority_union, systematic_sample, top_windows, occupancy_top3, run_diff, first_divergences, grouping_sets, set_algebra, flow_onsets_by_user,
 )
@@ -181,6 +197,11 @@ def _run_diff_sql() -> str:
 
 
 SQL = {
+    "interpolated_values": f"with {EV}, {_K('l', 'error')}, {_K('v', 'view')}, a as (select l.*, v.ms as t0, v.value as v0 from l asof left join v on l.user_id = v.user_id and l.ms >= v.ms), b as (select a.*, v.ms as t1, v.value as v1 from a asof left join v on a.user_id = v.user_id and a.ms <= v.ms) "
+    "select event_id, round(coalesce(case when t0 is null then v1 when t1 is null or t1 = t0 then v0 else v0 + (v1 - v0) * (ms - t0) / (t1 - t0) end, null) + 1e-9, 5) as value from b",
+    "gaze_lookup": f"with {EV}, s as (select user_id, ms as t0, value as x1, event_id % 100 as y1, lag(value, 1, 112.0) over w as x0, lag(event_id % 100, 1, 112) over w as y0 from ev where event_type = 'purchase' window w as (partition by user_id order by ms)), "
+    f"m as (select *, t0 + 21 + 2.2 * sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) * 1000000 as t1 from s), {_K('v', 'view')} select v.event_id, round(case when t0 is null then 112 when v.ms < t1 then x0 else x1 end, 4) as x, "
+    "cast(round(case when t0 is null then 112 when v.ms < t1 then y0 else y1 end, 4) as double) as y, coalesce(v.ms < t1, false) as suppressed from v asof left join m on v.user_id = m.user_id and v.ms >= m.t0",
     "asof_gaze": f"with {EV}, {_K('l', 'error')}, {_K('v', 'view')} select l.event_id, v.ms as view_ms, v.event_id as view_id from l asof left join v on l.user_id = v.user_id and l.ms >= v.ms",
     "asof_gaze_clamped": f"with {EV}, {_K('l', 'error')}, {_K('v', 'view')}, f as (select user_id, arg_min(event_id, (ms, event_id)) as id from v group by 1), j as (select l.event_id, l.user_id, v.event_id as view_id from l asof left join v on l.user_id = v.user_id and l.ms >= v.ms) "
     "select event_id, coalesce(view_id, f.id) as view_id from j left join f using (user_id)",
