@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from chronoloom.llm.lookalike import LOOK_ALIKES, connect, form_sql
+from chronoloom.llm.lookalike import LOOK_ALIKES, connect, form_sql, mapped
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,11 +43,8 @@ def words_sql(text: str = "text") -> str:
     return f"coalesce(nullif(' ' || trim({spaced}) || ' ', '  '), '')"
 
 
-def _words(con, texts: pa.Array) -> list[str]:
-    con.register("batch", pa.table([pa.array(range(len(texts)), pa.int64()), texts.cast(pa.string())], names=["i", "text"]))
-    out = [w for (w,) in con.execute(f"SELECT {words_sql()} FROM batch ORDER BY i").fetchall()]
-    con.unregister("batch")
-    return out
+def _words(con, texts: list[str]) -> list[str]:
+    return mapped(con, texts, words_sql(), lambda ps: "".join([p[:-1] for p in ps if p]) + (" " if any(ps) else ""))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -232,10 +229,10 @@ def leaked_items(
             block.append(row)
             size += len(row[1])
             if size >= block_chars:
-                yield list(zip([r[0] for r in block], _words(con, pa.array([r[1] for r in block], pa.string()))))
+                yield list(zip([r[0] for r in block], _words(con, [r[1] for r in block])))
                 block, size = [], 0
         if block:
-            yield list(zip([r[0] for r in block], _words(con, pa.array([r[1] for r in block], pa.string()))))
+            yield list(zip([r[0] for r in block], _words(con, [r[1] for r in block])))
 
     out = None
     for block in blocks():
@@ -247,7 +244,7 @@ def leaked_items(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             con, index = connect(), shared.value
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), _words(con, batch.column(1))
+                ids, texts = batch.column(0).to_pylist(), _words(con, batch.column(1).to_pylist())
                 lo = 0
                 while lo < len(ids):
                     hi, size = lo, 0

@@ -1,6 +1,6 @@
 """One consistent form for texts that look the same but differ in their characters.
 
-Each Arrow batch is handed to an in-process DuckDB whose embedded SQL does the work: nfc_normalize
+Arrow batches are handed to an in-process DuckDB whose embedded SQL does the work: nfc_normalize
 composes accents, one translate maps compatibility forms, spaces and look-alike letters, a regular
 expression drops invisible characters, and a second nfc_normalize composes what these steps laid
 bare. Case, accents and raised or lowered digits are part of the look and stay.
@@ -8,6 +8,7 @@ bare. Case, accents and raised or lowered digits are part of the look and stay.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +31,9 @@ LOOK_ALIKES = {
 }
 # Compatibility decompositions whose result looks like the character itself.
 SAME_LOOK_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
+# Blocks whose compatibility characters are drawn as several others side by side: digraphs,
+# dots and double marks, Roman numerals, Latin and Armenian ligatures.
+SIDE_BY_SIDE = ((0x0132, 0x0149), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x0587, 0x0587), (0x2025, 0x2026), (0x203C, 0x203C), (0x2047, 0x2049), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
 # Characters without a glyph of their own (RE2 class).
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
 
@@ -55,7 +59,10 @@ def character_maps() -> tuple[dict[str, str], dict[str, str]]:
             to = "".join(letter(x) for x in unicodedata.normalize("NFKC", c))
             if to == c or not to or any(unicodedata.combining(x) or x == " " for x in to):
                 continue
-            (single if len(to) == 1 else many)[c] = to
+            if len(to) == 1:
+                single[c] = to
+            elif any(a <= code <= b for a, b in SIDE_BY_SIDE):
+                many[c] = to
         elif parts and not parts[0].startswith("<"):
             # An accented look-alike: ё is drawn as ë.
             base, *marks = unicodedata.normalize("NFD", c)
@@ -96,16 +103,47 @@ def connect():
     return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "autoinstall_known_extensions": False})
 
 
-def _run(columns: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        con = connect()
-        for batch in batches:
-            con.register("batch", pa.table([batch.column(0), batch.column(1).cast(pa.string())], names=["id", "text"]))
-            got = con.sql(f"SELECT {columns} FROM (SELECT id, text, {form_sql()} AS form FROM batch)").to_arrow_table()
-            con.unregister("batch")
-            yield from got.to_batches()
+PIECE_CHARS = 50_000
+CALL_CHARS = 1_000_000
+
 
-    return run
+def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
+    """A long text cut where nothing composes across: before a sign or space if there is one, else a letter.
+
+    Only a run of letters half a piece long is ever cut inside.
+    DuckDB holds a copy of a string per step of an expression, so what it gets at once is kept small.
+    """
+    out, start = [], 0
+
+    def cuts(c: str, letters: bool) -> bool:
+        return c in " \n\r\t" or unicodedata.category(c)[0] in ("ZPSLN" if letters else "ZPS") and not "\u1100" <= c <= "\u11ff"
+
+    while len(text) - start > size:
+        high, low = start + size, start + size // 2
+        at = next((k for k in range(high, low, -1) if cuts(text[k], False)), None)
+        at = at or next((k for k in range(high, low, -1) if cuts(text[k], True)), None)
+        at = at or next((k for k in range(high, len(text)) if cuts(text[k], True)), len(text))
+        out.append(text[start:at])
+        start = at
+    return [*out, text[start:]] if start < len(text) or not out else out
+
+
+def mapped(con, texts: list[str | None], sql: str, glue=None) -> list[str | None]:
+    """An SQL expression of ``text`` for every text, run by DuckDB over pieces; glue joins a text's results."""
+    parts = [(i, p) for i, t in enumerate(texts) if t is not None for p in (pieces(t) if len(t) > PIECE_CHARS else (t,))]
+    got: list[list[str]] = [[] for _ in texts]
+    lo = 0
+    while lo < len(parts):
+        hi, size = lo, 0
+        while hi < len(parts) and (hi == lo or size + len(parts[hi][1]) <= CALL_CHARS):
+            size += len(parts[hi][1])
+            hi += 1
+        con.register("batch", pa.table([pa.array(range(lo, hi), pa.int64()), pa.array([p for _, p in parts[lo:hi]], pa.string())], names=["n", "text"]))
+        for (i, _), (x,) in zip(parts[lo:hi], con.execute(f"SELECT {sql} FROM batch ORDER BY n").fetchall()):
+            got[i].append(x)
+        con.unregister("batch")
+        lo = hi
+    return [None if t is None else g[0] if len(g) == 1 else (glue or "".join)(g) for t, g in zip(texts, got)]
 
 
 def _slim(df: DataFrame, id: str, text: str) -> tuple[DataFrame, T.DataType]:
@@ -115,7 +153,14 @@ def _slim(df: DataFrame, id: str, text: str) -> tuple[DataFrame, T.DataType]:
 def consistent_form(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, form): one row per row of ``df``; a null text has a null form, an empty one an empty form."""
     slim, kind = _slim(df, id, text)
-    out = slim.mapInArrow(_run("id, form"), T.StructType([T.StructField("id", kind), T.StructField("form", T.StringType())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        con = connect()
+        for batch in batches:
+            forms = mapped(con, batch.column(1).to_pylist(), form_sql())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], names=["id", "form"])
+
+    out = slim.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("form", T.StringType())]))
     return out.withColumnRenamed("id", id)
 
 
@@ -125,8 +170,17 @@ def look_keys(df: DataFrame, id: str, text: str) -> DataFrame:
     The keys are written out once, as both uses of them would otherwise normalise every text again.
     """
     slim, kind = _slim(df.filter(F.col(text).isNotNull()), id, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        con = connect()
+        md5 = lambda x: hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            keys = [pa.array([md5(x) for x in xs], pa.binary()) for xs in (mapped(con, texts, form_sql()), texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *keys], names=["id", "look", "exact"])
+
     fields = [T.StructField("id", kind), T.StructField("look", T.BinaryType()), T.StructField("exact", T.BinaryType())]
-    return materialise(slim.mapInArrow(_run("id, unhex(md5(form)) AS look, unhex(md5(text)) AS exact"), T.StructType(fields)))
+    return materialise(slim.mapInArrow(run, T.StructType(fields)))
 
 
 def look_classes(df: DataFrame, id: str, text: str) -> DataFrame:

@@ -90,6 +90,8 @@ class Roster:
 
     def meant(self, label: str) -> int | None:
         label = squeeze(label)
+        if len(label) > 200:
+            return self._meant(label)
         if label not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()

@@ -1,12 +1,11 @@
 import random
 import unicodedata
 
-import pyarrow as pa
 import pytest
 
 from chronoloom.llm import leak
 from chronoloom.llm.leak import leaked_items
-from chronoloom.llm.lookalike import LOOK_ALIKES, connect, consistent_form, form_sql, look_classes, look_pairs
+from chronoloom.llm.lookalike import LOOK_ALIKES, connect, consistent_form, form_sql, look_classes, look_pairs, mapped, pieces
 from tests.conftest import rows
 
 DOC = "doc_id bigint, text string, id string, form string, look string"
@@ -50,6 +49,23 @@ def test_form_against_unicodedata():
         assert con.execute(f"select {form_sql()} from (select ? as text)", [t]).fetchone()[0] == unicodedata.normalize("NFC", x)
 
 
+def test_long_texts_are_cut_where_nothing_composes(monkeypatch):
+    rng = random.Random(6)
+    pool = "ab é\u0301\u200d ﬁо,\n" + "e\u0301" * 3
+    con = connect()
+    for n in (0, 1, 40, 3000):
+        t = "".join(rng.choice(pool) for _ in range(n))
+        w = "".join("".join(rng.choice("abé\u0301ﬁо") for _ in range(rng.randrange(1, 6))) + rng.choice(" ,\n") for _ in range(n))
+        whole = mapped(con, [t, None], form_sql()), leak._words(con, [w])
+        with monkeypatch.context() as m:
+            m.setattr("chronoloom.llm.lookalike.PIECE_CHARS", 16)
+            m.setattr("chronoloom.llm.lookalike.pieces", lambda x: pieces(x, 16))
+            m.setattr("chronoloom.llm.lookalike.CALL_CHARS", 50)
+            assert (mapped(con, [t, None], form_sql()), leak._words(con, [w])) == whole
+        assert "".join(pieces(t, 7)) == t
+    assert len(pieces("x" * 500, 50)) == 10 and pieces("\u0301" * 500, 50) == ["\u0301" * 500]
+
+
 def test_pairs_classes_and_copies(spark):
     df = docs(spark, [(1, "abc"), (2, "abс"), (3, "abc"), (4, "ABC"), (5, None), (6, ""), (7, "\u200b"), (8, "аbc"), (9, "lone")])
     assert rows(look_pairs(df, "doc_id", "text")) == [(1, 2), (1, 8), (2, 3), (2, 8), (3, 8), (6, 7)]
@@ -70,7 +86,7 @@ WORDS = "the quiet lamp near wide harbour turns while seven gulls cross under co
 
 
 def brute(texts, items, n):
-    split = lambda pairs: [(k, w.split()) for (k, _), w in zip(pairs, leak._words(connect(), pa.array([t or "" for _, t in pairs])))]
+    split = lambda pairs: [(k, w.split()) for (k, _), w in zip(pairs, leak._words(connect(), [t or "" for _, t in pairs]))]
     out = []
     wanted = [(i, {tuple(v[k : k + n]) for k in range(len(v) - n + 1)}) for i, v in split(items)]
     for d, w in split(texts):
