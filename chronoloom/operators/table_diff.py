@@ -68,11 +68,11 @@ def unequal_cells(left: DataFrame, right: DataFrame, key: str, columns: list[str
     every = (1 << len(columns)) - 1
     keys_differ = ~(F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.c0").eqNullSafe(F.col("b.c0")))
     bits = [F.when(~F.col(f"a.c{i + 1}").eqNullSafe(F.col(f"b.c{i + 1}")), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(len(columns))]
-    mask = F.when(keys_differ, F.lit(every + 0).cast("bigint")).otherwise(reduce(lambda x, y: x.bitwiseOR(y), bits, F.lit(0).cast("bigint")))
+    mask = F.when(keys_differ, F.lit(every).cast("bigint")).otherwise(reduce(lambda x, y: x.bitwiseOR(y), bits, F.lit(0).cast("bigint")))
     return j.select("bucket", mask.alias("mask"), keys_differ.alias("keys_differ")).filter(F.col("keys_differ") | (F.col("mask") != 0))
 
 
-def _differs(name: str, tolerance: float | None, floating: bool) -> Column:
+def _differs(name: str, tolerance: float | None) -> Column:
     x, y = F.col(f"x.{name}"), F.col(f"y.{name}")
     if tolerance is not None:
         same = x.eqNullSafe(y) | F.coalesce(F.abs(x.cast("double") - y.cast("double")) <= F.lit(tolerance), F.lit(False))
@@ -121,7 +121,7 @@ def table_diff(
     issues = [
         F.when(F.col("y.here").isNull(), F.lit(missing_in_right)),
         F.when(F.col("x.here").isNull(), F.lit(missing_in_left)),
-        *[F.when(both & _differs(c, tolerances.get(c), isinstance(left.schema[c].dataType, _FLOATS)), F.lit(c)) for c in needed],
+        *[F.when(both & _differs(c, tolerances.get(c)), F.lit(c)) for c in needed],
     ]
     out = joined.select(F.coalesce(F.col(f"x.{key}"), F.col(f"y.{key}")).alias(key), F.explode(F.filter(F.array(*issues), lambda i: i.isNotNull())).alias("issue"))
     return out.distinct()
