@@ -39,7 +39,7 @@ def _hash_input(df: DataFrame, name: str, tolerance: float | None) -> Column:
 
 
 def _bucket(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(buckets).cast("bigint")).cast("int")
+    return F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(buckets).cast("bigint"))
 
 
 def checksum_matrix(df: DataFrame, key: str, columns: list[str], buckets: int, tolerances: dict[str, float] | None = None) -> DataFrame:
