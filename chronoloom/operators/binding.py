@@ -98,7 +98,8 @@ def pair_summary(pairs: DataFrame, left: DataFrame, right: DataFrame, *, window_
         F.count(F.lit(1)).alias("n_bound"), F.count_if(F.col("dt_ms") > 0).alias("n_after"), F.count_if(F.col("dt_ms") < 0).alias("n_before"), F.count_if(F.col("dt_ms") == 0).alias("n_same"),
         F.avg(away).alias("mean_abs_dt"), F.percentile(away, F.lit(0.5)).alias("median_abs_dt"), *[F.count_if(away <= w).alias(f"bound_{w}") for w in tight_ms],
     )
-    row = F.broadcast(l).join(F.broadcast(r)).join(F.broadcast(p))  # three one-row aggregates
+    three = l.unionByName(r, allowMissingColumns=True).unionByName(p, allowMissingColumns=True)
+    row = three.agg(*[F.max(c).alias(c) for c in three.columns])
     seconds = duration_s if duration_s is not None else F.greatest("l_max", "r_max") / F.lit(1000.0)
     rate = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d))
     row = row.withColumn("duration_s", seconds)

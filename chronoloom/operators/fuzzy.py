@@ -44,12 +44,12 @@ def candidate_readings(words: DataFrame, vocab: DataFrame, *, limit: int = 5) ->
     w = words.select("word", F.coalesce(F.col("prob"), F.lit(0.0)).alias("prob")).distinct()
     w = _keyed(w, "word")
     v = _keyed(vocab.select(F.col("word").alias("reading"), "rank"), "reading")
-    top = F.broadcast(vocab.agg(F.max("rank").alias("max_rank")))
+    top = vocab.agg(F.max("rank")).first()[0] or 0
     exact = w.join(v, "key").select("word", "prob", "reading", "rank", F.lit("exact").alias("tier"), F.lit(1.0).alias("sim"), F.col("key").alias("reading_key"))
     keys = near_keys(w, v)
     near = w.join(keys, "key").join(v.withColumnRenamed("key", "near"), "near").select("word", "prob", "reading", "rank", F.lit("near").alias("tier"), F.lit(0.5).alias("sim"), F.col("near").alias("reading_key"))
-    both = exact.unionByName(near).filter(F.lower(F.trim("word")) != F.col("reading")).join(top)
-    prior = F.when(F.col("max_rank") > 0, F.lit(1.0) - F.col("rank") / F.col("max_rank")).otherwise(0.0)
+    both = exact.unionByName(near).filter(F.lower(F.trim("word")) != F.col("reading"))
+    prior = F.lit(1.0) - F.col("rank") / F.lit(float(top)) if top > 0 else F.lit(0.0)
     scored = both.withColumn("raw", (F.lit(1.0) - F.col("prob")) * F.col("sim") * (F.lit(0.5) + F.lit(0.5) * prior))
     order = Window.partitionBy("word", "prob").orderBy(F.col("raw").desc(), "reading")
     return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("word", "prob", "reading", F.round(F.col("raw") + F.lit(1e-12), 4).alias("score"), "tier", "reading_key", "position")

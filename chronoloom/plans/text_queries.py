@@ -79,8 +79,8 @@ def vocab_min_rank(spark, d):
 
 def phonetic_candidates(spark, d):
     words = _words(spark, d)
-    top = F.broadcast(words.agg(F.max("n").alias("top")))
-    vocab = words.join(top).select("word", (F.col("top") - F.col("n")).alias("rank"))
+    top = words.agg(F.max("n")).first()[0] or 0
+    vocab = words.select("word", (F.lit(top) - F.col("n")).alias("rank"))
     out = fuzzy.candidate_readings(words.select("word", F.lit(0.0).alias("prob")), vocab)
     return out.select("word", "reading", r("score", 4), "tier", "reading_key", F.col("position").cast("bigint").alias("position"))
 
