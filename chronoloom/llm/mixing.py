@@ -177,10 +177,10 @@ def mix(
     chosen = used.select(F.col("id").alias(id), "source", "n_tokens", "repeats")
 
     spent = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
-    total = spent.agg(F.sum("tokens").alias("total"))
     goals = spark.createDataFrame([(s, goal[s], weights.get(s, 0.0), cap[s]) for s in cap], "source string, target_share double, weight double, max_repeats bigint")
     zero = F.lit(0).cast("bigint")
-    shares = goals.join(spent, "source", "left").join(F.broadcast(total)).select(
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # over at most max_targets rows
+    shares = goals.join(spent, "source", "left").withColumn("total", total).select(
         "source", "target_share", F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), "weight",
         F.coalesce("tokens", zero).alias("tokens"), F.coalesce("documents", zero).alias("documents"), "max_repeats", F.coalesce("most_repeats", zero).alias("most_repeats"),
     )
