@@ -65,7 +65,7 @@ def shift_null_candidates(spark, d):
 def bind_shift_null(spark, d):
     left, right = _sides(spark, d)
     start = lambda df: df.withColumn("ms", F.col("ms") - F.lit(_ORIGIN))
-    return shift_null(start(left), start(right), WIDE, grid_ms=GRID, duration_ms=_DURATION, tight_ms=60_000, n_shifts=20, margin_ms=36_000_000)
+    return shift_null(start(left), start(right), WIDE, grid_ms=GRID, duration_ms=_DURATION, tight_ms=60_000, margin_ms=36_000_000)
 
 
 def chance_rates(spark, d):

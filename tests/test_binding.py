@@ -74,3 +74,24 @@ def test_chance_constants(spark):
     got = df.select(poisson_rate(F.col("n"), F.col("d"), F.col("w")).alias("p"), grid_rate(F.col("n"), F.col("d"), F.col("w")).alias("g")).collect()
     assert [x["p"] and round(x["p"], 3) for x in got] == [0.397, 0.498, 0.096, None, None]
     assert round(got[2]["g"], 4) == 0.1409
+
+
+def test_registered_null_draws_two_hundred_shifts(spark, data):
+    from statistics import mean
+
+    from chronoloom.plans import binding_queries as B
+
+    left, right = ([(x["ms"] - B._ORIGIN, x["strength"]) for x in side.orderBy("id").collect()] for side in B._sides(spark, data))
+    shifts = null_shifts(B._DURATION, B.GRID, 200, 20261014, 36_000_000)
+    bound, away = [], []
+    for s in shifts:
+        turned = [((t + s) % B._DURATION, v) for t, v in right]
+        pairs = brute(left, turned, B.WIDE)
+        bound.append(len(pairs) / len(left))
+        if pairs:
+            away.append(mean(abs(left[i][0] - turned[j][0]) for i, j in pairs))
+    seen = len(brute(left, right, B.WIDE)) / len(left)
+    got = {x["statistic"]: x for x in B.bind_shift_null(spark, data).collect()}
+    assert len(set(shifts)) > 20
+    assert got["bound_rate"]["null_mean"] == pytest.approx(mean(bound)) and got["mean_abs_dt"]["null_mean"] == pytest.approx(mean(away))
+    assert got["bound_rate"]["percentile"] == pytest.approx(100 * mean(b <= seen for b in bound))
