@@ -195,18 +195,22 @@ def look_classes(df: DataFrame, id: str, text: str) -> DataFrame:
     return keys.join(looks, "look").select(F.col("id").alias(id), "class_id", "n_texts")
 
 
-def look_pairs(df: DataFrame, id: str, text: str, names: tuple[str, str] = ("id_a", "id_b"), copies: int = 8) -> DataFrame:
+def look_pairs(df: DataFrame, id: str, text: str, names: tuple[str, str] = ("id_a", "id_b"), copies: int | None = 8) -> DataFrame:
     """(id_a, id_b), the smaller first: texts that differ in characters but share their consistent form.
 
     Every two different texts of one look are linked. Up to ``copies`` exact copies of a text are
     paired out in full; beyond that each row is still paired with the first ``copies`` rows of every
     other text of its look, so n copies beside d variants give at most n * d * copies rows, never
-    n * n. Null texts match nothing; an empty table gives no rows.
+    n * n. With ``copies`` None every pair of rows comes out. Null texts match nothing; an empty table
+    gives no rows.
     """
     keys = look_keys(df, id, text)
     texts = keys.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n"))
     varied = texts.groupBy("look").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("look")
     rows = keys.join(varied, "look", "left_semi")
+    if copies is None:
+        every = rows.alias("r").join(rows.alias("f"), F.expr("r.look = f.look and r.exact < f.exact"))
+        return every.select(F.least("r.id", "f.id").alias(names[0]), F.greatest("r.id", "f.id").alias(names[1])).distinct()
     nth = F.row_number().over(Window.partitionBy("look", "exact").orderBy("id"))
     firsts = rows.withColumn("nth", nth).filter(F.col("nth") <= copies).select("look", "exact", F.col("id").alias("first_id"))
     linked = rows.alias("r").join(firsts.alias("f"), F.expr("r.look = f.look and r.exact <> f.exact"))

@@ -80,7 +80,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return look_pairs(table(spark, d, "documents"), "doc_id", "text", ("doc_id_a", "doc_id_b"))
+    return look_pairs(table(spark, d, "documents"), "doc_id", "text", ("doc_id_a", "doc_id_b"), copies=None)
 
 
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:

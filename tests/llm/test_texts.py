@@ -82,6 +82,13 @@ def test_copies_stay_linear(spark):
     assert len(rows(look_pairs(few, "doc_id", "text"))) == 25
 
 
+def test_p9_found_names_every_pair_of_copies(spark, tmp_path):
+    from chronoloom.llm.queries import p9_found
+
+    docs(spark, [(i, "copy" if i % 2 else "сopy") for i in range(20)]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(p9_found(spark, str(tmp_path))) == sorted(((a, b) for a in range(20) for b in range(a + 1, 20, 2)), key=repr)
+
+
 WORDS = "the quiet lamp near wide harbour turns while seven gulls cross under copper light and every small boat keeps to its own slow line".split()
 
 
