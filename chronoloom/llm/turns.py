@@ -112,18 +112,21 @@ def tokens(text: str) -> list[str]:
     return text.split()
 
 
-def _brackets(toks: list[str], reach: int = 8) -> list[tuple[int, int, str]]:
-    """(first, last, kind) of closed bracket groups of at most ``reach`` tokens."""
+def _brackets(toks: list[str]) -> list[tuple[int, int, str]]:
+    """(first, last, kind) of closed bracket groups, however long."""
     out, i = [], 0
+    unclosed: set[str] = set()  # what no later token closes is not searched for again
     while i < len(toks):
         opener = "**" if toks[i].startswith("**") else toks[i][0]
         close = "**" if opener == "**" else _OPEN.get(opener)
-        if close:
-            for j in range(i, min(i + reach, len(toks))):
+        if close and close not in unclosed:
+            for j in range(i, len(toks)):
                 if close in (toks[j][len(opener) :] if j == i else toks[j]):
                     out.append((i, j, opener))
                     i = j
                     break
+            else:
+                unclosed.add(close)
         i += 1
     return out
 

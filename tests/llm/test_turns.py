@@ -40,6 +40,22 @@ def test_segments_are_read(tagger, roster, text, want):
     assert T.read_segment(text, tagger, roster) == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Operator: (the whole crowd slowly starts to laugh and clap)", (1, "")), ("S2: the gate [ the low hum of a very old fan in the hall ] is here", (2, "the gate is here")),
+        ("Narrator: (the lamp is out", (2, "(the lamp is out")),
+    ],
+)
+def test_long_annotations_go(tagger, roster, text, want):
+    assert T.read_segment(text, tagger, roster) == want
+
+
+def test_unclosed_brackets_are_no_group():
+    assert T._brackets("( a ( b [ c ]".split()) == [(4, 6, "[")]
+    assert T._brackets(["("] * 100_000) == []
+
+
 def test_viterbi_is_the_best_path(tagger):
     import itertools
 
