@@ -5,7 +5,8 @@ Keys are hashed into buckets. For each bucket and column either copy gives an ad
 bucket); partial sums are built where the rows lie. Unequal cells of the two matrices name the
 buckets and the columns that can hold a difference. Only those columns of rows in those buckets are
 read again, joined on the key and compared exactly, so the hashes never decide a result: equal
-buckets are skipped, unequal ones are checked value by value.
+buckets are skipped, unequal ones are checked value by value. Buckets in which a key has several
+different rows are checked too: there the same rows in both copies still differ from each other.
 
 A number compared within a tolerance enters the hash as its nearest multiple of the tolerance, so
 two values in one cell are never further apart than the tolerance; noise over a cell's edge only
@@ -72,6 +73,20 @@ def unequal_cells(left: DataFrame, right: DataFrame, key: str, columns: list[str
     return j.select("bucket", mask.alias("mask"), keys_differ.alias("keys_differ")).filter(F.col("keys_differ") | (F.col("mask") != 0))
 
 
+def conflicting_cells(df: DataFrame, key: str, columns: list[str], buckets: int, tolerances: dict[str, float] | None = None) -> DataFrame:
+    """(bucket, mask, keys_differ): every bit for the buckets in which a key has more than one distinct row.
+
+    One copy is enough to ask: where the other's differ, the matrices do.
+    """
+    tolerances = tolerances or {}
+    parts = [p for x in (_hash_input(df, c, tolerances.get(c)) for c in columns) for p in (x.isNull(), x)]
+    hashed = df.filter(F.col(key).isNotNull()).select(F.col(key), *[F.xxhash64(F.lit(seed), *parts).alias(f"h{seed}") for seed in (1, 2)])
+    ends = [f(f"h{seed}").alias(f"{n}{seed}") for seed in (1, 2) for n, f in (("lo", F.min), ("hi", F.max))]
+    several = hashed.groupBy(key).agg(*ends).filter("lo1 <> hi1 or lo2 <> hi2")
+    every = F.lit((1 << len(columns)) - 1).cast("bigint")
+    return several.select(_bucket(key, buckets).alias("bucket")).distinct().select("bucket", every.alias("mask"), F.lit(False).alias("keys_differ"))
+
+
 def _differs(name: str, tolerance: float | None) -> Column:
     x, y = F.col(f"x.{name}"), F.col(f"y.{name}")
     if tolerance is not None:
@@ -105,7 +120,7 @@ def table_diff(
     rows = max(left.count(), right.count())  # footers only
     buckets = max(16, -(-rows // rows_per_bucket))
     left, right = (df.select(key, *columns) for df in (left, right))
-    cells = materialise(unequal_cells(left, right, key, columns, buckets, tolerances))
+    cells = materialise(unequal_cells(left, right, key, columns, buckets, tolerances).unionByName(conflicting_cells(left, key, columns, buckets, tolerances)))
     found = cells.agg(F.bit_or("mask").alias("mask"), F.bool_or("keys_differ").alias("keys")).first()
     if found["keys"] is None:
         return left.select(F.col(key), F.lit(None).cast("string").alias("issue")).limit(0)

@@ -30,6 +30,14 @@ def test_repeats_null_keys_and_empty(spark):
     assert diff(spark, [], [(1, 1, "u", 1.0, "p")]) == [(1, "missing_in_left")]
 
 
+def test_the_same_conflicting_rows_in_both_copies(spark):
+    both = [(1, 1, "u", 1.0, "p"), (1, 2, "u", 1.0, "p"), (2, 3, "v", 2.0, "p"), (3, None, "w", 0.0, "p"), (3, 0, "w", 0.0002, "q")]
+    assert diff(spark, both, both) == [(1, "a"), (3, "a")]
+    swapped = [(1, 1, "v", 1.0, "p"), (1, 2, "u", 1.0, "p")]
+    assert diff(spark, [(1, 1, "u", 1.0, "p"), (1, 2, "v", 1.0, "p")], swapped) == [(1, "a"), (1, "s")]
+    assert diff(spark, [(1, 1, "u", 1.0, "p"), (1, 1, "u", 1.0, "q")], [(1, 1, "u", 1.0, "p")] * 2) == []
+
+
 def test_noise_over_a_cell_edge_is_no_difference(spark):
     left = [(i, 0, "s", i * 0.00025, None) for i in range(200)]
     right = [(i, 0, "s", i * 0.00025 + 1e-9, None) for i in range(200)]
