@@ -58,6 +58,18 @@ def anaphors(spark, d):
     return _sample(spark, d).select("event_id", a["kind"].alias("kind"), a["word"].alias("word"))
 
 
+def segment_names(spark, d):
+    """What spatial_names parses, of the text of every segment."""
+    s = X.spatial_split(F.col("text"))
+    return _segs(spark, d).filter(F.col("text").isNotNull()).select("run_id", "seg_id", s["selector"].alias("selector"), s["name"].alias("rest"), X.thing_key(s["name"]).alias("key"), X.base_name(F.col("text")).alias("base"))
+
+
+def segment_anaphors(spark, d):
+    """What anaphors parses, of the text of every segment."""
+    a = X.anaphor(F.col("text"))
+    return _segs(spark, d).filter(F.col("text").isNotNull()).select("run_id", "seg_id", a["kind"].alias("kind"), a["word"].alias("word"))
+
+
 def region_name(spark, d):
     return table(spark, d, "events").select("event_id", X.region((F.col("value") * 10) % 224, F.col("user_id").cast("double")).alias("region"))
 
@@ -161,7 +173,7 @@ def perception_scales(spark, d):
 
 
 _ALL = (
-    text_normalize, intent_classify, addressed, referent_extract, spatial_names, anaphors, region_name, phonetic_keys, vocab_min_rank, phonetic_candidates, doubt_gate, garbage_flag,
+    text_normalize, intent_classify, addressed, referent_extract, spatial_names, anaphors, segment_names, segment_anaphors, region_name, phonetic_keys, vocab_min_rank, phonetic_candidates, doubt_gate, garbage_flag,
     zero_shot_topk, unknown_threshold, label_agg, centroid_cosine, json_props, config_hash, artifact_names, dialogue_last_region, recent_turns, prefix_resolution, perception_scales,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import perception as P
 from chronoloom.functions import text as X
+from tests.conftest import rows
 
 
 def one(spark, text, make):
@@ -60,3 +61,38 @@ def test_regions_and_scales(spark):
     assert v(P.pan_of_levels(F.lit(1.0), F.lit(1e-9))) == -1.0
     assert v(P.pan_to_column(F.lit(float("nan")))) == 28.0
     assert v(X.config_hash(b=F.lit(1), a=F.lit("x"))) == v(X.config_hash(a=F.lit("x"), b=F.lit(1)))
+
+
+def test_names_and_anaphors_of_the_tables_against_plain_python(spark, data):
+    import re
+
+    from chronoloom.plans import text_queries as Q
+
+    norm = lambda t: re.sub(r"[^a-z\s]", "", t.lower(), flags=re.ASCII)
+
+    def split(t):
+        n = re.sub("^the ", "", norm(t))
+        words = n.split()
+        if words and words[0] in X.SELECTORS:
+            return words[0], " ".join(words[1:])
+        if m := re.search(X.SIDE, n):
+            return m[1], n[: m.start()].strip(" ")
+        return None, t
+
+    def key(t):
+        bare = re.sub(r"^(the|a|an)\s+", "", norm(t).strip(" "))
+        return (bare[:-1] if re.search(r"(?:^|[^s])s$", bare) else bare).replace(" ", "")
+
+    def anaphor(t):
+        w = norm(t).split()
+        if w and w[0] in X.PRONOUNS:
+            if len(w) == 1 or len(w) == 2 and w[1] == "again":
+                return "pronoun", None
+            return ("det", " ".join(w[1:])) if w[0] in ("that", "this") else (None, None)
+        rest = w[1:] if w[:1] == ["the"] else w
+        return ("one", rest[0]) if len(rest) == 2 and rest[1] == "one" and rest[0] in X.ONE_SIDES else (None, None)
+
+    said = Q._segs(spark, data).filter("text is not null").collect()
+    names = [(x["run_id"], x["seg_id"], *split(x["text"]), key(split(x["text"])[1]), None if x["text"] == "" or norm(x["text"]) in X.DIRECTIONS else split(x["text"])[1]) for x in said]
+    assert rows(Q.segment_names(spark, data)) == sorted(names, key=repr)
+    assert said and rows(Q.segment_anaphors(spark, data)) == sorted(((x["run_id"], x["seg_id"], *anaphor(x["text"])) for x in said), key=repr)
