@@ -77,3 +77,30 @@ def test_the_limit_goes_below_the_exchange(spark):
     df = spark.range(100).selectExpr("id % 3 as g", "id as item", "1.0D as score", "1L as t", "'x' as rank")
     plan = top_n(df, "g", order(), "item", 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_salts_are_exchanged_in_every_plan(spark, threshold):
+    import re
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = spark.range(100).selectExpr("id % 3 as g", "id as item", "1.0D as score", "1L as t", "'x' as rank")
+        plan = top_n(df, "g", order(), "item", 5, heavy_rows=10, rows_per_salt=7)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+    bare = [m for m in moved if re.fullmatch(r"grp#\d+L", m)]
+    assert any(re.fullmatch(r"grp#\d+L, salt#\d+L", m) for m in moved)
+    # Only the partial counts are exchanged on the group alone.
+    assert len(bare) == plan.count("partial_count(1)") > 0
+
+
+def test_a_hot_group_is_spread(spark):
+    df = spark.range(60_000).selectExpr("1L as g", "id as item", "cast(id as double) as score", "1L as t", "'x' as rank")
+    out = top_n(df, "g", order(), "item", 5, heavy_rows=1000, rows_per_salt=1000, max_heavy=1)
+    assert rows(out, "item", "rank") == sorted((59_999 - k, k + 1) for k in range(5))
+    two = df.unionByName(df.withColumn("g", F.lit(2).cast("bigint")))
+    assert top_n(two, "g", order(), "item", 5, heavy_rows=1000, rows_per_salt=1000, max_heavy=1).count() == 10  # the second group goes the light way
