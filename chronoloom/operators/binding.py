@@ -1,34 +1,101 @@
 """One-to-one matching of two event streams inside a coincidence window, and what chance would give.
 
 Left events choose in order of falling strength; each takes the nearest free right event at most W
-away, of equally near ones the later in input order. Events more than W from every other event on
-both sides cannot influence each other, so the merged streams fall apart at gaps over W. Components
-of one left and one right event, and those of one side only, are settled in the JVM; only the
-crowded ones are walked in Arrow batches, many to a batch.
+away, of equally near ones the later in input order. An event's pair depends on the stronger left
+events within 2 W of it, so the merged streams are walked in time blocks with a halo (see settle), however
+dense they are.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from chronoloom.functions.chance import grid_rate, poisson_rate
-from chronoloom.operators.ordered import sessions
-from chronoloom.operators.peaks import runs_of
-
-_PAIR = ["left_id", "right_id", "left_ms", "right_ms", "left_strength", "right_strength"]
-
-
-def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], window_ms: int, *, id: str = "id", at: str = "ms", strength: str = "strength") -> DataFrame:
+from chronoloom.operators.settle import CHOSEN, GONE, NOTHING, OPEN, settle
+
+def _root(up: list[int], i: int, step: int) -> int:
+    """The first index from i on, going by ``step``, that is not taken; taken ones point onwards."""
+    at = i
+    while up[at] != at:
+        at = up[at]
+    while up[i] != at:
+        up[i], i = at, up[i]
+    return at
+
+
+def _match(window: int):
+    """One chunk of both streams walked by falling strength, with doubt carried along."""
+
+    def walk(pdf: pd.DataFrame, sure: np.ndarray) -> dict[str, np.ndarray]:
+        side, ms, ids = pdf["side"].to_numpy(), pdf["ms"].to_numpy(), pdf["id"].to_numpy()
+        strength = pdf["strength"].to_numpy(dtype=float, na_value=np.nan)
+        state, mate = np.full(len(pdf), NOTHING), np.full(len(pdf), -1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        n = len(right)
+        t, at, rid = ms[left], ms[right], ids[right]
+        low, high = np.searchsorted(at, t - window, side="left"), np.searchsorted(at, t + window, side="right")
+        begin = np.searchsorted(at, t, side="left")
+        last_of = (np.searchsorted(at, at, side="right") - 1).tolist()  # last right event of the same time
+        # Index 0 and n + 1 of the two chains stand for "none".
+        down, up = list(range(n + 2)), list(range(n + 2))
+        doubt = ~sure[right]
+        taken = np.zeros(n, bool)
+        lows, highs, begins, times, ats, rids, sures = low.tolist(), high.tolist(), begin.tolist(), t.tolist(), at.tolist(), rid.tolist(), sure[left].tolist()
+        s = strength[left]
+        for i in np.lexsort((ids[left], np.where(np.isnan(s), np.inf, -s))).tolist():
+            a, b = lows[i], highs[i]
+            if not sures[i]:
+                doubt[a:b] = True
+                state[left[i]] = OPEN
+                continue
+            best, key = -1, None
+            j = _root(down, begins[i], -1) - 1  # the nearest free one before
+            if j >= a:
+                best, key = j, (times[i] - ats[j], -rids[j])
+            j = _root(up, begins[i] + 1, 1) - 1  # and from here on; of one time, the last
+            if j < b:
+                j = _root(down, last_of[j] + 1, -1) - 1
+                if best < 0 or (ats[j] - times[i], -rids[j]) < key:
+                    best = j
+            if best < 0:
+                state[left[i]] = GONE
+            elif doubt[best]:
+                # It takes that one, another doubtful one, or at the latest the nearest that is surely free.
+                free = np.flatnonzero(~taken[a:b] & ~doubt[a:b]) + a
+                if len(free):
+                    doubt[free[np.lexsort((-rid[free], np.abs(at[free] - times[i])))[0]]] = True
+                state[left[i]] = OPEN
+            else:
+                taken[best] = True
+                down[best + 1], up[best + 1] = best, best + 2
+                state[left[i]], mate[left[i]] = CHOSEN, right[best]
+                state[right[best]] = GONE
+        # A free right event goes on where an open left one may still want it.
+        open_ = state[left] == OPEN
+        wanted = np.zeros(n + 1, np.int64)
+        np.add.at(wanted, low[open_], 1)
+        np.add.at(wanted, high[open_], -1)
+        state[right[~taken & sure[right] & (np.cumsum(wanted)[:n] > 0)]] = OPEN
+        has = np.where(mate >= 0, mate, 0)
+        none = np.nan if len(pdf) else 0
+        return {
+            "state": state,
+            "right_id": ids[has] if len(pdf) else ids, "right_ms": ms[has] if len(pdf) else ms,
+            "right_strength": np.where(mate >= 0, strength[has], none) if len(pdf) else strength,
+        }
+
+    return walk
+
+
+def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], window_ms: int, *, id: str = "id", at: str = "ms", strength: str = "strength", block_ms: int | None = None) -> DataFrame:
     """(keys, left_id, right_id, left_ms, right_ms, dt_ms, strengths): each event in at most one pair.
 
     Input order is the order of ids. Null strengths come last. Rows without key, id or time take no
-    part; repeated rows are one event. Empty sides give no pairs.
+    part; repeated rows are one event. Empty sides give no pairs. Runs a job per round of settle.
     """
 
     def side(df: DataFrame, which: int) -> DataFrame:
@@ -37,44 +104,9 @@ def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], window_ms:
             out = out.filter(F.col(c).isNotNull())
         return out.distinct()
 
-    merged = sessions(side(left, 0).unionByName(side(right, 1)), keys, "ms", window_ms, name="comp")
-    group = [*keys, "comp"]
-    sizes = merged.groupBy(*group).agg(F.sum(1 - F.col("side")).alias("nl"), F.sum("side").alias("nr")).filter("nl > 0 and nr > 0")
-    live = merged.join(sizes, group)
-
-    def pick(c: str, which: int) -> Column:
-        return F.max(F.when(F.col("side") == which, F.col(c)))
-
-    plain = live.filter("nl = 1 and nr = 1").groupBy(*group).agg(
-        pick("id", 0).alias("left_id"), pick("id", 1).alias("right_id"), pick("ms", 0).alias("left_ms"), pick("ms", 1).alias("right_ms"),
-        pick("strength", 0).alias("left_strength"), pick("strength", 1).alias("right_strength"),
-    )
-    crowd = live.filter("nl > 1 or nr > 1").drop("nl", "nr")
-    crowd = crowd.repartition(*group).sortWithinPartitions(*group, "side", F.col("strength").desc_nulls_last(), "id")
-    schema = T.StructType([*[f for f in merged.schema if f.name in group], *[T.StructField(c, T.DoubleType() if "strength" in c else T.LongType()) for c in _PAIR]])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in runs_of(batches, group):
-            ids, ms, sides = pdf["id"].to_numpy(), pdf["ms"].to_numpy(), pdf["side"].to_numpy()
-            a, b = [], []
-            for rows in pdf.groupby(group, sort=False).indices.values():
-                free = [r for r in rows if sides[r] == 1]
-                for r in rows:
-                    if sides[r] == 1 or not free:
-                        continue
-                    best = min(free, key=lambda v: (abs(ms[v] - ms[r]), -ids[v]))
-                    if abs(ms[best] - ms[r]) <= window_ms:
-                        free.remove(best)
-                        a.append(r)
-                        b.append(best)
-            out = pdf.iloc[a][group].reset_index(drop=True)
-            for c in ("id", "ms", "strength"):
-                out[f"left_{c}"] = pdf[c].to_numpy()[a]
-                out[f"right_{c}"] = pdf[c].to_numpy()[b]
-            yield out[[f.name for f in schema]]
-
-    pairs = plain.select(*group, *_PAIR).unionByName(crowd.mapInPandas(walk, schema).select(*group, *_PAIR))
-    return pairs.select(*keys, *_PAIR, (F.col("left_ms") - F.col("right_ms")).alias("dt_ms"))
+    both = side(left, 0).unionByName(side(right, 1))
+    made = settle(both, keys, ["side", "id"], "ms", window_ms, _match(window_ms), "right_id bigint, right_ms bigint, right_strength double", block=block_ms)
+    return made.select(*keys, F.col("id").alias("left_id"), "right_id", F.col("ms").alias("left_ms"), "right_ms", F.col("strength").alias("left_strength"), "right_strength", (F.col("ms") - F.col("right_ms")).alias("dt_ms"))
 
 
 def unmatched(left: DataFrame, right: DataFrame, pairs: DataFrame, keys: list[str], *, id: str = "id") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators.grid import framed, max_abs_diff_curve
 from chronoloom.operators.ordered import sessions
 from chronoloom.operators.robust import global_threshold, local_threshold
-from chronoloom.session import materialise
+from chronoloom.operators.settle import CHOSEN, GONE, OPEN, settle
 
 
 def local_maxima(curve: DataFrame, keys: list[str], *, index: str = "m", value: str = "v", reach: int = 2) -> DataFrame:
@@ -20,54 +18,32 @@ def local_maxima(curve: DataFrame, keys: list[str], *, index: str = "m", value:
     return framed(curve, keys, index, reach, reach, lambda fr: {"__top": F.max(value).over(fr(-reach, reach))}).filter(F.col(value) >= F.col("__top")).drop("__top")
 
 
-def runs_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups out of a key-sorted partition, one frame holding many groups; only the last, perhaps
-    unfinished, group waits for the next batch."""
-    rest = None
-    for pdf in batches:
-        if rest is not None and len(rest):
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        last = np.logical_and.reduce([(pdf[k] == pdf[k].iloc[-1]).to_numpy() for k in keys])
-        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-        if cut:
-            yield pdf.iloc[:cut]
-        rest = pdf.iloc[cut:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield rest
-
-
-def min_gap(peaks: DataFrame, keys: list[str], gap: int, *, index: str = "m", value: str = "v") -> DataFrame:
+def _keep_apart(gap: int, index: str, value: str):
+    def walk(pdf: pd.DataFrame, sure: np.ndarray) -> dict[str, np.ndarray]:
+        at, v = pdf[index].to_numpy(), pdf[value].to_numpy()
+        low, high = np.searchsorted(at, at - gap, side="right"), np.searchsorted(at, at + gap, side="left")
+        state = np.full(len(at), OPEN)
+        barred, doubt = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        for i in np.lexsort((at, -v)).tolist():
+            if barred[i]:
+                state[i] = GONE
+            elif doubt[i] or not sure[i]:
+                doubt[low[i] : high[i]] = True
+            else:
+                state[i] = CHOSEN
+                barred[low[i] : high[i]] = True
+        return {"state": state}
+
+    return walk
+
+
+def min_gap(peaks: DataFrame, keys: list[str], gap: int, *, index: str = "m", value: str = "v", block: int | None = None) -> DataFrame:
     """Peaks kept greedily by falling value (ties: smaller index) at least ``gap`` apart.
 
-    Candidates ``gap`` or more apart cannot affect each other, so the stream falls into independent
-    clusters; single candidates never leave the JVM and only real clusters are walked in Arrow
-    batches, many to a batch. Peaks are few beside the curve they come from, so they are written out
-    once instead of being found again for every use.
+    One peak per (keys, index) with a value is expected. Chains of peaks closer than ``gap`` may be as
+    long as the stream: they are settled block by block (see settle), never in one task.
     """
-    peaks = materialise(peaks)
-    clustered = sessions(peaks, keys, index, gap, closed=True, name="__cluster")
-    order = [*keys, "__cluster"]
-    sizes = clustered.groupBy(*order).agg(F.count(F.lit(1)).alias("__n"))
-    marked = clustered.join(sizes, order)
-    alone = marked.filter("__n = 1").drop("__n", "__cluster")
-    crowd = marked.filter("__n > 1").drop("__n").repartition(*order).sortWithinPartitions(*order, F.col(value).desc(), F.col(index))
-    columns = list(crowd.columns)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in runs_of(batches, order):
-            keep = np.zeros(len(pdf), bool)
-            at = pdf[index].to_numpy()
-            for rows in pdf.groupby(order, sort=False).indices.values():
-                taken: list[int] = []
-                for r in rows:
-                    if all(abs(at[r] - x) >= gap for x in taken):
-                        taken.append(at[r])
-                        keep[r] = True
-            yield pdf[keep][columns]
-
-    return alone.unionByName(crowd.mapInPandas(walk, crowd.schema).drop("__cluster"))
+    return settle(peaks.withColumn(index, F.col(index).cast("bigint")), keys, [index], index, gap, _keep_apart(gap, index, value), block=block or max(8192, 96 * gap))
 
 
 def visual_transients(df: DataFrame, keys: list[str], ms: str, order: list[str], value: str, grid_ms: int, *, k: float = 4.0) -> DataFrame:

@@ -95,3 +95,44 @@ def test_registered_null_draws_two_hundred_shifts(spark, data):
     assert len(set(shifts)) > 20
     assert got["bound_rate"]["null_mean"] == pytest.approx(mean(bound)) and got["mean_abs_dt"]["null_mean"] == pytest.approx(mean(away))
     assert got["bound_rate"]["percentile"] == pytest.approx(100 * mean(b <= seen for b in bound))
+
+
+@pytest.mark.parametrize("kind", ["ties", "falling", "rising", "dense"])
+def test_borders_of_blocks_do_not_show(spark, kind):
+    rng = random.Random(kind)
+    n, span = (150, 3000) if kind != "dense" else (200, 400)
+    strength = {"ties": lambda i: rng.randrange(3), "falling": lambda i: 1000 - i, "rising": lambda i: i, "dense": lambda i: rng.random()}[kind]
+    at = sorted(rng.randrange(span) for _ in range(n))
+    left = [(t, strength(i)) for i, t in enumerate(at)]
+    right = [(rng.randrange(span), 0.0) for _ in range(n)]
+    frame = lambda ev: spark.createDataFrame([("s", i, t - 500, float(s)) for i, (t, s) in enumerate(ev)], "k string, id bigint, ms bigint, strength double")
+    from chronoloom.operators.binding import _match
+    from chronoloom.operators.settle import settle
+
+    want = sorted(brute(left, right, 25), key=repr)
+    assert rows(greedy_pairs(frame(left), frame(right), ["k"], 25, block_ms=160), "left_id", "right_id") == want
+    # No round is allowed to take the whole stream: blocks four times as long each time decide as well.
+    both = frame(left).withColumn("side", F.lit(0)).unionByName(frame(right).withColumn("side", F.lit(1)))
+    made = settle(both, ["k"], ["side", "id"], "ms", 25, _match(25), "right_id bigint, right_ms bigint, right_strength double", block=60, halo=30, small=0)
+    assert rows(made, "id", "right_id") == want
+
+
+def test_one_unbroken_stream(spark):
+    import time
+
+    n = 50_000
+    stream = lambda seed: spark.range(n).select(F.lit("s").alias("k"), "id", (F.col("id") * 40 + F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(97))).alias("ms"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1000)).cast("double").alias("strength"))
+    left, right = stream(1).cache(), stream(5).cache()
+    began = time.perf_counter()
+    got = {(r["left_id"], r["right_id"]) for r in greedy_pairs(left, right, ["k"], 250).select("left_id", "right_id").collect()}
+    assert time.perf_counter() - began < 60
+    side = lambda df: [(r["ms"], r["strength"]) for r in df.orderBy("id").collect()]
+    l, r = side(left), side(right)
+    free, want = set(range(n)), set()
+    for i in sorted(range(n), key=lambda i: (-l[i][1], i)):
+        t = l[i][0]
+        near = [(abs(r[j][0] - t), -j) for j in range(max(0, (t - 400) // 40), min(n, (t + 300) // 40 + 1)) if j in free and abs(r[j][0] - t) <= 250]
+        if near:
+            want.add((i, -min(near)[1]))
+            free.discard(-min(near)[1])
+    assert got == want

@@ -280,3 +280,20 @@ def test_audit(spark):
     assert rows(audit.first_divergences(d, ["t"], ["v"], 2), "t") == [(1,), (2,)]
     checks = {r["check"]: r["passed"] for r in audit.check_stored(a, a, ["t"], ["v"]).collect()}
     assert checks == {"rows": True, "v": True}
+
+
+@pytest.mark.parametrize("kind", ["ties", "falling", "waves"])
+def test_min_gap_over_block_borders(spark, kind):
+    rng = random.Random(kind)
+    value = {"ties": lambda i: rng.randrange(3), "falling": lambda i: -i, "waves": lambda i: i * 7919 % 101}[kind]
+    data = [(k, i, float(value(i))) for k in (None, "a") for i in range(0, 900) if rng.random() < 0.7]
+    want = []
+    for k in (None, "a"):
+        kept = []
+        for _, i, v in sorted((d for d in data if d[0] == k), key=lambda d: (-d[2], d[1])):
+            if all(abs(i - x) >= 5 for x in kept):
+                kept.append(i)
+        want += [(k, i) for i in kept]
+    df = spark.createDataFrame(data, "k string, m bigint, v double")
+    for block in (None, 40):
+        assert rows(peaks.min_gap(df, ["k"], 5, block=block), "k", "m") == sorted(want, key=repr)
