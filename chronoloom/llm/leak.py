@@ -3,13 +3,18 @@
 Texts are compared as words: consistent form (see lookalike), lower case, runs of letters or digits,
 one space between. A window of ``min_words`` words of an item that lies in a document with at most e
 edits shares at least L + 1 - q - q e character q-grams with it, all within e + 1 neighbouring
-diagonals (document position minus item position). Per document the shared q-grams are counted in
-overlapping bands of 2 (e + 1) diagonals; bands that reach the bound are verified by an alignment
-confined to the band, which gives the least number of edits of any whole window.
+diagonals (document position minus item position). q is chosen from the edit budget so that this bound
+is at least 1 for every window; where no q is, the call is refused. Per document the shared q-grams are
+counted in overlapping bands of 2 (e + 1) diagonals; regions of bands that reach the bound are verified by an
+alignment confined to band and region, which tells every window found and its edits.
+
+A window that several items share is indexed once, with the set of its items: an instruction line in
+front of a thousand items is one passage, searched and aligned once, and only its result rows number a
+thousand.
 
 Items are the stated query set: they travel to the executors in blocks of at most ``block_chars``
-characters, each block being one pass over the documents, so what is broadcast never grows beyond a
-block. Documents are never shuffled.
+characters, each block being one pass over the documents' words, so what is broadcast never grows beyond
+a block. With more than one block the words are written out once. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -24,27 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from chronoloom.llm.lookalike import LOOK_ALIKES, connect, form_sql, mapped
+from chronoloom.llm.lookalike import connect, glue_words, look_alikes, mapped, words_sql
+from chronoloom.session import materialise
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_FAR = 1 << 30
+CELLS = 2_000_000
 
 
-def _lower_pairs() -> tuple[str, str]:
-    """Small letters whose capitals look like a Latin capital, so that case makes no difference."""
-    pairs = {c.lower(): to.lower() for c, to in LOOK_ALIKES.items() if "Ѐ" <= c <= "ԯ" and c.isupper()}
-    shown = sorted(pairs)
-    return "".join(shown), "".join(pairs[c] for c in shown)
-
-
-def words_sql(text: str = "text") -> str:
-    """DuckDB expression: a text's words, each with one space before and after; '' without words."""
-    low, latin = _lower_pairs()
-    spaced = f"regexp_replace(translate(lower({form_sql(text)}), '{low}', '{latin}'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g')"
-    return f"coalesce(nullif(' ' || trim({spaced}) || ' ', '  '), '')"
-
-
-def _words(con, texts: list[str]) -> list[str]:
-    return mapped(con, texts, words_sql(), lambda ps: "".join([p[:-1] for p in ps if p]) + (" " if any(ps) else ""))
+def _words(con, texts: list[str | None], sql: str) -> list[str]:
+    return mapped(con, texts, sql, glue_words)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -56,90 +50,178 @@ def _gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    wide = codes.astype(np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(q):
-        h *= _BASE
-        h += wide[k : k + n]
-    h ^= h >> np.uint64(29)
-    h *= _BASE
-    return h
+    h, have = codes.astype(np.uint64), 1
+    power = _BASE
+    parts = []  # (length, hashes, base ** length): powers of two put together as q's binary digits say
+    while have <= q:
+        parts.append((have, h, power))
+        if 2 * have <= q:
+            h = h[: len(h) - have] * power + h[have:]
+        power = np.uint64((int(power) * int(power)) & 0xFFFFFFFFFFFFFFFF)
+        have *= 2
+    out, done = None, 0
+    for size, x, power in reversed(parts):
+        if q & size:
+            out = x[:n].copy() if out is None else out * power + x[done : done + n]
+            done += size
+    out ^= out >> np.uint64(29)
+    out *= _BASE
+    return out
 
 
 @dataclass
 class _Index:
-    """Q-grams of a block of items: sorted hashes, postings (item, position), a prefilter and the bounds."""
+    """Q-grams of passages: sorted hashes, postings (passage, position), a prefilter, windows and their items."""
 
-    ids: list[str]
+    q: int
     texts: list[np.ndarray]
     need: list[np.ndarray]  # by end position: length of the window that ends there, or a length never reached
-    bound: np.ndarray  # least number of shared q-grams, by item
+    group: list[np.ndarray]  # by end position: the item set of that window
+    longest: np.ndarray  # longest window, by passage
+    bound: np.ndarray  # least number of shared q-grams, by passage
     grams: np.ndarray
     start: np.ndarray
-    item: np.ndarray
+    passage: np.ndarray
     pos: np.ndarray
     bits: np.ndarray
 
     @classmethod
-    def build(cls, items: list[tuple[str, str]], min_words: int, max_edits: int, q: int) -> _Index | None:
-        ids, texts, needs, bounds = [], [], [], []
-        for item_id, words in items:
-            codes = _codes(words)
-            gaps = np.flatnonzero(codes == 32)
-            if len(gaps) <= min_words:
-                continue  # fewer words than a window has
-            need = np.full(len(codes) + 1, 1 << 30, np.int64)
-            lengths = gaps[min_words:] - gaps[:-min_words] + 1
-            need[gaps[min_words:] + 1] = lengths
-            ids.append(item_id)
-            texts.append(codes)
-            needs.append(need)
-            bounds.append(int(lengths.min()) + 1 - q - q * max_edits)
-        if not ids:
-            return None
-        bound = np.maximum(np.array(bounds, np.int64), 1)
+    def build(cls, q: int, passages: list[tuple[np.ndarray, np.ndarray, np.ndarray]], max_edits: int) -> _Index:
+        texts = [p[0] for p in passages]
+        real = [p[1][p[1] < _FAR] for p in passages]
+        bound = np.array([int(x.min()) + 1 - q - q * max_edits for x in real], np.int64)
         h = [_gram_hashes(t, q) for t in texts]
         every = np.concatenate(h)
-        item = np.repeat(np.arange(len(ids)), [len(x) for x in h])
+        passage = np.repeat(np.arange(len(texts)), [len(x) for x in h])
         pos = np.concatenate([np.arange(len(x)) for x in h])
         order = np.argsort(every, kind="stable")
         grams, start = np.unique(every[order], return_index=True)
         bits = np.zeros(1 << 20, bool)
         bits[(grams >> np.uint64(44)).astype(np.int64)] = True
-        return cls(ids, texts, needs, bound, grams, np.append(start, len(order)), item[order], pos[order], bits)
+        return cls(q, texts, [p[1] for p in passages], [p[2] for p in passages], np.array([int(x.max()) for x in real]), bound, grams, np.append(start, len(order)), passage[order], pos[order], bits)
+
+
+@dataclass
+class _Block:
+    """One block of items: an index for each q that its windows need, and the items of each item set."""
+
+    indexes: list[_Index]
+    sets: list[list]
+
+    @classmethod
+    def build(cls, items: list[tuple], min_words: int, max_edits: int, q: int) -> _Block | None:
+        of_window: dict[str, list[int]] = {}  # a window's items, each once
+        cut: list[tuple[str, list[int], np.ndarray]] = []
+        for n, (_, words) in enumerate(items):
+            gaps = np.flatnonzero(_codes(words) == 32)
+            ends = gaps[min_words:] + 1
+            new = np.zeros(len(ends), bool)
+            for k, (a, b) in enumerate(zip(gaps.tolist(), ends.tolist())):
+                seen = of_window.setdefault(words[a:b], [])
+                new[k] = not seen
+                if not seen or seen[-1] != n:
+                    seen.append(n)
+            cut.append((words, gaps.tolist(), new))
+        if not of_window:
+            return None
+        sets: dict[tuple[int, ...], int] = {}
+        by_q: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for words, gaps, new in cut:
+            firsts = np.flatnonzero(new & ~np.concatenate(([False], new[:-1])))
+            lasts = np.flatnonzero(new & ~np.concatenate((new[1:], [False])))
+            for i, j in zip(firsts.tolist(), lasts.tolist()):  # a passage: windows not seen before, one after another
+                begin, end = gaps[i], gaps[j + min_words] + 1
+                text = words[begin:end]
+                need, group = np.full(end - begin + 1, _FAR, np.int64), np.zeros(end - begin + 1, np.int64)
+                for k in range(i, j + 1):
+                    at = gaps[k + min_words] + 1
+                    need[at - begin] = at - gaps[k]
+                    group[at - begin] = sets.setdefault(tuple(of_window[words[gaps[k] : at]]), len(sets))
+                least = int(need.min())
+                own = q
+                while own > 1 and least + 1 - own - own * max_edits < 1:
+                    own -= 2
+                if own < 2:
+                    raise ValueError(f"{max_edits} edits are too many to find windows of {least} characters by shared q-grams")
+                by_q.setdefault(own, []).append((_codes(text), need, group))
+        ids = [x for x, _ in items]
+        return cls([_Index.build(own, ps, max_edits) for own, ps in sorted(by_q.items())], [[ids[n] for n in s] for s in sets])
 
 
 def _expand(index: _Index, at: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document position, item, item position) of every posting of the hit q-grams."""
+    """(document position, passage, passage position) of every posting of the hit q-grams."""
     first, n = index.start[hits], index.start[hits + 1] - index.start[hits]
     where = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    return np.repeat(at, n), index.item[where], index.pos[where]
+    return np.repeat(at, n), index.passage[where], index.pos[where]
 
 
-def _align(index: _Index, joined: np.ndarray, cands: np.ndarray, width: int, max_edits: int) -> np.ndarray:
-    """Least edits of any whole window, by candidate; -1 where every window needs more.
+def _regions(index: _Index, where: np.ndarray, passage: np.ndarray, pos: np.ndarray, step: int) -> np.ndarray:
+    """(passage, lowest diagonal, first, last position): parts of bands with as many hits as a window must share.
 
-    A candidate is (document's begin in ``joined``, its length, item, lowest diagonal of the band).
-    reach[k][c, d]: how much of the item, ending at the current position on diagonal d of candidate
-    c's band, is covered by the document with k edits. All candidates advance together.
+    Hits of a band further apart than any window of the passage belong to different parts.
+    """
+    many = (np.bincount(passage, minlength=len(index.texts)) >= index.bound)[passage]
+    where, passage, pos = where[many], passage[many], pos[many]
+    if not len(pos):
+        return np.empty((0, 4), np.int64)
+    band = (where - pos) // step
+    low = int(band.min()) - 1
+    # Diagonal x lies in the bands that begin at its own step and at the one before.
+    span = int(band.max()) - low + 2
+    key = passage * span + (band - low)
+    # Most hits are alone in their band: coarse counts, two bands to a slot, drop them before the sort.
+    slots = np.bincount(key & 0xFFF, minlength=4096)
+    near = slots + np.concatenate((slots[-1:], slots[:-1])) + np.concatenate((slots[1:], slots[:1]))
+    some = near[key & 0xFFF] >= index.bound[passage]
+    key, pos = key[some], pos[some]
+    if not len(pos):
+        return np.empty((0, 4), np.int64)
+    wide = int(pos.max()) + 1
+    both = np.sort(np.concatenate((key * wide + pos, (key - 1) * wide + pos)))
+    keys, at = both // wide, both % wide
+    owner = keys // span
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (at[1:] - at[:-1] > index.longest[owner[1:]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(keys)) - 1
+    enough = last - first + 1 >= index.bound[owner[first]]
+    first, last = first[enough], last[enough]
+    own = owner[first]
+    return np.stack((own, (keys[first] % span + low) * step, at[first] - index.longest[own], at[last] + index.longest[own] + index.q), axis=1)
+
+
+def _align(index: _Index, joined: np.ndarray, cands: np.ndarray, width: int, max_edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(candidate, item set, edits) of every window found.
+
+    A candidate is (document's begin in ``joined``, its length, passage, lowest diagonal of the band,
+    first and last passage position). reach[k][c, d]: how much of the passage, ending at the current
+    position on diagonal d of candidate c's band, is covered by the document with k edits. All candidates
+    advance together from their own first positions.
     """
     begin, size, low = cands[:, 0:1], cands[:, 1:2], cands[:, 3:4]
-    longest = max(len(index.texts[i]) for i in cands[:, 2])
-    items = np.zeros((len(cands), longest), np.uint32)
-    need = np.full((len(cands), longest + 1), 1 << 30, np.int64)
-    for c, i in enumerate(cands[:, 2]):
-        items[c, : len(index.texts[i])] = index.texts[i]
-        need[c, : len(index.need[i])] = index.need[i]
-    diagonals = low + np.arange(width)[None, :]
-    best = np.full(len(cands), -1, np.int64)
+    lengths = np.array([len(index.texts[i]) for i in cands[:, 2]])
+    from_ = np.maximum(cands[:, 4], 0)
+    to = np.minimum(cands[:, 5], lengths)
+    longest = int((to - from_).max())
+    text = np.zeros((len(cands), longest), np.uint32)
+    need = np.full((len(cands), longest), _FAR, np.int64)
+    group = np.zeros((len(cands), longest), np.int64)
+    for c, (i, a, b) in enumerate(zip(cands[:, 2].tolist(), from_.tolist(), to.tolist())):
+        text[c, : b - a] = index.texts[i][a:b]
+        need[c, : b - a] = index.need[i][a + 1 : b + 1]
+        group[c, : b - a] = index.group[i][a + 1 : b + 1]
+    diagonals = low + np.arange(width)[None, :] + from_[:, None]
     none = np.int64(-(1 << 20))
     edge = np.full((len(cands), 1), none)
     last = [np.zeros((len(cands), width), np.int64) for _ in range(max_edits + 1)]
+    ends = (need < _FAR).any(axis=0)
+    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for p in range(longest):
         j = p + diagonals
         inside = (j >= 0) & (j < size)
-        same = inside & (joined[np.where(inside, begin + j, 0)] == items[:, p : p + 1])
+        same = inside & (joined[np.where(inside, begin + j, 0)] == text[:, p : p + 1])
         now: list[np.ndarray] = []
+        open_ = np.ones(len(cands), bool)
         for k in range(max_edits + 1):
             reach = np.where(same, last[k] + 1, none if k else 0)
             if k:
@@ -147,50 +229,57 @@ def _align(index: _Index, joined: np.ndarray, cands: np.ndarray, width: int, max
                 extra = np.concatenate((edge, now[k - 1][:, :-1]), axis=1)
                 reach = np.maximum(np.maximum(reach, last[k - 1] + 1), np.maximum(dropped, extra))
             now.append(reach)
-            done = (reach >= need[:, p + 1 : p + 2]).any(axis=1) & ((best < 0) | (best > k))
-            best[done] = k
+            if ends[p]:
+                done = np.flatnonzero((reach.max(axis=1) >= need[:, p]) & open_)
+                open_[done] = False  # fewer edits have found it
+                if len(done):
+                    got.append((done, group[done, p], np.full(len(done), k)))
         last = now
-    return best
+    if not got:
+        return (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*got))
 
 
-def _search(index: _Index, docs: list[np.ndarray], q: int, max_edits: int) -> Iterator[tuple[int, int, int]]:
-    """(document, item, least edits) of one slice of documents."""
+def _search(block: _Block, docs: list[np.ndarray], max_edits: int) -> Iterator[tuple[int, int, int]]:
+    """(document, item set, least edits) of one slice of documents."""
     sizes = np.array([len(d) for d in docs], np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))
     joined = np.zeros(int(begin[-1]), np.uint32)  # a zero follows every document and is in no item
     for d, b in zip(docs, begin):
         joined[b : b + len(d)] = d
-    h = _gram_hashes(joined, q)
-    at = np.flatnonzero(index.bits[(h >> np.uint64(44)).astype(np.int64)])
-    found = np.minimum(np.searchsorted(index.grams, h[at]), len(index.grams) - 1)
-    hit = index.grams[found] == h[at]
-    at, found = at[hit], found[hit]
-    of = np.searchsorted(begin, at, side="right") - 1
-    enough = np.bincount(of, minlength=len(docs)) >= index.bound.min()
-    step, cands, owner = max_edits + 1, [], []
-    for d in np.flatnonzero(enough):
-        mine = slice(*np.searchsorted(of, [d, d + 1]))
-        where, item, pos = _expand(index, at[mine] - begin[d], found[mine])
-        band = (where - pos) // step
-        low = int(band.min()) - 1
-        # Diagonal x lies in the bands that begin at its own step and at the one before.
-        span = int(band.max()) - low + 2
-        keys, n = np.unique(np.concatenate((item * span + (band - low), item * span + (band - 1 - low))), return_counts=True)
-        kept = keys[n >= index.bound[keys // span]]
-        if len(kept):
-            cands.append(np.stack((np.full(len(kept), begin[d]), np.full(len(kept), sizes[d]), kept // span, (kept % span + low) * step), axis=1))
-            owner.append(np.full(len(kept), d))
-    if not cands:
-        return
-    every, owners = np.concatenate(cands), np.concatenate(owner)
+    step = max_edits + 1
     best: dict[tuple[int, int], int] = {}
-    for lo in range(0, len(every), 4096):
-        some = every[lo : lo + 4096]
-        for d, i, edits in zip(owners[lo : lo + 4096], some[:, 2], _align(index, joined, some, 2 * step, max_edits)):
-            if edits >= 0:
-                best[d, i] = min(best.get((d, i), edits), edits)
-    for (d, i), edits in best.items():
-        yield int(d), int(i), int(edits)
+    for index in block.indexes:
+        h = _gram_hashes(joined, index.q)
+        at = np.flatnonzero(index.bits[(h >> np.uint64(44)).astype(np.int64)])
+        found = np.minimum(np.searchsorted(index.grams, h[at]), len(index.grams) - 1)
+        hit = index.grams[found] == h[at]
+        at, found = at[hit], found[hit]
+        of = np.searchsorted(begin, at, side="right") - 1
+        enough = np.bincount(of, minlength=len(docs)) >= index.bound.min()
+        cands, owner = [], []
+        for d in np.flatnonzero(enough):
+            mine = slice(*np.searchsorted(of, [d, d + 1]))
+            kept = _regions(index, *_expand(index, at[mine] - begin[d], found[mine]), step)
+            if len(kept):
+                cands.append(np.concatenate((np.full((len(kept), 1), begin[d]), np.full((len(kept), 1), sizes[d]), kept), axis=1))
+                owner.append(np.full(len(kept), d))
+        if not cands:
+            continue
+        every, owners = np.concatenate(cands), np.concatenate(owner)
+        long = np.argsort(every[:, 5] - every[:, 4], kind="stable")  # regions of like length together
+        every, owners = every[long], owners[long]
+        lo = 0
+        while lo < len(every):
+            hi = lo + 1
+            while hi < len(every) and (hi + 1 - lo) * int(every[hi, 5] - every[hi, 4]) <= CELLS:
+                hi += 1
+            cand, group, edits = _align(index, joined, every[lo:hi], 2 * step, max_edits)
+            rows = np.unique(np.stack((owners[lo:hi][cand], group, edits), axis=1), axis=0)[::-1]  # fewest edits last
+            best |= {(d, g): e if (d, g) not in best else min(e, best[d, g]) for d, g, e in rows.tolist()}
+            lo = hi
+    for (d, g), edits in best.items():
+        yield d, g, edits
 
 
 def leaked_items(
@@ -204,15 +293,17 @@ def leaked_items(
     min_words: int = 12,
     max_edits: int = 1,
     q: int = 12,
-    block_chars: int = 4_000_000,
+    block_chars: int = 2_000_000,
     slice_chars: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, edits): documents that hold a window of ``min_words`` words of an item.
 
     edits is the least number of inserted, deleted or replaced characters over all windows, 0 for
-    words that are all equal. Null and empty texts, and items of fewer than ``min_words`` words,
-    match nothing. Repeated documents or items give one row per pair of ids. Empty tables give no
-    rows. Whole texts are read, however long.
+    words that are all equal. ``q`` is the longest q-gram; items whose windows are too short for it and
+    ``max_edits`` take a shorter one, and ValueError is raised where even q-grams of 2 could miss a window.
+    Null and empty texts, and items of fewer than ``min_words`` words, match nothing. Repeated documents
+    or items give one row per pair of ids. Empty tables give no rows. Whole texts are read, however long.
+    The items are read, one block at a time, while the result is being planned.
     """
     if q < 2 or min_words < 1 or max_edits < 0:
         raise ValueError("q must be at least 2, min_words at least 1, max_edits at least 0")
@@ -221,43 +312,59 @@ def leaked_items(
     slim = documents.select(F.col(doc_id).alias("d"), F.col(doc_text).cast("string").alias("text")).filter("text is not null and text <> ''")
     sc = documents.sparkSession.sparkContext
     arrow = list(to_arrow_schema(schema))
+    sql = words_sql(look_alikes(documents.sparkSession))
 
-    def blocks() -> Iterator[list[tuple[str, str]]]:
+    def blocks() -> Iterator[_Block]:
         con, block, size = connect(), [], 0
+        make = lambda: _Block.build(list(zip([r[0] for r in block], _words(con, [r[1] for r in block], sql))), min_words, max_edits, q)
         wanted = items.select(F.col(item_id), F.col(item_text).cast("string")).filter(F.col(item_text).isNotNull()).distinct()
         for row in wanted.toLocalIterator():
+            if block and size + len(row[1]) > block_chars:
+                if (made := make()) is not None:
+                    yield made
+                block, size = [], 0
             block.append(row)
             size += len(row[1])
-            if size >= block_chars:
-                yield list(zip([r[0] for r in block], _words(con, [r[1] for r in block])))
-                block, size = [], 0
-        if block:
-            yield list(zip([r[0] for r in block], _words(con, [r[1] for r in block])))
+        if block and (made := make()) is not None:
+            yield made
 
-    out = None
-    for block in blocks():
-        index = _Index.build(block, min_words, max_edits, q)
-        if index is None:
-            continue
-        shared = sc.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            con, index = connect(), shared.value
+    def passes(shared, ready: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            con, block = None if ready else connect(), shared.value
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), _words(con, batch.column(1).to_pylist())
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                if not ready:
+                    texts = _words(con, texts, sql)
                 lo = 0
                 while lo < len(ids):
                     hi, size = lo, 0
                     while hi < len(ids) and (hi == lo or size + len(texts[hi]) <= slice_chars):
                         size += len(texts[hi])
                         hi += 1
-                    got = list(_search(index, [_codes(t) for t in texts[lo:hi]], q, max_edits))
-                    if got:
-                        columns = [[ids[lo + d] for d, _, _ in got], [index.ids[i] for _, i, _ in got], [e for _, _, e in got]]
+                    for d, group, edits in _search(block, [_codes(t) for t in texts[lo:hi]], max_edits):
+                        own = block.sets[group]
+                        columns = [[ids[lo + d]] * len(own), own, [edits] * len(own)]
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], names=["d", "i", "edits"])
                     lo = hi
 
-        part = slim.mapInArrow(run, schema)
+        return run
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        con = connect()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_words(con, batch.column(1).to_pylist(), sql), pa.string())], names=["d", "text"])
+
+    out, source, held = None, slim, None
+    for block in blocks():
+        if held is not None and source is slim:
+            # A second block: from here on the words are read, not made anew.
+            source = materialise(slim.mapInArrow(words, slim.schema).filter("text <> ''"))
+        if held is not None:
+            part = source.mapInArrow(passes(sc.broadcast(held), True), schema)
+            out = part if out is None else out.unionByName(part)
+        held = block
+    if held is not None:
+        part = source.mapInArrow(passes(sc.broadcast(held), source is not slim), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = documents.sparkSession.createDataFrame([], schema)

@@ -4,31 +4,60 @@ Arrow batches are handed to an in-process DuckDB whose embedded SQL does the wor
 composes accents, one translate maps compatibility forms, spaces and look-alike letters, a regular
 expression drops invisible characters, and a second nfc_normalize composes what these steps laid
 bare. Case, accents and raised or lowered digits are part of the look and stay.
+
+Look-alike letters come from Unicode's own confusables data (UTS 39) as the session's JVM carries it, by
+one stated policy (see look_alikes); which characters are compatibility forms comes from Unicode's
+character data.
 """
 
 from __future__ import annotations
 
 import hashlib
+import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.session import materialise
 
-# Letters of other scripts that are drawn as a Latin letter.
-LOOK_ALIKES = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j",
-    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T",
-    "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
-    "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o",
-}
+Alikes = tuple[tuple[str, str], ...]
+_ALIKES: list[Alikes] = []
+
+
+def look_alikes(spark: SparkSession) -> Alikes:
+    """(letter, ASCII letter) for every letter that UTS 39 calls confusable with exactly one ASCII letter.
+
+    Policy: single letters only, of any script written from left to right in letters of ordinary width, and
+    never of ASCII itself (l, I, 1 and rn, m stay apart). Case is part of the look: a capital stands only for a
+    capital, a small letter for a small one; letters without case for either, the small one if both fit.
+    """
+    if not _ALIKES:
+        letters = [c for c in map(chr, range(0x41, 0x20000)) if unicodedata.category(c)[0] == "L"]
+        kinds = spark._jvm.com.ibm.icu.text
+        checker = kinds.SpoofChecker.Builder().setChecks(kinds.SpoofChecker.CONFUSABLE).build()
+        # The line feed is confusable with nothing, so one call answers for all letters.
+        looks = checker.getSkeleton("\n".join(letters)).split("\n")
+        ascii_of: dict[str, list[str]] = {}
+        for c, look in zip(letters, looks):
+            if c in string.ascii_letters:
+                ascii_of.setdefault(look, []).append(c)
+        out = []
+        for c, look in zip(letters, looks):
+            if c.isascii() or look not in ascii_of or unicodedata.bidirectional(c) != "L" or unicodedata.east_asian_width(c) in "WF":
+                continue
+            kind = unicodedata.category(c)
+            fits = [a for a in ascii_of[look] if kind not in ("Lu", "Lt", "Ll") or a.isupper() == (kind != "Ll")]
+            if fits:
+                out.append((c, max(fits)))
+        _ALIKES.append(tuple(out))
+    return _ALIKES[0]
+
+
 # Compatibility decompositions whose result looks like the character itself.
 SAME_LOOK_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
 # Blocks whose compatibility characters are drawn as several others side by side: digraphs,
@@ -38,16 +67,11 @@ SIDE_BY_SIDE = ((0x0132, 0x0149), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x0587, 0
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
 
 
-@lru_cache(maxsize=1)
-def character_maps() -> tuple[dict[str, str], dict[str, str]]:
-    """(one-to-one, one-to-many) maps over the Basic Multilingual Plane, built from Unicode's own data."""
-    single: dict[str, str] = {}
-    many: dict[str, str] = {}
-
-    def letter(c: str) -> str:
-        return LOOK_ALIKES.get(c, c)
-
-    for code in range(0xA0, 0xFFFE):
+@lru_cache(maxsize=4)
+def character_maps(alikes: Alikes) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """(same character, look-alike letter, several characters): maps built from Unicode's own data."""
+    letters, single, looks, many = dict(alikes), {}, {}, {}
+    for code in range(0xA0, 0x20000):
         c = chr(code)
         if 0xD800 <= code < 0xE000 or not unicodedata.is_normalized("NFC", c):
             continue
@@ -55,8 +79,10 @@ def character_maps() -> tuple[dict[str, str], dict[str, str]]:
             single[c] = " "
             continue
         parts = unicodedata.decomposition(c).split()
-        if parts and parts[0] in SAME_LOOK_TAGS:
-            to = "".join(letter(x) for x in unicodedata.normalize("NFKC", c))
+        if c in letters:
+            looks[c] = letters[c]
+        elif parts and parts[0] in SAME_LOOK_TAGS:
+            to = unicodedata.normalize("NFKC", c)
             if to == c or not to or any(unicodedata.combining(x) or x == " " for x in to):
                 continue
             if len(to) == 1:
@@ -66,35 +92,95 @@ def character_maps() -> tuple[dict[str, str], dict[str, str]]:
         elif parts and not parts[0].startswith("<"):
             # An accented look-alike: ё is drawn as ë.
             base, *marks = unicodedata.normalize("NFD", c)
-            if base in LOOK_ALIKES:
-                to = unicodedata.normalize("NFC", LOOK_ALIKES[base] + "".join(marks))
+            if base in letters:
+                to = unicodedata.normalize("NFC", letters[base] + "".join(marks))
                 if len(to) == 1:
-                    single[c] = to
-    single |= LOOK_ALIKES
+                    looks[c] = to
     single["‐"] = single["‑"] = "-"
-    return single, many
+    return single, looks, many
 
 
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def _class(chars: list[str]) -> str:
+    """An RE2 class of sorted characters, neighbours joined to ranges."""
+    out: list[list[int]] = []
+    for c in map(ord, chars):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+
+
+# Where translate's table is cut: Latin, Greek and Cyrillic; the rest of the plane; width forms; the planes above.
+_PARTS = (0x530, 0xFF00, 0x10000, 0x110000)
+
+
+def _when(sql: str, chars: list[str], then: Callable[[str], str]) -> str:
+    """``then`` of an expression where it holds any of the characters: translate and replace pay for
+    their whole table on every text, a scan does not."""
+    return f"list_transform([{sql}], lambda x: CASE WHEN regexp_matches(x, {_quoted(_class(sorted(chars)))}) THEN {then('x')} ELSE x END)[1]"
+
+
+def _translate(sql: str, pairs: dict[str, str]) -> str:
+    low = 0
+    for high in _PARTS:
+        shown = sorted(c for c in pairs if low <= ord(c) < high)
+        low = high
+        if shown:
+            sql = _when(sql, shown, lambda x, shown=shown: f"translate({x}, {_quoted(''.join(shown))}, {_quoted(''.join(pairs[c] for c in shown))})")
+    return sql
+
+
+def _form(text: str, single: dict[str, str], many: dict[str, str]) -> str:
+    def spelled(x: str) -> str:
+        for c in sorted(many):
+            x = f"replace({x}, {_quoted(c)}, {_quoted(many[c])})"
+        return x
+
+    seen = f"regexp_replace({_translate(f'nfc_normalize({text})', single)}, {_quoted(INVISIBLE)}, '', 'g')"
+    return f"nfc_normalize({_when(seen, list(many), spelled)})"
+
+
 @lru_cache(maxsize=8)
-def form_sql(text: str = "text") -> str:
+def form_sql(alikes: Alikes, text: str = "text") -> str:
     """The SQL expression of the consistent form of a column; null stays null."""
-    single, many = character_maps()
-    shown = sorted(single)
-    sql = f"translate(nfc_normalize({text}), {_quoted(''.join(shown))}, {_quoted(''.join(single[c] for c in shown))})"
-    by_use = [c for c in sorted(many)]
-    # Ligatures and their like are rare: one scan decides whether the long chain runs.
-    chain = "x"
-    for c in by_use:
-        chain = f"replace({chain}, {_quoted(c)}, {_quoted(many[c])})"
-    rare = "[" + "".join(by_use) + "]"
-    return (
-        f"nfc_normalize(list_transform([regexp_replace({sql}, {_quoted(INVISIBLE)}, '', 'g')], "
-        f"lambda x: CASE WHEN regexp_matches(x, {_quoted(rare)}) THEN {chain} ELSE x END)[1])"
-    )
+    single, looks, many = character_maps(alikes)
+    letters = dict(alikes)
+    shown = lambda to: "".join(letters.get(x, x) for x in to)
+    return _form(text, {c: shown(to) for c, to in single.items()} | looks, {c: shown(to) for c, to in many.items()})
+
+
+@lru_cache(maxsize=8)
+def words_sql(alikes: Alikes, text: str = "text") -> str:
+    """The SQL expression of a text's words, each with one space before and after; '' without words.
+
+    Case makes no difference, so a letter stands for what it or its capital looks like (в as В as B).
+    """
+    single, looks, many = character_maps(alikes)
+    lower: dict[str, str] = {}
+    for c in sorted(looks, key=lambda c: (c != c.lower(), c)):  # capitals last: theirs is the last word
+        low = c.lower() if len(c.lower()) == 1 else c
+        lower[low] = looks[c].lower()
+    formed = _translate(f"lower({_form(text, single, many)})", lower)
+    spaced = f"regexp_replace({formed}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g')"
+    return f"coalesce(nullif(' ' || trim({spaced}) || ' ', '  '), '')"
+
+
+def glue_words(parts: list[str], cut: list[str]) -> str:
+    """The words of a text from those of its pieces; a word that a cut went through becomes whole again."""
+    out = parts[0]
+    for words, piece in zip(parts[1:], cut[1:]):
+        if not out or not words:
+            out = out or words
+        elif unicodedata.category(piece[0])[0] in "LN":
+            out = out[:-1] + words[1:]
+        else:
+            out = out[:-1] + words
+    return out
 
 
 def connect():
@@ -128,10 +214,13 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
     return [*out, text[start:]] if start < len(text) or not out else out
 
 
-def mapped(con, texts: list[str | None], sql: str, glue=None) -> list[str | None]:
-    """An SQL expression of ``text`` for every text, run by DuckDB over pieces; glue joins a text's results."""
+def mapped(con, texts: list[str | None], sql: str, glue: Callable[[list[str], list[str]], str] | None = None) -> list[str | None]:
+    """An SQL expression of ``text`` for every text, run by DuckDB over pieces; glue joins the results of a text's pieces."""
     parts = [(i, p) for i, t in enumerate(texts) if t is not None for p in (pieces(t) if len(t) > PIECE_CHARS else (t,))]
     got: list[list[str]] = [[] for _ in texts]
+    cut: dict[int, list[str]] = {}
+    for i, p in parts if glue else ():
+        cut.setdefault(i, []).append(p)
     lo = 0
     while lo < len(parts):
         hi, size = lo, 0
@@ -143,7 +232,7 @@ def mapped(con, texts: list[str | None], sql: str, glue=None) -> list[str | None
             got[i].append(x)
         con.unregister("batch")
         lo = hi
-    return [None if t is None else g[0] if len(g) == 1 else (glue or "".join)(g) for t, g in zip(texts, got)]
+    return [None if t is None else g[0] if len(g) == 1 else glue(g, cut[i]) if glue else "".join(g) for i, (t, g) in enumerate(zip(texts, got))]
 
 
 def _slim(df: DataFrame, id: str, text: str) -> tuple[DataFrame, T.DataType]:
@@ -153,11 +242,12 @@ def _slim(df: DataFrame, id: str, text: str) -> tuple[DataFrame, T.DataType]:
 def consistent_form(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, form): one row per row of ``df``; a null text has a null form, an empty one an empty form."""
     slim, kind = _slim(df, id, text)
+    sql = form_sql(look_alikes(df.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = connect()
         for batch in batches:
-            forms = mapped(con, batch.column(1).to_pylist(), form_sql())
+            forms = mapped(con, batch.column(1).to_pylist(), sql)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], names=["id", "form"])
 
     out = slim.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("form", T.StringType())]))
@@ -170,13 +260,14 @@ def look_keys(df: DataFrame, id: str, text: str) -> DataFrame:
     The keys are written out once, as both uses of them would otherwise normalise every text again.
     """
     slim, kind = _slim(df.filter(F.col(text).isNotNull()), id, text)
+    sql = form_sql(look_alikes(df.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = connect()
         md5 = lambda x: hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            keys = [pa.array([md5(x) for x in xs], pa.binary()) for xs in (mapped(con, texts, form_sql()), texts)]
+            keys = [pa.array([md5(x) for x in xs], pa.binary()) for xs in (mapped(con, texts, sql), texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *keys], names=["id", "look", "exact"])
 
     fields = [T.StructField("id", kind), T.StructField("look", T.BinaryType()), T.StructField("exact", T.BinaryType())]
@@ -184,35 +275,29 @@ def look_keys(df: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def look_classes(df: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, class_id, n_texts): the smallest id of the texts that look the same, and how many texts differ.
+    """(id, class_id, text_id, n_texts, n_links): one row per row with a text.
 
-    One row per row with a text; the class of a text that looks like no other is its own id or that
-    of its first copy.
+    class_id is the smallest id of the texts that look the same, text_id the smallest id of those equal to
+    this one, n_texts how many different texts the class has and n_links how many rows of the class have
+    another text. Every look-alike pair follows: same class_id, other text_id. Null texts are left out; an
+    empty table gives no rows.
     """
     keys = look_keys(df, id, text)
-    texts = keys.groupBy("look", "exact").agg(F.min("id").alias("first_id"))
-    looks = texts.groupBy("look").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
-    return keys.join(looks, "look").select(F.col("id").alias(id), "class_id", "n_texts")
+    texts = keys.groupBy("look", "exact").agg(F.min("id").alias("text_id"), F.count(F.lit(1)).alias("n"))
+    looks = texts.groupBy("look").agg(F.min("text_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_rows"))
+    told = texts.join(looks, "look").select("look", "exact", "class_id", "text_id", "n_texts", (F.col("n_rows") - F.col("n")).alias("n_links"))
+    return keys.join(told, ["look", "exact"]).select(F.col("id").alias(id), "class_id", "text_id", "n_texts", "n_links")
 
 
-def look_pairs(df: DataFrame, id: str, text: str, names: tuple[str, str] = ("id_a", "id_b"), copies: int | None = 8) -> DataFrame:
-    """(id_a, id_b), the smaller first: texts that differ in characters but share their consistent form.
+def look_pairs(df: DataFrame, id: str, text: str, names: tuple[str, str] = ("id_a", "id_b")) -> DataFrame:
+    """(id_a, id_b), the smaller first: all rows whose texts differ in characters but share their consistent form.
 
-    Every two different texts of one look are linked. Up to ``copies`` exact copies of a text are
-    paired out in full; beyond that each row is still paired with the first ``copies`` rows of every
-    other text of its look, so n copies beside d variants give at most n * d * copies rows, never
-    n * n. With ``copies`` None every pair of rows comes out. Null texts match nothing; an empty table
-    gives no rows.
+    Rows of looks with a single text never reach the join. Copies pair out in full, so n copies beside d
+    variants give n * d rows; look_classes says the same in one row per row. Null texts match nothing; an
+    empty table gives no rows.
     """
     keys = look_keys(df, id, text)
-    texts = keys.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n"))
-    varied = texts.groupBy("look").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("look")
+    varied = keys.groupBy("look", "exact").agg(F.lit(1)).groupBy("look").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("look")
     rows = keys.join(varied, "look", "left_semi")
-    if copies is None:
-        every = rows.alias("r").join(rows.alias("f"), F.expr("r.look = f.look and r.exact < f.exact"))
-        return every.select(F.least("r.id", "f.id").alias(names[0]), F.greatest("r.id", "f.id").alias(names[1])).distinct()
-    nth = F.row_number().over(Window.partitionBy("look", "exact").orderBy("id"))
-    firsts = rows.withColumn("nth", nth).filter(F.col("nth") <= copies).select("look", "exact", F.col("id").alias("first_id"))
-    linked = rows.alias("r").join(firsts.alias("f"), F.expr("r.look = f.look and r.exact <> f.exact"))
-    a, b = F.least("r.id", "f.first_id").alias(names[0]), F.greatest("r.id", "f.first_id").alias(names[1])
-    return linked.select(a, b).distinct()
+    every = rows.alias("r").join(rows.alias("f"), F.expr("r.look = f.look and r.exact < f.exact"))
+    return every.select(F.least("r.id", "f.id").alias(names[0]), F.greatest("r.id", "f.id").alias(names[1])).distinct()

@@ -8,8 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.leak import leaked_items, words_sql
-from chronoloom.llm.lookalike import consistent_form, form_sql, look_classes, look_pairs
+from chronoloom.llm.leak import leaked_items
+from chronoloom.llm.lookalike import consistent_form, look_classes, look_pairs
 from chronoloom.llm.mixing import mix
 from chronoloom.llm.nearest_time import Side, nearest_in_time
 from chronoloom.llm.top_n import top_n
@@ -60,9 +60,13 @@ def p6_turns(spark: SparkSession, d: str) -> DataFrame:
     return turn_texts(_turns(spark, d))
 
 
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold twelve words of an item with at most one edited character."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
-    return found.filter("edits = 0").select("doc_id", "item_id")
+    return p7_near(spark, d).filter("edits = 0").select("doc_id", "item_id")
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +84,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return look_pairs(table(spark, d, "documents"), "doc_id", "text", ("doc_id_a", "doc_id_b"), copies=None)
+    return look_pairs(table(spark, d, "documents"), "doc_id", "text", ("doc_id_a", "doc_id_b"))
 
 
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +95,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return look_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_bound, p2_found, p6_found, p6_turns, p7_found, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_bound, p2_found, p6_found, p6_turns, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)}
 
 _NEAREST = """
 with b as (select distinct bind_id, run_id, cast(round_even(audio_t_s * 1000, 0) as bigint) as a from binder
@@ -123,12 +127,53 @@ turn as (select *, sum(opens) over (partition by run_id order by ms nulls last,
 select run_id, arg_min(seg_id, k) as first_seg_id, arg_max(seg_id, k) as last_seg_id, any_value(speaker_id) as speaker_id from turn group by run_id, n"""
 
 
+# What the test texts use to look alike, spelled out apart from the operator's own tables.
+_TWINS = "АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTYXSIJaeopcyxsijhdABEZHIKMNOPTYXo"
+_LOWER_TWINS = "авекмнорстухѕіјһԁαβεζηικμνορτυχ", "abekmhopctyxsijhdabezhikmnoptyx"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+_SPACES = "".join(map(chr, (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
+_HIDDEN = "".join(map(chr, (0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF)))
+
+
+def _swap(x: str, pairs: tuple[str, str]) -> str:
+    return f"translate({x}, '{pairs[0]}', '{pairs[1].replace(chr(39), chr(39) * 2)}')"
+
+
+def _plain(text: str) -> str:
+    """Spaces, width forms, ligature and hidden characters evened out; letters as they are."""
+    x = f"translate(nfc_normalize({text}), '{_HIDDEN}', '')"
+    x = _swap(_swap(x, (_SPACES, " " * len(_SPACES))), _WIDE)
+    return f"nfc_normalize(replace(replace(replace({x}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'µ', 'μ'))"
+
+
+def _look(text: str) -> str:
+    return f"nfc_normalize({_swap(_plain(text), _TWINS)})"
+
+
+def _word_list(text: str) -> str:
+    return f"string_split(trim(regexp_replace({_swap(f'lower({_plain(text)})', _LOWER_TWINS)}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g')), ' ')"
+
+
+def _near_sql() -> str:
+    """One edit leaves the first or the last six words of a window whole; the rest is compared by levenshtein."""
+    six = "array_to_string(w[{0}:{0} + 5], ' ')"
+    windows = f"select item_id, ' ' || array_to_string(w[i:i + 11], ' ') || ' ' as win, {six.format('i')} as head, {six.format('i + 6')} as tail from (select item_id, w, unnest(range(1, len(w) - 10)) as i from e where len(w) >= 12)"
+    pieces = f"select doc_id, {six.format('i')} as piece, ' ' || array_to_string(w[i:i + 14], ' ') || ' ' as onward, ' ' || array_to_string(w[greatest(i - 9, 1):i + 5], ' ') || ' ' as upto from (select doc_id, w, unnest(range(1, len(w) - 4)) as i from d where len(w) >= 6)"
+    least = lambda f, c: "least(" + ", ".join(f"levenshtein({f}({c}, len(win) {k}), win)" for k in ("- 1", "", "+ 1")) + ")"
+    return (
+        f"with d as (select distinct doc_id, {_word_list('text')} as w from documents where text is not null), e as (select distinct item_id, {_word_list('text')} as w from eval_items where text is not null), "
+        f"win as (select distinct * from ({windows})), p as ({pieces}), "
+        f"x as (select doc_id, item_id, {least('left', 'onward')} as edits from win join p on piece = head union all select doc_id, item_id, {least('right', 'upto')} from win join p on piece = tail) "
+        "select doc_id, item_id, cast(min(edits) as int) as edits from x where edits <= 1 group by 1, 2"
+    )
+
+
 def sql() -> dict[str, str]:
-    window = "list_aggregate(w[i:i + 11], 'string_agg', ' ')"
     pieces = lambda table, key: (
-        f"select distinct {key}, {window} as piece from (select {key}, w, unnest(range(1, len(w) - 10)) as i from "
-        f"(select {key}, string_split(trim({words_sql()}), ' ') as w from {table} where text is not null) where len(w) >= 12)"
+        f"select distinct {key}, array_to_string(w[i:i + 11], ' ') as piece from (select {key}, w, unnest(range(1, len(w) - 10)) as i from "
+        f"(select {key}, {_word_list('text')} as w from {table} where text is not null) where len(w) >= 12)"
     )
+    forms = f"with f as (select doc_id, text, {_look('text')} as form from documents where text is not null), t as (select form, text, min(doc_id) as text_id, count(*) as n from f group by 1, 2)"
     return {
         "p1_found": _NEAREST + "select bind_id, transient_id from n",
         "p1_bound": _NEAREST + "select b.bind_id, b.run_id, round(b.a / 1000.0, 3) as audio_t_s, round(t / 1000.0, 3) as visual_t_s, round((b.a - t) / 1000.0, 3) as dt_s "
@@ -138,10 +183,8 @@ def sql() -> dict[str, str]:
         "qualify row_number() over (partition by run_id order by strength desc, t asc nulls last, event_id) <= 5",
         "p6_found": _TURNS,
         "p7_found": f"with d as ({pieces('documents', 'doc_id')}), e as ({pieces('eval_items', 'item_id')}) select distinct doc_id, item_id from d join e using (piece)",
-        "p9_found": f"with f as (select doc_id, text, {form_sql()} as form from documents where text is not null), "
-        "t as (select form, text, doc_id as first_id from f qualify row_number() over (partition by form, text order by doc_id) <= 8) "
-        "select distinct least(f.doc_id, t.first_id) as doc_id_a, greatest(f.doc_id, t.first_id) as doc_id_b from f join t on f.form = t.form and f.text <> t.text",
-        "p9_forms": f"select doc_id, {form_sql()} as form from documents",
-        "p9_classes": f"with f as (select doc_id, text, {form_sql()} as form from documents where text is not null) "
-        "select doc_id, c.class_id, c.n_texts from f join (select form, min(doc_id) as class_id, count(distinct text) as n_texts from f group by 1) c using (form)",
+        "p7_near": _near_sql(),
+        "p9_found": forms + " select distinct least(a.doc_id, b.doc_id) as doc_id_a, greatest(a.doc_id, b.doc_id) as doc_id_b from f a join f b on a.form = b.form and a.text < b.text",
+        "p9_classes": forms + ", c as (select form, min(text_id) as class_id, count(*) as n_texts, cast(sum(n) as bigint) as n_rows from t group by 1) "
+        "select doc_id, class_id, text_id, n_texts, n_rows - n as n_links from f join t using (form, text) join c using (form)",
     }
