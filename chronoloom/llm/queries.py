@@ -108,23 +108,30 @@ n as (select bind_id, b.run_id, a, t, transient_id from b join v on b.run_id = v
 
 
 _SQUEEZED = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+_ENDS = "[.,?!…]*"
 _TURNS = f"""
 with seg as (select distinct run_id, seg_id, cast(round_even(coalesce(start_s, list_min(list_transform(words, lambda w: w.start))) * 1000, 0) as bigint) as ms,
                coalesce(text, array_to_string(list_transform(words, lambda w: trim(w.word)), ' ')) as t from segments where run_id is not null),
 clocked as (select *, trim(regexp_replace(regexp_replace(t, '(^|\\s)[\\[(<]*[0-9]{{1,3}}(:[0-9]{{2}}){{1,2}}([.,][0-9]+)?[\\])>]*', ' ', 'g'), '-->', ' ', 'g')) as u from seg where t is not null),
-heads as (select *, coalesce(nullif(regexp_extract(u, '^[\\[(<][^\\])>]*[\\])>]', 0), ''), nullif(regexp_extract(u, '^[A-Za-z ]{{1,40}} - ', 0), ''), nullif(regexp_extract(u, '^(>>)?\\s*[*]*[A-Za-z0-9 ._-]{{1,40}}[:\uff1a][*]*', 0), '')) as head from clocked),
+heads as (select *, coalesce(nullif(regexp_extract(u, '^[\\[(<][^\\])>]*[\\])>]', 0), ''), nullif(regexp_extract(u, '^[A-Za-z ]{{1,40}} - ', 0), ''), nullif(regexp_extract(u, '^(>>)?\\s*[*]*[A-Za-z0-9 ._-]{{1,40}}[:：][*]*', 0), '')) as head from clocked),
 named as (select *, {_SQUEEZED('head')} as label from heads),
 who as (select label, min(speaker_id) as id from (select distinct label from named where label is not null) n join speakers s on
           {_SQUEEZED('display_name')} = label or levenshtein({_SQUEEZED('display_name')}, label) = 1
           or regexp_extract(label, '^(s|spk|speaker) ?0*([0-9]+)$', 2) = cast(speaker_id as varchar)
           or regexp_extract(label, '^speaker ([a-z]+)$', 1) = list_extract(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve'], cast(speaker_id as int)) group by 1),
 spoken as (select run_id, seg_id, ms, id, case when id is not null then u[len(head) + 1:] else u end as v from named left join who using (label)),
-bare as (select *, regexp_replace(v, '\\[[^\\]]*\\]|\\([^)]*\\)|<[^>]*>|\\{{[^}}]*\\}}|[*][^*]+[*]', ' ', 'g') as w from spoken),
-kept as (select distinct run_id, seg_id, ms, id from bare where len(list_filter(string_split(lower(w), ' '), lambda x: regexp_matches(x, '[\\p{{L}}0-9]') and not regexp_full_match(trim(x, '.,?!-\u2026'), 'u+h*m+|u+h+m*|e+r+m*|h+m+|m{{2,}}|m+h+m+|m+-h+m+|u+h+-?h+u+h+'))) > 0),
+bare as (select *, regexp_replace(v, '(\\[[^\\]]*\\]|\\([^)]*\\)|<[^>]*>|\\{{[^}}]*\\}}|[*][^*]+[*]|[♪♫♬]){_ENDS}', ' ', 'g') as w from spoken),
+said as (select run_id, seg_id, ms, id, list_filter(regexp_split_to_array(w, '\\s+'), lambda x: x <> '' and not regexp_full_match(lower(trim(x, '.,?!-…')), 'u+h*m+|u+h+m*|e+r+m*|h+m+|m{{2,}}|m+h+m+|m+-h+m+|u+h+-?h+u+h+|a+h+|e+h+')) as left_over from bare),
+kept as (select distinct run_id, seg_id, ms, id, array_to_string(left_over, ' ') as clean from said where len(list_filter(left_over, lambda x: regexp_matches(x, '[\\p{{L}}0-9]'))) > 0),
 carried as (select *, coalesce(last_value(id ignore nulls) over (partition by run_id order by ms nulls last, seg_id rows unbounded preceding), 0) as speaker_id from kept),
 cut as (select *, case when lag(speaker_id) over (partition by run_id order by ms nulls last, seg_id) = speaker_id then 0 else 1 end as opens from carried),
-turn as (select *, sum(opens) over (partition by run_id order by ms nulls last, seg_id rows unbounded preceding) as n, row_number() over (partition by run_id order by ms nulls last, seg_id) as k from cut)
-select run_id, arg_min(seg_id, k) as first_seg_id, arg_max(seg_id, k) as last_seg_id, any_value(speaker_id) as speaker_id from turn group by run_id, n"""
+turn as (select *, cast(sum(opens) over (partition by run_id order by ms nulls last, seg_id rows unbounded preceding) as bigint) as n, row_number() over (partition by run_id order by ms nulls last, seg_id) as k from cut)
+"""
+_SPANS = "select run_id, arg_min(seg_id, k) as first_seg_id, arg_max(seg_id, k) as last_seg_id, any_value(speaker_id) as speaker_id from turn group by run_id, n"
+_TEXTS = (
+    ", piece as (select run_id, n as turn_no, coalesce(cast(floor(ms / 600000) as bigint), 1 << 60) as block, any_value(speaker_id) as speaker_id, string_agg(clean, ' ' order by k) as text from turn group by 1, 2, 3) "
+    "select run_id, turn_no, cast(row_number() over (partition by run_id, turn_no order by block) as int) as piece_no, speaker_id, text from piece"
+)
 
 
 # What the test texts use to look alike, spelled out apart from the operator's own tables.
@@ -181,7 +188,8 @@ def sql() -> dict[str, str]:
         "p2_found": "with e as (select distinct run_id, event_id, strength, cast(round_even(case when not isnan(t_s) then t_s end * 1000, 0) as bigint) as t from audio_events "
         "where run_id is not null and strength is not null and not isnan(strength)) select run_id, event_id from e "
         "qualify row_number() over (partition by run_id order by strength desc, t asc nulls last, event_id) <= 5",
-        "p6_found": _TURNS,
+        "p6_found": _TURNS + _SPANS,
+        "p6_turns": _TURNS + _TEXTS,
         "p7_found": f"with d as ({pieces('documents', 'doc_id')}), e as ({pieces('eval_items', 'item_id')}) select distinct doc_id, item_id from d join e using (piece)",
         "p7_near": _near_sql(),
         "p9_found": forms + " select distinct least(a.doc_id, b.doc_id) as doc_id_a, greatest(a.doc_id, b.doc_id) as doc_id_b from f a join f b on a.form = b.form and a.text < b.text",

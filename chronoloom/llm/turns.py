@@ -2,10 +2,17 @@
 
 A linear-chain model tags every token of a segment as speaker, timestamp, annotation, filler or
 speech; Viterbi decodes the best sequence; segments and turns are assembled from the tags alone. The
-model is a structured perceptron over shape, bracket, position and roster features. It is
-trained here, on hand-labelled lines (seed_lines) and on at most ``train_rows`` transcript rows that label
-themselves: a row's ``words`` hold what was spoken, so aligning text and words tells spoken tokens
-from the rest.
+model is an averaged structured perceptron. It sees of a token its letters (the word, prefixes, suffixes,
+shape, doubled letters made one), whether it occurs in the roster, whether an open bracket will be
+closed, its place in the line, and the same of its neighbours; tags of neighbours enter as transitions.
+Which of that makes a label, a clock time, an annotation or a filler is learned, not written down.
+
+It is trained here, on hand-labelled lines (seed_lines) and on at most ``train_rows`` transcript rows that
+label themselves: a row's ``words`` hold what was spoken, so aligning text and words tells spoken tokens
+from the rest (self_label; its patterns serve only this labelling).
+
+Texts are decoded an Arrow batch at a time: each distinct token is looked at once, scores are table
+lookups, and all sequences of a batch advance through Viterbi together.
 
 Turns are found by ordered passes over (run, time block): the last known speaker and the number of
 turns so far enter a block through one summary row per block, so a run never lies in one task.
@@ -13,7 +20,9 @@ turns so far enter a block through one summary row per block, so a run never lie
 
 from __future__ import annotations
 
+import random
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -55,11 +64,77 @@ def seed_lines() -> list[list[tuple[str, str]]]:
     return out
 
 
+# What composed lines are made of. {n} a roster name, {u} in capitals, {l} small with '_', {h} with '-', {i} its number, {w} its number word.
+NAME_FORMS = ("{n}:", "**{n}:**", ">> {u}:", "[{n}]", "({n})", "<{l}>", "{s} -", "{h}. :", "{n} ：", "S{i}:", "SPK_0{i}:", "Speaker {i}:", "speaker {w}:")
+OTHER_HEADS = ("note:", "warning:", "Stranger:", "and then:", "The speaker", "one more thing:", "stack:")
+FILLERS = ("um", "uh", "er", "erm", "hm", "mm", "mhm", "uhm", "mm-hmm", "uh-huh", "ah", "eh")
+ENDS = ("", "", "", ",", ".", "...", "?", "!")
+SOUNDS = ("[music]", "♪", "♫", "(applause)", "[ hum of a fan ]", "*door slams*", "*clears throat*", "<noise>", "{static}", "[CROSSTALK]", "(sighs softly)", "(laughs)", "[inaudible]", "[BLANK_AUDIO]")
+
+
+def composed_lines(bodies: list[list[str]], roster: Roster, n: int) -> list[list[tuple[str, str]]]:
+    """``n`` lines put together from spoken words: label and clock before them, fillers and sounds among them.
+
+    The same for the same input. Labels are spelled in every form, some with a letter wrong; some heads mean nobody.
+    """
+    rng = random.Random(20261014)
+    names = sorted(roster.titles.items()) or [(0, "Nobody")]
+    plain = [w for body in bodies for w in body] or ["well"]
+    parts = sorted(roster.parts) or ["well"]
+    out = []
+
+    def typo(x: str) -> str:
+        k = rng.randrange(len(x))
+        return rng.choice((x[:k] + x[k + 1 :], x[:k] + rng.choice("aeinst") + x[k:], x[:k] + rng.choice("aeinst") + x[k + 1 :]))
+
+    def filler() -> str:
+        x = rng.choice(FILLERS)
+        x = x + x[-1] * rng.choice((0, 0, 1, 2)) if rng.random() < 0.7 else x[0] + x
+        return (x.capitalize() if rng.random() < 0.3 else x) + rng.choice(ENDS)
+
+    def sound() -> str:
+        if rng.random() < 0.25:
+            a, b = rng.choice(("[]", "()", "**", "{}", "<>"))
+            return a + " ".join(rng.choice(plain).strip(".,?!*") or "x" for _ in range(rng.choice((2, 3, 5, 9, 14)))) + b
+        x = rng.choice(SOUNDS) + (rng.choice(ENDS) if rng.random() < 0.3 else "")
+        return x.upper() if rng.random() < 0.2 else x
+
+    for _ in range(n):
+        i, name = rng.choice(names)
+        label = rng.choice(NAME_FORMS)
+        spelled = typo(name) if rng.random() < 0.2 else name
+        low = spelled.lower()
+        head = label.format(n=spelled, u=spelled.upper(), s=low, l=low.replace(" ", "_"), h=spelled.replace(" ", "-"), i=i, w=NUMBER_WORDS[i] if 0 <= i < len(NUMBER_WORDS) else i)
+        lead = [(x, "s") for x in head.split()] if roster.meant(head) is not None and rng.random() < 0.7 else []
+        clock = [(x, "t") for x in rng.choice(CLOCK_FORMS).split()] if rng.random() < 0.5 else []
+        line = lead + clock if rng.random() < 0.3 else clock + lead
+        if rng.random() < 0.15:
+            line += [(x, "a") for x in sound().split()]
+        body = [(w, "z") for w in rng.choice(bodies)] if bodies and rng.random() > 0.2 else []
+        if not body and rng.random() < 0.5:
+            line = []
+        if body and rng.random() < 0.15:
+            body = [(x, "z") for x in rng.choice(OTHER_HEADS).split()] + body
+        elif body and rng.random() < 0.3:
+            body[0] = (body[0][0].capitalize(), "z")
+        for _ in range(rng.choice((0, 0, 1, 2)) if body else 0):  # names and numbers are spoken as well
+            body.insert(rng.randrange(len(body) + 1), (rng.choice(parts) if rng.random() < 0.6 else str(rng.randrange(100)), "z"))
+        body = [(w + rng.choice(ENDS[3:]) if rng.random() < 0.08 and w[-1].isalnum() else w, g) for w, g in body]
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 3) if body else (1, 2, 3))):
+            k = rng.randrange(len(body) + 1)
+            if any(g == "a" for _, g in body[max(k - 1, 0) : k + 1]):
+                continue
+            body[k:k] = [(filler(), "f")] if rng.random() < 0.6 else [(x, "a") for x in sound().split()]
+        if rng.random() < 0.08:
+            body.insert(rng.randrange(len(body) + 1), ("--" + rng.choice(ENDS), "z"))
+        out.append(line + body)
+    return [line for line in out if line]
+
+
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 _CLOCK = re.compile(r"[\[(<{]*\d{1,3}(?::\d{2}){1,2}(?:[.,]\d+)?[\])>},.?!]*")
 _SOUND = re.compile(r"u+h*m+|u+h+m*|e+r+m*|h+m+|m{2,}|m+h+m+|m+-h+m+|u+h+-?h+u+h+|a+h+|e+h+")
 _OPEN = {"[": "]", "(": ")", "<": ">", "{": "}", "*": "*"}
-_LABEL_END = re.compile(r"[:：]\**$")
 
 
 def squeeze(label: str) -> str:
@@ -74,19 +149,27 @@ def _one_edit(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :]
 
 
+def _less_one(word: str) -> set[str]:
+    return {word[:k] + word[k + 1 :] for k in range(len(word))} | {word}
+
+
 @dataclass
 class Roster:
     """Possible speakers. A label means the one with its name, with its number, or with the only name one letter away."""
 
     names: dict[str, int]
     ids: frozenset[int]
-    longest: int
+    titles: dict[int, str]
+    parts: frozenset[str]  # words of the names
+    near: frozenset[str]  # those of three letters and more, with any one letter left out
     known: dict[str, int | None] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: Iterable[tuple[int, str]]) -> Roster:
         rows = [(i, squeeze(n)) for i, n in rows if i is not None and n]
-        return cls({n: i for i, n in sorted(rows, reverse=True)}, frozenset(i for i, _ in rows), max([2, *(len(n.split()) for _, n in rows)]))
+        parts = frozenset(p for _, n in rows for p in n.split())
+        near = frozenset(x for p in parts if len(p) > 2 for x in _less_one(p))
+        return cls({n: i for i, n in sorted(rows, reverse=True)}, frozenset(i for i, _ in rows), {i: n.title() for i, n in sorted(rows, reverse=True)}, parts, near)
 
     def meant(self, label: str) -> int | None:
         label = squeeze(label)
@@ -131,83 +214,222 @@ def _brackets(toks: list[str]) -> list[tuple[int, int, str]]:
     return out
 
 
-def _label_span(toks: list[str], at: int, roster: Roster) -> int:
-    """How many tokens from ``at`` on are a label that means a speaker; 0 if none."""
-    for n in range(min(roster.longest + 3, len(toks) - at), 0, -1):
-        span = toks[at : at + n]
-        closed = _LABEL_END.search(span[-1]) or (span[-1] in ("-", "–", "—", "**") and n > 1) or (span[0][0] in "[(<*" and span[-1][-1] in "])>*")
-        if closed and roster.meant(" ".join(span)) is not None:
-            return n
-    return 0
-
-
-def features(toks: list[str], roster: Roster) -> list[tuple[str, ...]]:
-    """What the model sees of each token."""
-    group = [""] * len(toks)
-    for i, j, kind in _brackets(toks):
-        text = " ".join(toks[i : j + 1])
-        what = "clock" if _CLOCK.fullmatch(text) else "name" if roster.meant(text) is not None else "other"
-        for k in range(i, j + 1):
-            group[k] = f"{kind}{what}"
-    out, zone, label_left, label_seen = [], True, 0, False
-    for i, tok in enumerate(toks):
-        bare = _TRIM.sub("", tok.casefold())
-        if zone and not label_seen and not label_left and not group[i].endswith("clock"):
-            label_left = _label_span(toks, i, roster)
-            label_seen = label_left > 0
-        label = label_left > 0
-        label_left -= label
-        if _CLOCK.fullmatch(tok):
-            kind = "clock"
-        elif tok in ("-->", "->", "→"):
-            kind = "arrow"
-        elif not bare:
-            kind = "note" if set(tok) & set("♪♫♬") else "punct"
-        elif _SOUND.fullmatch(bare):
-            kind = "sound"
-        elif bare.isdecimal():
-            kind = "number"
-        else:
-            kind = "colon" if _LABEL_END.search(tok) else "word"
-        neutral = label or kind in ("clock", "arrow", "note", "punct") or bool(group[i])
-        f = ("1", f"k={kind}", f"g={group[i]}", f"l={label}", f"z={zone}", f"k={kind}|g={group[i]}|l={label}", f"l={label}|g={group[i][-5:]}|z={zone}")
+_DIGITS = str.maketrans("0123456789", "0" * 10)
+_CLOSE = {"[": "]", "(": ")", "<": ">", "{": "}", "*": "*"}
+_PLACES = 5
+_CLASSES = 512
+
+
+def _kind(c: str) -> str:
+    if c.isalpha():
+        return "a"
+    return "0" if c.isdecimal() else "♪" if unicodedata.category(c) == "So" else c
+
+
+@dataclass(frozen=True)
+class Seen:
+    """What the model sees of one token: features of its own, features for its neighbours, its class, its brackets."""
+
+    own: tuple[str, ...]
+    beside: tuple[str, ...]
+    kind: str
+    opens: str
+    closes: str
+
+
+def seen(tok: str, roster: Roster) -> Seen:
+    low = tok.casefold()
+    bare = _TRIM.sub("", low)
+    parts = re.sub(r"[\W_]+", " ", bare).split()
+    head = re.sub(r"0+$", "", bare.replace("_", ""))
+    if parts and all(p in roster.parts for p in parts):
+        known = "name"
+    elif bare and head in ("s", "spk", "speaker"):
+        known = "spk0" if head != bare.replace("_", "") else "spk"
+    elif bare in NUMBER_WORDS:
+        known = "number"
+    elif len(bare) > 1 and not _less_one(bare).isdisjoint(roster.near):
+        known = "near"
+    else:
+        known = "digits" if bare and not bare.strip("0") else "word" if bare else "none"
+    first, last = _kind(tok[0]), _kind(tok.rstrip("*")[-1:] or "*")
+    last = ":" if last == "：" else last
+    short = re.sub(r"(.)\1+", r"\1", bare)[:16]
+    shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else _kind(c) for c in tok[:40]))[:14]
+    kind = f"{first}{known}{last}"
+    own = (f"w={short}", f"p2={low[:2]}", f"s2={low[-2:]}", f"p3={short[:3]}", f"s3={short[-3:]}", f"x={shape}", f"r={known}", f"e={last}", f"k={kind}")
+    opens = next((o for o, c in _CLOSE.items() if tok[0] == o and c not in tok.lstrip(o)), "")
+    closes = "".join(c for o, c in _CLOSE.items() if c in tok and (c != "*" or tok[0] != "*"))
+    if not opens and tok[0] in _CLOSE:
+        closes = "!"  # closed in itself
+    return Seen(own, (f"w={short}", f"x={shape}", f"r={known}", f"k={kind}"), kind, opens, closes)
+
+
+@dataclass
+class Batch:
+    """Tokens of many texts one after another: rows of the table of distinct tokens, texts' begins, brackets, places."""
+
+    ids: np.ndarray
+    begin: np.ndarray
+    inside: np.ndarray
+    place: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.begin)
+
+
+class Lexicon(dict):
+    """Rows of distinct tokens (digits as 0), each looked at once."""
+
+    def __init__(self, roster: Roster):
+        super().__init__()
+        self.roster, self.rows, self.opens, self.closes = roster, [], [], []
+
+    def __missing__(self, tok: str) -> int:
+        row = seen(tok, self.roster)
+        self[tok] = n = len(self.rows)
+        self.rows.append(row)
+        self.opens.append("[(<{*".find(row.opens) if row.opens else -1)
+        self.closes.append(sum(1 << k for k, c in enumerate("])>}*") if c in row.closes) | (32 if row.closes == "!" else 0))
+        return n
+
+    def batch(self, texts: list[list[str]]) -> Batch:
+        begin = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        ids = np.fromiter((self[x] for t in texts for x in t), np.int64, int(begin[-1]))
+        sizes = np.diff(begin)
+        first, end = np.repeat(begin[:-1], sizes), np.repeat(begin[1:], sizes)
+        at = np.arange(len(ids))
+        opens, closes = np.array(self.opens, np.int64)[ids] if len(ids) else at, np.array(self.closes, np.int64)[ids] if len(ids) else at
+        # 0 outside; 2 k + 1 within a bracket of kind k that is closed later in the text; 2 k + 2 where it closes; 11 closed in itself.
+        inside = np.where(closes & 32, 11, 0)
+        for k in range(5):
+            shut = (closes >> k & 1).astype(bool)
+            if not (opens == k).any():
+                continue
+            opened = np.maximum.accumulate(np.where(opens == k, at, -1))
+            before = np.concatenate(([-1], np.maximum.accumulate(np.where(shut, at, -1))[:-1]))
+            after = np.minimum.accumulate(np.where(shut, at, len(at))[::-1])[::-1]
+            within = (opened >= first) & (opened > before) & (after < end) & (inside == 0)
+            inside = np.where(within, np.where(shut & (opens != k), 2 * k + 2, 2 * k + 1), inside)
+        return Batch(ids, begin, inside, np.minimum(at - first, _PLACES - 1))
+
+
+def _pair(kind: str, a: str, b: str) -> str:
+    return f"{kind}|{a}|{b}"
+
+
+def features(lexicon: Lexicon, batch: Batch, i: int) -> list[list[str]]:
+    """The features of each token of the batch's text ``i``, spelled out (training only)."""
+    a, b = int(batch.begin[i]), int(batch.begin[i + 1])
+    rows = [lexicon.rows[k] for k in batch.ids[a:b]]
+    out = []
+    for n, row in enumerate(rows):
+        f = [*row.own, _pair("in", str(batch.inside[a + n]), row.kind), _pair("at", str(batch.place[a + n]), row.kind)]
+        f += [_pair("in2", str(batch.inside[a + n]), row.kind[1:-1])]
+        f += [f"-{x}" for x in (rows[n - 1].beside if n else ("start",))]
+        f += [f"+{x}" for x in (rows[n + 1].beside if n + 1 < len(rows) else ("end",))]
+        f.append(_pair("-k", rows[n - 1].kind if n else "", row.kind))
+        f.append(_pair("+k", row.kind, rows[n + 1].kind if n + 1 < len(rows) else ""))
+        f.append(_pair("+2k", row.kind, rows[n + 2].kind if n + 2 < len(rows) else ""))
         out.append(f)
-        zone = zone and neutral
     return out
 
 
+def viterbi(scores: np.ndarray, begin: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The best tag of every token, all sequences at once; of equal ones the smaller tag."""
+    n, sizes = len(TAGS), np.diff(begin)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    tags = np.zeros(len(scores), np.int64)
+    if not len(order):
+        return tags
+    at, length = begin[order], sizes[order]
+    longest = int(length[0])
+    alive = len(length) - np.searchsorted(length[::-1], np.arange(longest), side="right")  # sequences longer than t
+    back = np.zeros((len(scores), n), np.int8)
+    best = steps[n] + scores[at]
+    for t in range(1, longest):
+        k = alive[t]
+        ways = best[:k, :, None] + steps[:n]
+        back[at[:k] + t] = ways.argmax(axis=1)
+        best[:k] = ways.max(axis=1) + scores[at[:k] + t]
+    now = best.argmax(axis=1)
+    for t in range(longest - 1, -1, -1):
+        k = alive[t]
+        tags[at[:k] + t] = now[:k]
+        if t:
+            now[:k] = back[at[:k] + t, now[:k]]
+    return tags
+
+
 @dataclass
 class Tagger:
-    """Weights by feature (one number per tag) and by pair of neighbouring tags; row 5 is the start."""
+    """Weights by feature (one number per tag) and by pair of neighbouring tags; row 5 of steps is the start."""
 
     weights: dict[str, np.ndarray]
     steps: np.ndarray
-    seen: dict[tuple[str, ...], np.ndarray] = field(default_factory=dict)
-
-    def _scores(self, f: tuple[str, ...]) -> np.ndarray:
-        got = self.seen.get(f)
-        if got is None:
-            got = np.zeros(len(TAGS))
-            for x in f:
-                if (w := self.weights.get(x)) is not None:
-                    got = got + w
-            self.seen[f] = got
-        return got
-
-    def decode(self, feats: list[tuple[str, ...]]) -> list[int]:
-        """The best tag sequence by Viterbi; of equal sequences the one with the smaller tags."""
-        if not feats:
-            return []
-        best = self.steps[len(TAGS)] + self._scores(feats[0])
-        back = []
-        for f in feats[1:]:
-            ways = best[:, None] + self.steps[: len(TAGS)]
-            back.append(ways.argmax(axis=0))
-            best = ways.max(axis=0) + self._scores(f)
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return path[::-1]
+
+    def __getstate__(self):
+        return {"weights": self.weights, "steps": self.steps}
+
+    def _sum(self, names) -> np.ndarray:
+        out = np.zeros(len(TAGS))
+        for x in names:
+            if (w := self.weights.get(x)) is not None:
+                out += w
+        return out
+
+    def _tables(self, lexicon: Lexicon) -> None:
+        """Extend the score tables to the lexicon's rows: per distinct token, and per pair of token classes."""
+        if getattr(self, "_of", None) is not lexicon:
+            self._of, self._kinds = lexicon, {"": 0}
+            self._rows, self._kind = np.zeros((0, 3, len(TAGS))), np.zeros(0, np.int64)
+            self._cells = {k: (np.zeros((_CLASSES, _CLASSES, len(TAGS))), np.zeros((_CLASSES, _CLASSES), bool)) for k in ("-k", "+k", "+2k", "in", "at")}
+        new = lexicon.rows[len(self._rows) :]
+        if not new:
+            return
+        more = np.array([[self._sum(r.own), self._sum(f"-{x}" for x in r.beside), self._sum(f"+{x}" for x in r.beside)] for r in new])
+        kinds = [self._kinds.setdefault(r.kind, len(self._kinds)) if r.kind in self._kinds or len(self._kinds) < _CLASSES else _CLASSES for r in new]
+        self._rows, self._kind = np.concatenate((self._rows, more)), np.concatenate((self._kind, kinds))
+
+    def _cell(self, name: str, a: np.ndarray, b: np.ndarray, say) -> np.ndarray:
+        """Weights of pairs, looked up by name the first time each is met; classes past the table have none."""
+        table, known = self._cells[name]
+        ok = (a < _CLASSES) & (b < _CLASSES)
+        a, b = np.where(ok, a, 0), np.where(ok, b, 0)
+        fresh = ~known[a, b]
+        if fresh.any():
+            for x, y in np.unique(np.stack((a[fresh], b[fresh]), axis=1), axis=0).tolist():
+                table[x, y], known[x, y] = self._sum(say(x, y)), True
+        return table[a, b] * ok[:, None]
+
+    def scores(self, lexicon: Lexicon, batch: Batch) -> np.ndarray:
+        self._tables(lexicon)
+        names = list(self._kinds)
+        ids, n = batch.ids, len(batch.ids)
+        if not n:
+            return np.zeros((0, len(TAGS)))
+        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        some = batch.begin[:-1][batch.sizes > 0]
+        first[some] = True
+        last[(batch.begin[1:] - 1)[batch.sizes > 0]] = True
+        kind = self._kind[ids]
+        before, after = np.roll(ids, 1), np.roll(ids, -1)
+        out = self._rows[ids, 0]
+        out = out + np.where(first[:, None], self._sum(["-start"]), self._rows[before, 1]) + np.where(last[:, None], self._sum(["+end"]), self._rows[after, 2])
+        out += self._cell("in", batch.inside, kind, lambda x, y: (_pair("in", str(x), names[y]), _pair("in2", str(x), names[y][1:-1])))
+        out += self._cell("at", batch.place, kind, lambda x, y: (_pair("at", str(x), names[y]),))
+        out += self._cell("-k", np.where(first, 0, np.roll(kind, 1)), kind, lambda x, y: (_pair("-k", names[x], names[y]),))
+        out += self._cell("+k", kind, np.where(last, 0, np.roll(kind, -1)), lambda x, y: (_pair("+k", names[x], names[y]),))
+        later = np.where(last | np.roll(last, -1), 0, np.roll(kind, -2))
+        out += self._cell("+2k", kind, later, lambda x, y: (_pair("+2k", names[x], names[y]),))
+        return out
+
+    def decode(self, lexicon: Lexicon, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(tags of all tokens one after another, begins of the texts). Tokens have their digits as 0."""
+        batch = lexicon.batch(texts)
+        return viterbi(self.scores(lexicon, batch), batch.begin, self.steps), batch.begin
 
 
 def self_label(text: str, words: list[str], roster: Roster) -> list[int] | None:
@@ -244,63 +466,86 @@ def self_label(text: str, words: list[str], roster: Roster) -> list[int] | None:
     return out
 
 
-def train(rows: list[tuple[str, list[str]]], roster: Roster, epochs: int = 30) -> Tagger:
-    """Structured perceptron over seed_lines and the rows that label themselves; no randomness.
+def train(rows: list[tuple[str, list[str]]], roster: Roster, epochs: int = 10, at_once: int = 32, composed: int = 4000) -> Tagger:
+    """Averaged structured perceptron over seed_lines, the rows that label themselves and composed_lines.
 
-    It ends with the first pass without a mistake; where none comes, the average of all weights seen
-    is the model.
+    Weights change after every ``at_once`` lines; the result is the mean of all weights met on the way.
     """
-    data = []
     first = {"s": SPEAKER, "t": TIMESTAMP, "a": ANNOTATION, "f": FILLER, "z": SPEECH}
-    seeds = Roster.of([(1, "Operator"), (2, "Sound Desk")])
-    for line in seed_lines():
-        data.append((features([a for a, _ in line], seeds), [first[b] for _, b in line]))
-    for text, words in rows:
-        if (gold := self_label(text, words, roster)) is not None:
-            data.append((features(tokens(text), roster), gold))
-    model, n = Tagger({}, np.zeros((len(TAGS) + 1, len(TAGS)))), 0
-    sums: dict[str, np.ndarray] = {}
-    step_sums = np.zeros_like(model.steps)
+    lines: list[tuple[list[list[str]], list[int]]] = []
+
+    def take(lexicon: Lexicon, data: list[tuple[list[str], list[int]]]) -> None:
+        batch = lexicon.batch([[x.translate(_DIGITS) for x in toks] for toks, _ in data])
+        lines.extend((features(lexicon, batch, i), gold) for i, (_, gold) in enumerate(data))
+
+    take(Lexicon(Roster.of([(1, "Operator"), (2, "Sound Desk")])), [([a for a, _ in line], [first[b] for _, b in line]) for line in seed_lines()])
+    own = [(tokens(text), gold) for text, words in rows if (gold := self_label(text, words, roster)) is not None]
+    take(Lexicon(roster), [(toks, gold) for toks, gold in own if toks])
+    spoken = [[t for t, g in zip(toks, gold) if g == SPEECH] for toks, gold in own]
+    spoken = [x for x in spoken if x] or [[t for t, g in line if g == "z"] for line in seed_lines()]
+    take(Lexicon(roster), [([a for a, _ in line], [first[b] for _, b in line]) for line in composed_lines(spoken, roster, composed)])
+    lines = [lines[k] for k in np.argsort([k * 0.6180339887498949 % 1.0 for k in range(len(lines))], kind="stable")]  # mixed evenly
+
+    names: dict[str, int] = {}
+    ids = [np.array([[names.setdefault(x, len(names)) for x in f] + [-1] * (32 - len(f)) for f in feats]) for feats, _ in lines]
+    gold = [np.array(g) for _, g in lines]
+    n = len(TAGS)
+    w, total = np.zeros((len(names) + 1, n)), np.zeros((len(names) + 1, n))  # the last row stands for "no feature"
+    steps, step_total = np.zeros((n + 1, n)), np.zeros((n + 1, n))
+    clock = 1
     for _ in range(epochs):
         wrong = 0
-        for feats, gold in data:
-            n += 1
-            got = model.decode(feats)
-            if got == gold:
-                continue
-            wrong += 1
-            model.seen.clear()
-            before_g = before_p = len(TAGS)
-            for f, g, p in zip(feats, gold, got):
-                if g != p:
-                    for x in f:
-                        w = model.weights.setdefault(x, np.zeros(len(TAGS)))
-                        s = sums.setdefault(x, np.zeros(len(TAGS)))
-                        w[g] += 1
-                        w[p] -= 1
-                        s[g] += n
-                        s[p] -= n
-                model.steps[before_g, g] += 1
-                model.steps[before_p, p] -= 1
-                step_sums[before_g, g] += n
-                step_sums[before_p, p] -= n
-                before_g, before_p = g, p
+        for lo in range(0, len(lines), at_once):
+            f, g = np.concatenate(ids[lo : lo + at_once]), np.concatenate(gold[lo : lo + at_once])
+            begin = np.concatenate(([0], np.cumsum([len(x) for x in gold[lo : lo + at_once]])))
+            p = viterbi(w[f].sum(axis=1), begin, steps)
+            off = p != g
+            if off.any():
+                wrong += int(off.sum())
+                change, turn = np.zeros_like(w), np.zeros_like(steps)
+                for tags, by in ((g, 1.0), (p, -1.0)):
+                    np.add.at(change, (f[off].ravel(), np.repeat(tags[off], f.shape[1])), by)
+                    prior = np.concatenate(([n], tags[:-1]))
+                    prior[begin[:-1]] = n
+                    np.add.at(turn, (prior, tags), by)
+                change[-1] = 0.0
+                w += change
+                steps += turn
+                total += clock * change
+                step_total += clock * turn
+            clock += 1
         if not wrong:
-            model.seen.clear()
-            return model
-    n += 1
-    return Tagger({x: w - sums[x] / n for x, w in model.weights.items()}, model.steps - step_sums / n)
+            break
+    w, steps = w - total / clock, steps - step_total / clock
+    return Tagger({x: w[k] for x, k in names.items() if w[k].any()}, steps)
+
+
+class Reader:
+    """A tagger with its roster and what it has learned about tokens so far."""
+
+    MOST = 200_000  # distinct tokens remembered; then it starts afresh
+
+    def __init__(self, tagger: Tagger, roster: Roster):
+        self.tagger, self.roster, self.lexicon = tagger, roster, Lexicon(roster)
+
+    def read(self, texts: list[str]) -> list[tuple[int | None, str]]:
+        """(speaker or None, clean text) of every segment. A label that means nobody is speech."""
+        if len(self.lexicon) > self.MOST:
+            self.lexicon = Lexicon(self.roster)
+        toks = [t.split() for t in texts]
+        tags, begin = self.tagger.decode(self.lexicon, [t.translate(_DIGITS).split() for t in texts])
+        out, every, begin = [], tags.tolist(), begin.tolist()
+        for own, a, b in zip(toks, begin, begin[1:]):
+            mine = every[a:b]
+            label = [t for t, g in zip(own, mine) if g == SPEAKER] if SPEAKER in mine else []
+            who = self.roster.meant(" ".join(label)) if label else None
+            kept = (SPEECH,) if not label or who is not None else (SPEECH, SPEAKER)
+            out.append((who, " ".join([t for t, g in zip(own, mine) if g in kept])))
+        return out
 
 
 def read_segment(text: str, tagger: Tagger, roster: Roster) -> tuple[int | None, str]:
-    """(speaker or None, clean text) of one segment. A label that means nobody is speech."""
-    toks = tokens(text)
-    tags = tagger.decode(features(toks, roster))
-    label = [t for t, g in zip(toks, tags) if g == SPEAKER]
-    who = roster.meant(" ".join(label)) if label else None
-    if label and who is None:
-        tags = [SPEECH if g == SPEAKER else g for g in tags]
-    return who, " ".join(t for t, g in zip(toks, tags) if g == SPEECH)
+    return Reader(tagger, roster).read([text])[0]
 
 
 def fit_tagger(segments: DataFrame, roster: Roster, *, text: str, words: str, id: str, train_rows: int = 2000, train_chars: int = 2000) -> Tagger:
@@ -321,13 +566,13 @@ def clean_segments(segments: DataFrame, tagger: Tagger, roster: Roster, *, run:
     ).filter("text is not null and text <> ''")
     # Repeats of a row go before the model sees them; partial aggregation collapses copies in place.
     slim = slim.distinct()
-    shared = slim.sparkSession.sparkContext.broadcast((tagger, roster))
+    shared = slim.sparkSession.sparkContext.broadcast((tagger, roster))  # the roster has at most max_speakers names
 
     @F.pandas_udf("speaker_id bigint, clean string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tagger, roster = shared.value
+        reader = Reader(*shared.value)
         for texts in batches:
-            got = [read_segment(t, tagger, roster) for t in texts]
+            got = reader.read(texts.tolist())
             yield pd.DataFrame({"speaker_id": pd.array([w for w, _ in got], dtype="Int64"), "clean": [c for _, c in got]})
 
     # Marked so that the test on its answer is not pushed below the distinct, where it would run twice.

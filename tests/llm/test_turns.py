@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from chronoloom.llm import turns as T
@@ -56,27 +57,69 @@ def test_unclosed_brackets_are_no_group():
     assert T._brackets(["("] * 100_000) == []
 
 
-def test_viterbi_is_the_best_path(tagger):
+def test_viterbi_is_the_best_path(tagger, roster):
     import itertools
 
-    toks = "[00:45] Operator: um go".split()
-    feats = T.features(toks, T.Roster.of(ROSTER))
-    score = lambda p: sum(tagger._scores(f)[t] for f, t in zip(feats, p)) + tagger.steps[5, p[0]] + sum(tagger.steps[a, b] for a, b in zip(p, p[1:]))
-    best = max(itertools.product(range(5), repeat=len(toks)), key=score)
-    assert abs(score(best) - score(tagger.decode(feats))) < 1e-9
+    texts = [t.split() for t in ("[00:00] Operator: um go", "", "um", "(Sound Desk) so ♪ then")]
+    lexicon = T.Lexicon(roster)
+    batch = lexicon.batch(texts)
+    scores = tagger.scores(lexicon, batch)
+    tags = T.viterbi(scores, batch.begin, tagger.steps)
+    for toks, a in zip(texts, batch.begin):
+        score = lambda p: sum(scores[a + k, t] for k, t in enumerate(p)) + (tagger.steps[5, p[0]] if len(p) else 0) + sum(tagger.steps[x, y] for x, y in zip(p, p[1:]))  # noqa: B023, E731
+        best = max(itertools.product(range(5), repeat=len(toks)), key=score)
+        assert abs(score(best) - score(tags[a : a + len(toks)].tolist())) < 1e-9
 
 
-def test_self_labels_train_a_tagger_that_holds_out(data, roster):
+def test_tables_give_the_same_scores_as_spelled_out_features(tagger, roster):
+    lexicon = T.Lexicon(roster)
+    texts = [[x.translate(T._DIGITS) for x, _ in line] for line in T.composed_lines([["so", "it", "goes"]], roster, 60)]
+    batch = lexicon.batch(texts)
+    scores = tagger.scores(lexicon, batch)
+    for i in range(len(texts)):
+        for k, f in enumerate(T.features(lexicon, batch, i)):
+            assert scores[batch.begin[i] + k] == pytest.approx(tagger._sum(f))
+
+
+def held_out(data):
     import duckdb
 
     full = T.Roster.of(duckdb.sql(f"select speaker_id, display_name from '{data}/speakers.parquet'").fetchall())
-    found = duckdb.sql(f"select text, list_transform(words, lambda w: w.word) from '{data}/segments.parquet' where text is not null and words is not null order by hash(seg_id)").fetchall()
-    data_rows = [(t, [w for w in ws if w]) for t, ws in found]
-    tagger = T.train(data_rows[: len(data_rows) // 2], full)
-    tested = [(t, T.self_label(t, ws, full)) for t, ws in data_rows[len(data_rows) // 2 :]]
-    tested = [(t, g) for t, g in tested if g is not None]
-    right = sum(tagger.decode(T.features(T.tokens(t), full)) == g for t, g in tested)
-    assert len(tested) > 20 and right / len(tested) > 0.99
+    found = duckdb.sql(f"select distinct text, list_transform(words, lambda w: w.word) from '{data}/segments.parquet' where text is not null and words is not null").fetchall()
+    own = sorted((t, [w for w in ws if w]) for t, ws in found)
+    return full, own[::2], [(T.tokens(t), g) for t, ws in own[1::2] if T.tokens(t) and (g := T.self_label(t, ws, full)) is not None]
+
+
+def right(tagger, roster, tested):
+    tags, begin = tagger.decode(T.Lexicon(roster), [[x.translate(T._DIGITS) for x in t] for t, _ in tested])
+    gold = [g for _, own in tested for g in own]
+    return np.logical_and.reduceat(tags == gold, begin[:-1]).mean()
+
+
+def test_weights_and_transitions_decide_held_out_rows(data):
+    full, learn, tested = held_out(data)
+    tagger = T.train(learn, full)
+    assert len(tested) > 50 and right(tagger, full, tested) > 0.99
+    first = {"s": 0, "t": 1, "a": 2, "f": 3, "z": 4}
+    spoken = [[t for t, k in zip(toks, g) if k == T.SPEECH] for toks, g in tested]
+    tested = [([x for x, _ in line], [first[k] for _, k in line]) for line in T.composed_lines([x for x in spoken if x], full, 1500)]
+    assert right(tagger, full, tested) > 0.95
+    without = lambda keep, steps: right(T.Tagger({k: v for k, v in tagger.weights.items() if keep(k)}, steps), full, tested)
+    assert without(lambda k: True, np.zeros_like(tagger.steps)) < right(tagger, full, tested)
+    assert without(lambda k: not k.startswith(("-", "+")), tagger.steps) < 0.98
+    assert without(lambda k: not k.lstrip("-+").startswith("r="), tagger.steps) < 0.98
+
+
+def test_reader_forgets_and_goes_on(tagger, roster, monkeypatch):
+    monkeypatch.setattr(T.Reader, "MOST", 3)
+    reader = T.Reader(tagger, roster)
+    for _ in range(3):
+        assert reader.read(["Operator: go on", "S12: and so", ""]) == [(1, "go on"), (12, "and so"), (None, "")]
+
+
+def test_a_long_text_is_read_whole(tagger, roster):
+    text = "Operator: " + "so it goes um " * 20_000
+    assert T.read_segment(text, tagger, roster) == (1, ("so it goes " * 20_000).strip())
 
 
 def brute(segs, tagger, roster):
