@@ -1,16 +1,24 @@
 """Differences between two copies of a table, found by a column-by-bucket checksum matrix.
 
-Keys are hashed into buckets. For each bucket and column either copy gives an additive 128-bit hash
-(four sums of 32-bit halves of two xxhash64 values, so sums cannot overflow before 2**31 rows a
-bucket); partial sums are built where the rows lie. Unequal cells of the two matrices name the
-buckets and the columns that can hold a difference. Only those columns of rows in those buckets are
-read again, joined on the key and compared exactly, so the hashes never decide a result: equal
-buckets are skipped, unequal ones are checked value by value. Buckets in which a key has several
-different rows are checked too: there the same rows in both copies still differ from each other.
+Keys are hashed into a fixed number of coarse buckets. For each bucket and column either copy gives an
+additive 128-bit hash (four sums of 32-bit halves of two xxhash64 values, so sums cannot overflow before
+2**31 rows a bucket); a task adds up its rows first, so what is shuffled is one small matrix per task.
+Unequal cells of the two matrices name the buckets and, in each, the columns that can hold a difference.
+
+Inside unequal buckets a second, finest level has one bucket per key: three longs per key and copy (the
+least and greatest row hash and a second hash) tell missing keys, keys that may differ and keys of which a
+copy holds several different rows. Those keys set bits in a map of fixed size that is broadcast; only
+rows whose key hits a set bit, with the columns that are unequal in their coarse bucket, are read again,
+joined on the key and compared exactly. Hashes therefore never decide a difference: what they call equal
+is skipped, the rest is checked value by value. Keys with several different rows are checked in equal
+buckets too: there the same rows in both copies still differ from each other.
 
 A number compared within a tolerance enters the hash as its nearest multiple of the tolerance, so
 two values in one cell are never further apart than the tolerance; noise over a cell's edge only
-costs a bucket's reading.
+costs a key's reading.
+
+What moves: the matrices, about 32 bytes per key and copy in unequal buckets (the left copy's keys always,
+for the several rows), and the rows that may differ.
 """
 
 from __future__ import annotations
@@ -73,18 +81,17 @@ def unequal_cells(left: DataFrame, right: DataFrame, key: str, columns: list[str
     return j.select("bucket", mask.alias("mask"), keys_differ.alias("keys_differ")).filter(F.col("keys_differ") | (F.col("mask") != 0))
 
 
-def conflicting_cells(df: DataFrame, key: str, columns: list[str], buckets: int, tolerances: dict[str, float] | None = None) -> DataFrame:
-    """(bucket, mask, keys_differ): every bit for the buckets in which a key has more than one distinct row.
-
-    One copy is enough to ask: where the other's differ, the matrices do.
-    """
-    tolerances = tolerances or {}
+def key_marks(df: DataFrame, key: str, columns: list[str], tolerances: dict[str, float]) -> DataFrame:
+    """(key, low, high, other): least and greatest hash of a key's rows, and the least second hash."""
     parts = [p for x in (_hash_input(df, c, tolerances.get(c)) for c in columns) for p in (x.isNull(), x)]
-    hashed = df.filter(F.col(key).isNotNull()).select(F.col(key), *[F.xxhash64(F.lit(seed), *parts).alias(f"h{seed}") for seed in (1, 2)])
-    ends = [f(f"h{seed}").alias(f"{n}{seed}") for seed in (1, 2) for n, f in (("lo", F.min), ("hi", F.max))]
-    several = hashed.groupBy(key).agg(*ends).filter("lo1 <> hi1 or lo2 <> hi2")
-    every = F.lit((1 << len(columns)) - 1).cast("bigint")
-    return several.select(_bucket(key, buckets).alias("bucket")).distinct().select("bucket", every.alias("mask"), F.lit(False).alias("keys_differ"))
+    hashed = df.select(F.col(key).alias("key"), *[F.xxhash64(F.lit(seed), *parts).alias(f"h{seed}") for seed in (3, 4)])
+    return hashed.groupBy("key").agg(F.min("h3").alias("low"), F.max("h3").alias("high"), F.min("h4").alias("other"))
+
+
+def _place(key: str) -> tuple[Column, Column]:
+    """The word and the bit of a key in a map of 2**24 bits."""
+    h = F.xxhash64(F.lit(29), F.col(key))
+    return F.shiftrightunsigned(h, 46).alias("word"), h.bitwiseAND(F.lit(63).cast("bigint")).cast("int")
 
 
 def _differs(name: str, tolerance: float | None) -> Column:
@@ -104,7 +111,7 @@ def table_diff(
     tolerances: dict[str, float] | None = None,
     missing_in_right: str = "missing_in_right",
     missing_in_left: str = "missing_in_left",
-    rows_per_bucket: int = 64,
+    buckets: int = 256,
 ) -> DataFrame:
     """(key, issue): keys that one copy lacks and, for keys in both, one row per differing column.
 
@@ -113,30 +120,54 @@ def table_diff(
     compared. Rows repeated in a copy are one row; where a copy holds several different rows of one
     key, a column is reported if any of them differs from any of the other copy's. Columns not named
     are ignored, whatever their names. Two empty tables give no rows. At most 62 columns.
+
+    Three jobs run while the result is planned: the matrices (``buckets`` cells a column reach the driver), the keys
+    that may differ, and which buckets hold keys with several rows.
     """
     if len(columns) > 62:
         raise ValueError("at most 62 columns can be compared at once")
     tolerances = tolerances or {}
-    rows = max(left.count(), right.count())  # footers only
-    buckets = max(16, -(-rows // rows_per_bucket))
-    left, right = (df.select(key, *columns) for df in (left, right))
-    cells = materialise(unequal_cells(left, right, key, columns, buckets, tolerances).unionByName(conflicting_cells(left, key, columns, buckets, tolerances)))
-    found = cells.agg(F.bit_or("mask").alias("mask"), F.bool_or("keys_differ").alias("keys")).first()
-    if found["keys"] is None:
-        return left.select(F.col(key), F.lit(None).cast("string").alias("issue")).limit(0)
-    needed = [c for i, c in enumerate(columns) if found["mask"] >> i & 1]  # only these are read again
+    left, right = (df.select(key, *columns).filter(F.col(key).isNotNull()) for df in (left, right))
+    every = (1 << len(columns)) - 1
+    masks = [0] * buckets
+    for row in unequal_cells(left, right, key, columns, buckets, tolerances).collect():  # at most one row per bucket
+        masks[row["bucket"]] = every if row["keys_differ"] else row["mask"]
+
+    def mask_of(masks: list[int], c: str) -> Column:
+        return F.element_at(F.expr("array(" + ", ".join(f"{m}L" for m in masks) + ")"), (_bucket(c, buckets) + F.lit(1)).cast("int"))
+
+    marks_left = key_marks(left, key, columns, tolerances).withColumn("unequal", mask_of(masks, "key") != 0).filter("unequal or low <> high")
+    marks_right = key_marks(right.filter(mask_of(masks, key) != 0), key, columns, tolerances)
+    both = marks_left.alias("l").join(marks_right.alias("r"), "key", "full_outer")
+    kind = (
+        F.when(F.col("l.low").isNull(), F.lit(missing_in_left))
+        .when(F.col("l.low") != F.col("l.high"), F.lit("several"))
+        .when(F.col("r.low").isNull(), F.lit(missing_in_right))
+        .when((F.col("r.low") != F.col("r.high")), F.lit("several"))
+        .when((F.col("l.low") != F.col("r.low")) | (F.col("l.other") != F.col("r.other")), F.lit("differs"))
+    )
+    # A key with several rows that the other copy lacks falls out of the join below, so it is asked for here.
+    gone = F.col("r.low").isNull() & F.col("l.unequal")
+    told = materialise(both.select("key", kind.alias("kind"), gone.alias("gone")).filter("kind is not null"))
+    missing = told.filter(F.col("kind").isin(missing_in_left, missing_in_right) | F.col("gone"))
+    missing = missing.select(F.col("key").alias(key), F.when(F.col("kind") == missing_in_left, F.lit(missing_in_left)).otherwise(F.lit(missing_in_right)).alias("issue"))
+
+    asked = told.filter(F.col("kind").isin("differs", "several") & ~F.coalesce("gone", F.lit(False)))
+    for row in asked.filter("kind = 'several'").select(_bucket("key", buckets).alias("bucket")).distinct().collect():
+        masks[row["bucket"]] = every
+    used = reduce(lambda x, y: x | y, masks, 0)
+    needed = [(i, c) for i, c in enumerate(columns) if used >> i & 1]  # only these are read again
+    word, bit = _place("key")
+    # Never more than 2**18 rows of two longs, however many keys differ.
+    bits = F.broadcast(asked.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
 
     def part(df: DataFrame) -> DataFrame:
-        picked = df.filter(F.col(key).isNotNull()).select(F.col(key), *needed).withColumn("bucket", _bucket(key, buckets))
-        return picked.join(cells.select("bucket"), "bucket", "left_semi").distinct()
-
-    x, y = part(left).withColumn("here", F.lit(True)).alias("x"), part(right).withColumn("here", F.lit(True)).alias("y")
-    joined = x.join(y, F.col(f"x.{key}") == F.col(f"y.{key}"), "full_outer")
-    both = F.col("x.here").isNotNull() & F.col("y.here").isNotNull()
-    issues = [
-        F.when(F.col("y.here").isNull(), F.lit(missing_in_right)),
-        F.when(F.col("x.here").isNull(), F.lit(missing_in_left)),
-        *[F.when(both & _differs(c, tolerances.get(c)), F.lit(c)) for c in needed],
-    ]
-    out = joined.select(F.coalesce(F.col(f"x.{key}"), F.col(f"y.{key}")).alias(key), F.explode(F.filter(F.array(*issues), lambda i: i.isNotNull())).alias("issue"))
-    return out.distinct()
+        word, bit = _place(key)
+        mask = mask_of(masks, key)
+        own = [F.when(F.getbit(mask, F.lit(i)) == 1, F.col(c)).alias(c) for i, c in needed]
+        return df.select(F.col(key), *own, word, bit.alias("bit")).join(bits, "word").filter("getbit(bits, bit) = 1").drop("word", "bit", "bits").distinct()
+
+    joined = part(left).alias("x").join(part(right).alias("y"), F.col(f"x.{key}") == F.col(f"y.{key}"))
+    issues = F.filter(F.array(*[F.when(_differs(c, tolerances.get(c)), F.lit(c)) for _, c in needed] or [F.lit(None).cast("string")]), lambda i: i.isNotNull())
+    out = joined.select(F.col(f"x.{key}").alias(key), F.explode(issues).alias("issue"))
+    return missing.unionByName(out.distinct())

@@ -51,7 +51,7 @@ def test_many_rows_against_brute_force(spark):
     want = [(k, "missing_in_right") for k in l.keys() - r.keys()] + [(k, "missing_in_left") for k in r.keys() - l.keys()]
     for k in l.keys() & r.keys():
         want += [(k, c) for c, i in (("a", 1), ("s", 2), ("x", 3)) if l[k][i] != r[k][i]]
-    assert diff(spark, left, right, rows_per_bucket=16) == sorted(want, key=repr)
+    assert diff(spark, left, right, buckets=16) == sorted(want, key=repr)
 
 
 def test_matrix_locates_columns(spark):
@@ -60,3 +60,30 @@ def test_matrix_locates_columns(spark):
     cells = unequal_cells(left, right, "k", ["a", "s", "x"], 50).collect()
     assert [(c["mask"], c["keys_differ"]) for c in cells] == [(1, False)]
     assert checksum_matrix(left, "k", ["a"], 50).count() == 50
+
+
+def test_buckets_change_nothing(spark):
+    import random
+
+    rng = random.Random(2)
+    make = lambda: [(rng.randrange(200), rng.choice([None, 1, 2]), rng.choice(["u", "v", None]), rng.choice([0.0, 0.0002, 1.0]), None) for _ in range(260)]
+    same = make()[:150]
+    left, right = same + make()[:40], same[5:] + make()[:40]
+    got = [diff(spark, left, right, buckets=b) for b in (1, 7, 256)]
+    own = lambda side: {k: [r for r in side if r[0] == k] for k in {r[0] for r in side}}
+    l, r = own(left), own(right)
+    want = [(k, "missing_in_right") for k in l.keys() - r.keys()] + [(k, "missing_in_left") for k in r.keys() - l.keys()]
+    for k in l.keys() & r.keys():
+        for i, c in ((1, "a"), (2, "s")):
+            want += [(k, c)] * any(x[i] != y[i] for x in l[k] for y in r[k])
+        want += [(k, "x")] * any(abs(x[3] - y[3]) > 0.0005 for x in l[k] for y in r[k])
+    assert got[0] == got[1] == got[2] == sorted(want, key=repr)
+
+
+def test_rows_move_only_behind_the_map_of_keys(spark):
+    left = spark.range(2000).selectExpr("id as k", "id % 7 as a", "'s' as s", "0.0D as x", "'e' as extra")
+    right = left.withColumn("a", left.a + (left.k == 77).cast("bigint"))
+    out = table_diff(left, right, "k", ["a", "s", "x"], buckets=8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(out) == [(77, "a")]
+    assert "getbit" in plan
