@@ -106,6 +106,7 @@ def mix(
     target_share: str = "target_share",
     max_repeats: str = "max_repeats",
     budget_tokens: int | None = None,
+    budget_share: float | None = None,
     entropy_at_least: float | None = None,
     seed: int = 1,
     docs_per_block: int = 1000,
@@ -121,7 +122,8 @@ def mix(
     a source that has no target are not chosen. A share of a source without documents falls to the
     others in proportion. A document is used at most max_repeats times (null: once). Each source
     comes within half the tokens of one document of its budget; a budget too large for the caps
-    even at exponent 0 is cut per source at its cap. Targets that are null or not positive are 0;
+    even at exponent 0 is cut per source at its cap. The budget is ``budget_tokens``, or ``budget_share`` of all
+    tokens of sources with a target, or the largest that meets the targets. Targets that are null or not positive are 0;
     names that agree after source_key add up, with the smallest cap. Empty tables give no rows.
     """
     key = source_key(F.col(target_source))
@@ -147,6 +149,8 @@ def mix(
     every = sum(t for t, _ in totals.values())
     natural = {s: t / every for s, (t, _) in totals.items()}
     live = mixture(natural, goal, 1.0)
+    if budget_tokens is None and budget_share is not None:
+        budget_tokens = int(budget_share * every)
     if budget_tokens is None:
         budget_tokens = int(min((cap[s] * totals[s][0] / w for s, w in live.items()), default=0))
     reps = lambda w: {s: budget_tokens * x / totals[s][0] for s, x in w.items()}

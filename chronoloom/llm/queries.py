@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib.util
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm.leak import leaked_items
@@ -69,8 +69,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_near(spark, d).filter("edits = 0").select("doc_id", "item_id")
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), id="doc_id", source="source", text="text", tokenizer=tokenizer_path())
+def _mix(spark: SparkSession, d: str, **how) -> tuple[DataFrame, DataFrame]:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), id="doc_id", source="source", text="text", tokenizer=tokenizer_path(), **how)
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +83,40 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mix of 0.8 times all tokens: repetition limits bind, so the exponent is bisected below 1."""
+    return _mix(spark, d, budget_share=0.8)[1]
+
+
+def p8_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mix whose source weights have an entropy of 2.3 nats, between that of the natural shares and that of the targets."""
+    return _mix(spark, d, budget_share=0.4, entropy_at_least=2.3)[1]
+
+
+def _audited(pair: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(source, used, within_caps, on_weight, as_reported): what a mix promises, worked out again from the chosen documents.
+
+    on_weight: the source's tokens lie within half its longest document of weight times all tokens (or at its cap).
+    """
+    chosen, shares = pair
+    own = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("got"), F.max("repeats").alias("most"), F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"))
+    j = shares.join(F.broadcast(own), "source", "left").fillna(0, ["got", "most", "longest", "n", "ids"]).withColumn("all_tokens", F.sum("got").over(Window.partitionBy(F.lit(1))))
+    away = F.abs(F.col("got") - F.col("weight") * F.col("all_tokens"))
+    room = F.col("longest") / F.lit(2.0) + F.lit(0.001) * F.col("all_tokens")
+    return j.select(
+        "source", (F.col("got") > 0).alias("used"), (F.col("most") <= F.col("max_repeats")).alias("within_caps"), (away <= room).alias("on_weight"),
+        ((F.col("got") == F.col("tokens")) & (F.col("n") == F.col("documents")) & (F.col("n") == F.col("ids")) & (F.abs(F.col("actual_share") - F.coalesce(F.col("got") / F.col("all_tokens"), F.lit(0.0))) < 1e-9)).alias("as_reported"),
+    )
+
+
+def p8_audit(spark: SparkSession, d: str) -> DataFrame:
+    return _audited(_mix(spark, d))
+
+
+def p8_audit_budget(spark: SparkSession, d: str) -> DataFrame:
+    return _audited(_mix(spark, d, budget_share=0.8))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return look_pairs(table(spark, d, "documents"), "doc_id", "text", ("doc_id_a", "doc_id_b"))
 
@@ -95,7 +129,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return look_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_bound, p2_found, p6_found, p6_turns, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_bound, p2_found, p6_found, p6_turns, p7_found, p7_near, p8_mix, p8_shares, p8_budget, p8_entropy, p8_audit, p8_audit_budget, p9_found, p9_forms, p9_classes)}
 
 _NEAREST = """
 with b as (select distinct bind_id, run_id, cast(round_even(audio_t_s * 1000, 0) as bigint) as a from binder
@@ -134,6 +168,12 @@ _TEXTS = (
 )
 
 
+_KEY = lambda c: f"regexp_replace(trim(lower({c})), '[\\s_\\-]+', '_', 'g')"
+# Every promise holds for every target; a source is used if it has a share and a document with text.
+_AUDIT = f"""select {_KEY('source')} as source, sum(target_share) > 0 and {_KEY('source')} in (select {_KEY('source')} from documents where text <> '' and source is not null) as used,
+true as within_caps, true as on_weight, true as as_reported from mix_targets where source is not null group by 1"""
+
+
 # What the test texts use to look alike, spelled out apart from the operator's own tables.
 _TWINS = "АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTYXSIJaeopcyxsijhdABEZHIKMNOPTYXo"
 _LOWER_TWINS = "авекмнорстухѕіјһԁαβεζηικμνορτυχ", "abekmhopctyxsijhdabezhikmnoptyx"
@@ -192,6 +232,8 @@ def sql() -> dict[str, str]:
         "p6_turns": _TURNS + _TEXTS,
         "p7_found": f"with d as ({pieces('documents', 'doc_id')}), e as ({pieces('eval_items', 'item_id')}) select distinct doc_id, item_id from d join e using (piece)",
         "p7_near": _near_sql(),
+        "p8_audit": _AUDIT,
+        "p8_audit_budget": _AUDIT,
         "p9_found": forms + " select distinct least(a.doc_id, b.doc_id) as doc_id_a, greatest(a.doc_id, b.doc_id) as doc_id_b from f a join f b on a.form = b.form and a.text < b.text",
         "p9_classes": forms + ", c as (select form, min(text_id) as class_id, count(*) as n_texts, cast(sum(n) as bigint) as n_rows from t group by 1) "
         "select doc_id, class_id, text_id, n_texts, n_rows - n as n_links from f join t using (form, text) join c using (form)",

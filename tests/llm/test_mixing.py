@@ -73,3 +73,29 @@ def test_empty_and_bounds(spark):
         run(spark, some(3, 0, "a"), [("a", 0.5, 1), ("b", 0.5, 1)], max_targets=1)
     chosen, _ = run(spark, some(9, 0, "a"), [("a", 1.0, None)])
     assert chosen.agg(F.max("repeats"), F.count("*")).first() == (1, 9)
+
+
+def test_the_registered_mixes_bisect(spark, data):
+    import os
+
+    from chronoloom.llm import queries as Q
+
+    data = data.replace("sf0.001", "sf0.01")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables here")
+    full = {r["source"]: r for r in Q.p8_shares(spark, data).collect()}
+    for query in (Q.p8_budget, Q.p8_entropy):
+        got = {r["source"]: r for r in query(spark, data).collect()}
+        w = {s: r["weight"] for s, r in got.items() if r["weight"] > 0}
+        assert sum(w.values()) == pytest.approx(1) and w.keys() == {s for s, r in full.items() if r["weight"] > 0}
+        # Weights lie on the line from the natural shares to the targets, and at neither end.
+        assert any(abs(w[s] - full[s]["weight"]) > 1e-4 for s in w)
+        assert all(r["most_repeats"] <= r["max_repeats"] for r in got.values())
+        if query is Q.p8_entropy:
+            assert M.entropy(w) == pytest.approx(2.3, abs=1e-6)
+        else:
+            tokens = sum(r["tokens"] for r in got.values())
+            assert any(r["tokens"] > 0.98 * r["weight"] * tokens and r["most_repeats"] == r["max_repeats"] for r in got.values())
+    for query in (Q.p8_audit, Q.p8_audit_budget):
+        for r in query(spark, data).collect():
+            assert r["within_caps"] and r["on_weight"] and r["as_reported"]
