@@ -4,7 +4,9 @@ Per source: y(t) = a + b t + sum_k c_k cos(2 pi k t / P) + d_k sin(2 pi k t / P)
 equations are sums over the observed moments: built per (source, block) where the rows lie, added per
 source, and solved one small matrix per source in Arrow batches. A missing moment gets the model's
 value plus the residual bridged linearly between the observed moments on its two sides, so the
-series passes through what was observed. A source is cut into blocks of ``block_moments`` grid
+series passes through what was observed. The period P, where none is given, is found in the readings
+themselves: the power spectra of all stretches of all sources are added up, and the frequency that stands
+out most from its surroundings is taken. A source is cut into blocks of ``block_moments`` grid
 moments; model and neighbouring endpoints reach a block through one summary row per block, and no
 task holds more of a source than a block.
 """
@@ -19,9 +21,52 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.settle import runs_of
 from chronoloom.timekeys import floor_div
 
 
+def seasonal_period(readings: DataFrame, *, bin_ms: int = 500, bins: int = 8192, least_cycles: int = 4) -> float | None:
+    """The period in ms that stands out most in the pooled power spectrum of all sources; None without a peak.
+
+    readings: (source, t_ms, v), all real. Each source is cut into stretches of ``bins`` bins; a stretch's mean is
+    taken off, empty bins are 0, and its spectrum is divided by its variance, so loud and long sources do not
+    drown the others. Spectra are added per task, then over all; ``bins`` / 2 numbers reach the driver. A peak
+    is measured against the median power around it and placed between frequencies by a parabola. Periods of
+    less than two bins or more than ``bins`` / ``least_cycles`` are not looked for.
+    """
+    cell = floor_div(F.floor("t_ms"), bin_ms)
+    cells = readings.groupBy("source", floor_div(cell, bins).alias("block"), F.pmod(cell, F.lit(bins).cast("bigint")).cast("int").alias("cell")).agg(F.avg("v").alias("v"))
+    group = ["source", "block"]
+    half = bins // 2 + 1
+
+    def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(half)
+        for pdf in runs_of(batches, group):
+            at, v = pdf["cell"].to_numpy(), pdf["v"].to_numpy(dtype=float)
+            for own in pdf.groupby(group, sort=False).indices.values():
+                x = v[own] - v[own].mean()
+                size = float(x @ x)
+                if size > 0 and np.isfinite(size):
+                    line = np.zeros(bins)
+                    line[at[own]] = x
+                    total += np.abs(np.fft.rfft(line)) ** 2 / size
+        yield pd.DataFrame({"k": np.arange(half), "p": total})
+
+    parts = cells.repartition(*group).sortWithinPartitions(*group).mapInPandas(spectra, "k bigint, p double")
+    power = np.zeros(half)
+    for row in parts.groupBy("k").agg(F.sum("p").alias("p")).collect():  # one row per frequency
+        power[row["k"]] = row["p"]
+    around = np.array([np.median(power[max(1, int(k * 0.7)) : int(k * 1.4) + 8]) for k in range(half)])
+    ratio = np.where(around > 0, power / np.where(around > 0, around, 1.0), 0.0)
+    ratio[:least_cycles] = 0.0
+    k = int(ratio[:-1].argmax())
+    if ratio[k] <= 1.0:
+        return None
+    a, b, c = power[k - 1], power[k], power[k + 1]
+    off = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c < 0 else 0.0
+    return float(bins * bin_ms / (k + off))
+
+
 def expected_moments(stretches: DataFrame, grid_ms: int, block_moments: int) -> DataFrame:
     """(source, block, m): moments whose start lies in some [t0, t1). May repeat.
 
@@ -77,7 +122,7 @@ def regular_grid(
     stretches: DataFrame,
     *,
     grid_ms: int = 100,
-    period_ms: float = 16_970.0,
+    period_ms: float | None = None,
     harmonics: int = 2,
     ridge: float = 1.0e-4,
     block_moments: int = 4096,
@@ -95,10 +140,18 @@ def regular_grid(
     Readings without source, time or a real value take no part; stretches without source or an
     edge, empty or reversed, cover nothing; readings outside all stretches serve the fit and the
     bridging but are no grid rows. Repeated rows count once. Empty tables give no rows.
+
+    Without ``period_ms`` the period is searched while the result is planned (one job, see seasonal_period);
+    where the readings have none, the regression is a trend alone.
     """
-    if grid_ms < 1 or period_ms <= 0 or harmonics < 0:
+    if grid_ms < 1 or harmonics < 0 or (period_ms is not None and period_ms <= 0):
         raise ValueError("grid_ms and period_ms must be positive, harmonics at least 0")
-    seen = readings.filter("source is not null and t_ms is not null and v is not null and not isnan(t_ms) and not isnan(v) and abs(t_ms) < 9e15").distinct()
+    seen = readings.filter("source is not null and t_ms is not null and v is not null and not isnan(t_ms) and not isnan(v) and abs(t_ms) < 9e15")
+    if period_ms is None and harmonics:
+        period_ms = seasonal_period(seen.select("source", "t_ms", "v"))
+    if period_ms is None:
+        period_ms, harmonics = 1.0, 0
+    seen = seen.distinct()
     m = floor_div(F.floor("t_ms"), grid_ms)
     observed = seen.select("source", floor_div(m, block_moments).alias("block"), m.alias("m"), "v", F.lit(0).alias("expected"))
     grid = expected_moments(stretches, grid_ms, block_moments).select("source", "block", "m", F.lit(None).cast("double").alias("v"), F.lit(1).alias("expected"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.operators.intervals import periods_and_gaps
-from chronoloom.operators.regular_grid import regular_grid
+from chronoloom.operators.regular_grid import regular_grid, seasonal_period
 from chronoloom.operators.table_diff import table_diff
 from chronoloom.session import table
 from chronoloom.timekeys import seconds_to_ms
@@ -39,7 +39,19 @@ def p5_grid(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_grid)}
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every moment's reading and how its gap was closed, without the fitted values."""
+    return _grid(spark, d).select("run_id", "moment_id", F.round("value", 9).alias("value"), "how")
+
+
+def p5_period(spark: SparkSession, d: str) -> DataFrame:
+    """The period of the readings, found in all of them."""
+    ticks = table(spark, d, "tick").filter("run_id is not null and t_ms is not null and rms is not null and not isnan(t_ms) and not isnan(rms)")
+    found = seasonal_period(ticks.select(F.col("run_id").alias("source"), "t_ms", F.col("rms").alias("v")))
+    return spark.createDataFrame([(found,)], "period_ms double")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_grid, p5_values, p5_period)}
 
 
 def _p3_sql() -> str:
@@ -73,4 +85,14 @@ with c as (select distinct run_id, cast(round_even(t0_s * 1000, 0) as bigint) as
 x as (select distinct run_id, unnest(range((a + 99) // 100, (b + 99) // 100)) as moment_id from c),
 o as (select distinct run_id, cast(floor(t_ms / 100) as bigint) as moment_id from tick where t_ms is not null and rms is not null and not isnan(rms))
 select run_id, moment_id from x anti join o using (run_id, moment_id)""",
+    "p5_values": """
+with c as (select distinct run_id, cast(round_even(t0_s * 1000, 0) as bigint) as a, cast(round_even(t1_s * 1000, 0) as bigint) as b from chunk
+           where run_id is not null and t0_s is not null and t1_s is not null),
+x as (select distinct run_id, unnest(range((a + 99) // 100, (b + 99) // 100)) as moment_id from c),
+t as (select distinct run_id, t_ms, rms, frame_no, loud from tick where run_id is not null and t_ms is not null and rms is not null and not isnan(rms)),
+o as (select run_id, cast(floor(t_ms / 100) as bigint) as moment_id, avg(rms) as value from t group by 1, 2),
+e as (select run_id, min(moment_id) as lo, max(moment_id) as hi from o group by 1)
+select run_id, moment_id, round(value, 9) as value,
+case when value is not null then 'observed' when lo is null then 'missing' when moment_id between lo and hi then 'bridged' else 'extended' end as how
+from x left join o using (run_id, moment_id) left join e using (run_id)""",
 }
