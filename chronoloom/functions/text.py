@@ -8,12 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spellings under which a speech recogniser writes the default system name.
-NAME_PATTERNS = (
-    r"wodehaus", r"woodhouse", r"wodehouse", r"vodehaus", r"vodahaus", r"wood\s+house", r"would\s+house",
-    r"what\s+house", r"woo\s*touse", r"world\s+house", r"word\s+house", r"woat\s+house", r"wote\s+house",
-)
-
 # Intents in order of precedence; the first pattern found decides.
 INTENTS = (
     ("farewell", r"\b(bye|goodbye|good bye|see you|good night)\b"),
@@ -27,6 +21,7 @@ INTENTS = (
     ("yesno_question", r"^(do|does|did|is|are|was|were|can|could|would|will|have|has|should)\b"),
     ("wh_question", r"^(what|where|who|when|why|how)\b"),
 )
+# Directions a look may take, what it may be at, and the side phrases and letter classes below.
 LOOK = r"\blook\s+(left|right|up|down|center|centre|middle)\b"
 REFERENT = r"\b(?:look\s+(?:at|toward(?:s)?)|find|locate|where(?:s|\s+is))\s+(?:the\s+|a\s+|an\s+)?(.+?)(?:\s+please)?\s*$"
 # Words that select one of several things by place.
@@ -51,7 +46,8 @@ def word_count(c: Column) -> Column:
     return F.size(words_of(c))
 
 
-def is_addressed(c: Column, patterns: tuple[str, ...] = NAME_PATTERNS) -> Column:
+def is_addressed(c: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether a text calls one of the names, given as patterns over normalised text."""
     return normalize(c).rlike("|".join(f"(?:{p})" for p in patterns))
 
 

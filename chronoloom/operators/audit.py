@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.operators.robust import quantiles
+
 
 def row_diff(a: DataFrame, b: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """(key, side, d_<column>): keys of either run; side is 'both', 'left' or 'right', d the absolute difference.
@@ -51,8 +53,10 @@ def check_stored(stored: DataFrame, recomputed: DataFrame, key: list[str], colum
 
 
 def latency_stats(df: DataFrame, value: str) -> DataFrame:
-    """One row: n, mean, p50, p99, max."""
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.99)).alias("p99"), F.max(value).alias("max"))
+    """One row: n, mean, p50, p99, max; the quantiles are exact and null without a value."""
+    plain = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max")).withColumn("__one", F.lit(1))
+    ranked = quantiles(df, [], value, {"p50": 0.5, "p99": 0.99}).drop("n").withColumn("__one", F.lit(1))
+    return plain.join(F.broadcast(ranked), "__one", "left").select("n", "mean", "p50", "p99", "max")  # one row each
 
 
 def burstiness(df: DataFrame, keys: list[str], ms: str, widths_ms: dict[str, int], *, block_ms: int = 3_600_000) -> DataFrame:

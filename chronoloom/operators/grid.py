@@ -100,7 +100,9 @@ def min_max(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def ceiling_clip(df: DataFrame, keys: list[str], value: str, q: float = 0.99) -> DataFrame:
     """``df`` with ``clipped``: value over the stream's q-quantile (linear), cut to 0..1."""
-    b = df.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias("__top"))
+    from chronoloom.operators.robust import quantiles
+
+    b = quantiles(df, keys, value, {"__top": q}).drop("n")
     x = F.col(value) / F.greatest("__top", F.lit(1e-9))
     return df.join(b, keys).withColumn("clipped", F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).drop("__top")
 

@@ -78,18 +78,37 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], l_at: str, r_at:
     return both.select(*[F.col(f"`{c}`") for c in left.columns], pick(f"r_{r_at}", "__at").alias(f"r_{r_at}"), *[pick(f"r_{v}", f"__{v}").alias(f"r_{v}") for v in values])
 
 
+def _level(length: Column, width: int) -> Column:
+    """The smallest k with length <= width 2**k, so an interval touches at most two buckets of its level."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1)) / F.lit(float(width))) - F.lit(1e-12)).cast("int"))
+
+
+def _bucket_of(at: Column, level: Column, width: int) -> Column:
+    by = F.call_function("shiftleft", F.lit(width).cast("bigint"), level)
+    return F.call_function("div", at - F.pmod(at, by), by)
+
+
+def _with_top(df: DataFrame, intervals: DataFrame) -> DataFrame:
+    """``df`` with __top, the highest level of the intervals: one row, joined on a constant."""
+    top = intervals.agg(F.coalesce(F.max("__k"), F.lit(0)).alias("__top")).withColumn("__one", F.lit(1))
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(top), "__one").drop("__one")
+
+
 def containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, *, width: int, closed_end: bool = False) -> DataFrame:
     """Pairs of a point and an interval that holds it: start <= t < end, or <= end; columns prefixed.
 
-    ``width`` is the bucket size; an interval is written to every bucket it touches, so choose it
-    about as long as an interval.
+    ``width`` is the bucket size; choose it about as long as an interval. Longer intervals lie in buckets
+    twice, four times ... as wide and are written to at most two of them, however long; a point looks into one
+    bucket of each size that occurs.
     """
     last = F.col(end) if closed_end else F.col(end) - F.lit(1)
-    r = intervals.filter(F.col(start).isNotNull() & (last >= F.col(start))).withColumn("__b", F.explode(F.sequence(floor_div(start, width), floor_div(last, width))))
-    l = points.withColumn("__b", floor_div(at, width))
-    joined = prefixed(l, "l_").join(prefixed(r, "r_"), _equal(keys))
+    r = intervals.filter(F.col(start).isNotNull() & (last >= F.col(start))).withColumn("__k", _level(last - F.col(start), width))
+    l = _with_top(points.filter(F.col(at).isNotNull()), r).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__top")))).drop("__top")
+    l = l.withColumn("__b", _bucket_of(F.col(at), F.col("__k"), width))
+    r = r.withColumn("__b", F.explode(F.sequence(_bucket_of(F.col(start), F.col("__k"), width), _bucket_of(last, F.col("__k"), width))))
+    joined = prefixed(l, "l_").join(prefixed(r, "r_"), _equal(keys) & (F.col("l___k") == F.col("r___k")))
     inside = (F.col(f"l_{at}") >= F.col(f"r_{start}")) & ((F.col(f"l_{at}") <= F.col(f"r_{end}")) if closed_end else (F.col(f"l_{at}") < F.col(f"r_{end}")))
-    return joined.filter(inside).drop("l___b", "r___b")
+    return joined.filter(inside).drop("l___b", "r___b", "l___k", "r___k")
 
 
 def containing_list(points: DataFrame, intervals: DataFrame, keys: list[str], id: str, at: str, start: str, end: str, label: str, *, width: int) -> DataFrame:
@@ -128,18 +147,31 @@ def coincident(left: DataFrame, right: DataFrame, keys: list[str], l_at: str, r_
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], start: str, end: str, *, width: int) -> DataFrame:
     """Pairs of intervals with a.start < b.end and b.start < a.end; columns prefixed l_ and r_.
 
-    Each interval is written to every bucket it touches; a pair is kept only in the bucket where the
+    The longer of two intervals lies in at most two buckets of about its length, where the shorter ones
+    look for it, so two long intervals meet at most twice. A pair is kept only in the bucket where the
     later of the two starts, so it comes out once.
     """
+    begin, last = F.col(start), F.greatest(F.col(end) - F.lit(1), F.col(start))
+
+    def levelled(df: DataFrame) -> DataFrame:
+        return df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("__k", _level(last - begin, width))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("__b", F.explode(F.sequence(_bucket_of(begin, F.col("__k"), width), _bucket_of(last, F.col("__k"), width))))
 
-    def spread(df: DataFrame) -> DataFrame:
-        last = F.greatest(F.col(end) - F.lit(1), F.col(start))
-        return df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("__b", F.explode(F.sequence(floor_div(start, width), floor_div(last, width))))
+    def looking(df: DataFrame, others: DataFrame, from_: int) -> DataFrame:
+        """Each interval at the levels of others from its own (or the next) on."""
+        up = _with_top(df, others).withColumn("__k", F.explode(F.filter(F.sequence(F.lit(0), F.col("__top")), lambda k: k >= F.col("__k") + F.lit(from_)))).drop("__top")
+        return placed(up)
 
-    joined = prefixed(spread(a), "l_").join(prefixed(spread(b), "r_"), _equal(keys))
+    l, r = levelled(a), levelled(b)
     meets = (F.col(f"l_{start}") < F.col(f"r_{end}")) & (F.col(f"r_{start}") < F.col(f"l_{end}"))
-    home = F.col("l___b") == floor_div(F.greatest(f"l_{start}", f"r_{start}"), width)
-    return joined.filter(meets & home).drop("l___b", "r___b")
+    home = F.col("l___b") == _bucket_of(F.greatest(f"l_{start}", f"r_{start}"), F.col("l___k"), width)
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        return prefixed(x, "l_").join(prefixed(y, "r_"), _equal(keys) & (F.col("l___k") == F.col("r___k"))).filter(meets & home).drop("l___b", "r___b", "l___k", "r___k")
+
+    return pairs(placed(l), looking(r, l, 0)).unionByName(pairs(looking(l, r, 1), placed(r)))
 
 
 def bucket_list(df: DataFrame, keys: list[str], at: str, value: str, width: int, spine: DataFrame | None = None) -> DataFrame:

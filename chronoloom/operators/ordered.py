@@ -18,6 +18,20 @@ def block_carry(summary: DataFrame, keys: list[str], value: Column, name: str) -
     return summary.select(*keys, "block", value.over(before).alias(name))
 
 
+def numbered(df: DataFrame, keys: list[str], at: str, order: list[str], *, block: int, name: str = "n") -> DataFrame:
+    """``df`` with each row's number (from 1) in its stream, in order of (at, order); rows without a time drop.
+
+    Rows are numbered inside blocks; counts of the blocks before come through one row per block.
+    """
+    rows = df.filter(F.col(at).isNotNull()).withColumn("__block", floor_div(at, block))
+    base = block_carry(rows.groupBy(*keys, F.col("__block").alias("block")).agg(F.count(F.lit(1)).alias("c")), keys, F.sum("c"), "__base")
+    base = base.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("block").alias("__b"), "__base")
+    own = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(at, *order))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__block") == F.col("__b")]
+    out = rows.withColumn(name, own).join(base, same).withColumn(name, F.coalesce("__base", F.lit(0)) + F.col(name))
+    return out.select(*df.columns, name)
+
+
 def sessions(df: DataFrame, keys: list[str], at: str, gap: int, *, end: str | None = None, closed: bool = False, block: int | None = None, name: str = "session") -> DataFrame:
     """``df`` with a session number (from 1) per keys.
 

@@ -11,6 +11,7 @@ from chronoloom.operators.grid import framed, max_abs_diff_curve
 from chronoloom.operators.ordered import sessions
 from chronoloom.operators.robust import global_threshold, local_threshold
 from chronoloom.operators.settle import CHOSEN, GONE, OPEN, settle
+from chronoloom.session import materialise
 
 
 def local_maxima(curve: DataFrame, keys: list[str], *, index: str = "m", value: str = "v", reach: int = 2) -> DataFrame:
@@ -48,7 +49,7 @@ def min_gap(peaks: DataFrame, keys: list[str], gap: int, *, index: str = "m", va
 
 def visual_transients(df: DataFrame, keys: list[str], ms: str, order: list[str], value: str, grid_ms: int, *, k: float = 4.0) -> DataFrame:
     """(keys, t_ms, strength): local maxima of the largest step per moment above median + k 1.4826 MAD."""
-    curve = max_abs_diff_curve(df, keys, ms, order, value, grid_ms)
+    curve = materialise(max_abs_diff_curve(df, keys, ms, order, value, grid_ms))  # read five times below
     bar = global_threshold(curve, keys, k=k).select(*keys, "threshold")
     tops = local_maxima(curve, keys).join(bar, keys).filter("v > threshold")
     return tops.select(*keys, (F.col("m") * grid_ms).alias("t_ms"), F.col("v").alias("strength"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.grid import BLOCK, framed
@@ -10,16 +10,54 @@ from chronoloom.operators.grid import BLOCK, framed
 MAD_TO_SIGMA = 1.4826
 
 
-def global_threshold(curve: DataFrame, keys: list[str], *, value: str = "v", k: float = 4.0, approximate: bool = False) -> DataFrame:
-    """(keys, med, mad, threshold): median + k 1.4826 MAD over each stream, in two aggregations.
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], *, accuracy: int = 20_000) -> DataFrame:
+    """(keys, n, one column per wanted quantile): exact quantiles with linear interpolation, nulls left out.
 
-    The exact median keeps the distinct values of a stream in one buffer; for streams with more
-    distinct values than memory holds, ``approximate`` uses a bounded quantile summary.
+    No task holds a stream's values: a bounded summary brackets each quantile, rows below the bracket are
+    only counted where they lie, and just the values inside it (a few of every ``accuracy`` rows; all of
+    them in streams of at most ``accuracy`` rows) are put in order. Streams without a value have no row.
     """
-    mid = (lambda c: F.percentile_approx(c, 0.5, 100_000)) if approximate else (lambda c: F.percentile(c, F.lit(0.5)))
-    med = curve.groupBy(*keys).agg(mid(F.col(value)).alias("med"))
-    away = curve.join(med, keys).groupBy(*keys).agg(F.first("med").alias("med"), mid(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    return away.withColumn("threshold", F.col("med") + F.lit(k * MAD_TO_SIGMA) * (F.col("mad") + F.lit(1e-12)))
+    names = list(wanted)
+    rows = df.select(*keys, F.col(value).alias("__v")).filter("__v is not null")
+    near = [min(max(q + side * 2.0 / accuracy, 0.0), 1.0) for q in wanted.values() for side in (-1, 1)]
+    edges = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__v", F.array(*[F.lit(x) for x in near]), F.lit(accuracy)).alias("__e"))
+    if keys:
+        tied = edges.select(*[F.col(k).alias(f"__{k}") for k in keys], "n", "__e")
+        own = rows.join(tied, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*[f"__{k}" for k in keys])
+    else:
+        # One row of bounded size; a join on a constant keeps it from being planned as a loop.
+        own = rows.withColumn("__one", F.lit(1)).join(F.broadcast(edges.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    every = F.col("n") <= F.lit(accuracy)
+    counted = []
+    for i, name in enumerate(names):
+        low, high = F.col("__e")[2 * i], F.col("__e")[2 * i + 1]
+        # 0: below the bracket, counted only; else the value itself.
+        inside = every | ((F.col("__v") >= low) & (F.col("__v") <= high))
+        counted.append(F.struct(F.lit(name).alias("q"), F.when(inside, F.col("__v")).alias("v"), (inside | (F.col("__v") < low)).alias("counts")))
+    long = own.select(*keys, "n", F.explode(F.array(*counted)).alias("x")).filter("x.counts").groupBy(*keys, "n", F.col("x.q").alias("q"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy(*keys, "q").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    reach = long.withColumn("upto", F.sum("c").over(order)).filter("v is not null")
+    out = []
+    for name, q in wanted.items():
+        at = F.lit(q) * (F.col("n") - 1)
+        mine = F.col("q") == name
+        first = F.min(F.when(mine & (F.col("upto") > F.floor(at)), F.col("v")))
+        second = F.min(F.when(mine & (F.col("upto") > F.ceil(at)), F.col("v")))
+        out += [first.alias(f"__a_{name}"), second.alias(f"__b_{name}")]
+    got = reach.groupBy(*keys, "n").agg(*out)
+    share = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    return got.select(*keys, "n", *[(F.col(f"__a_{x}") + (F.col(f"__b_{x}") - F.col(f"__a_{x}")) * share(q)).alias(x) for x, q in wanted.items()])
+
+
+def global_threshold(curve: DataFrame, keys: list[str], *, value: str = "v", k: float = 4.0) -> DataFrame:
+    """(keys, med, mad, threshold): median + k 1.4826 MAD over each stream, both medians exact (see quantiles).
+
+    The curve is read four times: hand over a materialised one where it is costly.
+    """
+    med = quantiles(curve, keys, value, {"med": 0.5}).drop("n")
+    away = curve.join(med, keys).select(*keys, F.abs(F.col(value) - F.col("med")).alias("__d"))
+    both = med.join(quantiles(away, keys, "__d", {"mad": 0.5}).drop("n"), keys)
+    return both.withColumn("threshold", F.col("med") + F.lit(k * MAD_TO_SIGMA) * (F.col("mad") + F.lit(1e-12)))
 
 
 def mirrored(curve: DataFrame, keys: list[str], rows: int, *, index: str = "m") -> DataFrame:
@@ -72,8 +110,7 @@ def causal_gate(curve: DataFrame, keys: list[str], *, index: str = "m", value: s
 
 def whole_gate(curve: DataFrame, keys: list[str], *, value: str = "v", q: float = 0.75) -> DataFrame:
     """The gate against the quantile of the whole stream (it sees the future; for comparison only)."""
-    b = curve.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias("__q"))
-    return curve.join(b, keys).withColumn("gate", _boost(F.col(value), F.col("__q"))).drop("__q")
+    return curve.join(quantiles(curve, keys, value, {"__q": q}).drop("n"), keys).withColumn("gate", _boost(F.col(value), F.col("__q"))).drop("__q")
 
 
 def onset_bar(curve: DataFrame, keys: list[str], *, index: str = "m", value: str = "v", window: int = 200, q: float = 0.95, floor: float = 6.0) -> DataFrame:
@@ -87,8 +124,6 @@ def running_ceiling(curve: DataFrame, keys: list[str], chunk: str, *, value: str
     Per chunk a KLL-style quantile summary would do online; here value counts per chunk are merged,
     so the result is exact.
     """
-    from pyspark.sql import Window
-
     counts = curve.groupBy(*keys, chunk, value).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*keys).orderBy(chunk).rangeBetween(Window.unboundedPreceding, 0)
     return counts.withColumn("ceiling", F.percentile(value, F.lit(q), F.col("n")).over(w)).groupBy(*keys, chunk).agg(F.max("ceiling").alias("ceiling"))

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.text import NAME_PATTERNS, thing_key
+from chronoloom.functions.text import thing_key
 from chronoloom.operators.fold import Fold, ordered_fold
 
 
@@ -56,7 +56,7 @@ def stitch_fold() -> Fold:
     return Fold(dict, step, "start_ms bigint, end_ms bigint, n_words bigint, text string", flush=lambda s: [(*k, *s[k]) for k in sorted(s)])
 
 
-def turn_fold(*, silence_ms: int = 1500, margin_ms: int = 1000, least_speech: float = 0.2, names: tuple[str, ...] = NAME_PATTERNS) -> Fold:
+def turn_fold(names: tuple[str, ...], *, silence_ms: int = 1500, margin_ms: int = 1000, least_speech: float = 0.2) -> Fold:
     """Addressed turns in a rolling transcript.
 
     A row is one look at the transcript: now_ms, segments array<struct<start_ms, end_ms, words

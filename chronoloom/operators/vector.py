@@ -28,6 +28,18 @@ def label_centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     return means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+def mean_scores(df: DataFrame, vector: str, labels: DataFrame) -> DataFrame:
+    """(label, mean_score): the mean cosine of all vectors to each label's centroid.
+
+    The mean of dot products is the dot product with the mean, so only the mean unit vector is formed and
+    no vector meets a label. Null, empty and zero vectors do not count.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(vector).alias("__v")).withColumn("__n", F.sqrt(dot(F.col("__v"), F.col("__v")))).filter("__n > 0")
+    long = rows.select("__n", F.posexplode("__v").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double") / F.col("__n")).alias("u"))
+    parts = labels.select("label", F.sqrt(dot(F.col("centroid"), F.col("centroid"))).alias("__c"), F.posexplode("centroid").alias("i", "c")).filter("__c > 0")
+    return parts.join(long, "i").groupBy("label").agg((F.sum(F.col("c") * F.col("u")) / F.first("__c")).alias("mean_score"))
+
+
 def zero_shot(df: DataFrame, id: str, vector: str, labels: DataFrame, *, k: int = 3, temperature: float = 1.0, unknown_below: float | None = None, max_labels: int = 10_000) -> DataFrame:
     """(id, rank, label, score, prob): the k best labels of each vector; ties go to the smaller label.
 
@@ -58,13 +70,18 @@ def zero_shot(df: DataFrame, id: str, vector: str, labels: DataFrame, *, k: int
             e = np.exp((s - s.max(axis=1, keepdims=True)) / temperature)
             p = e / e.sum(axis=1, keepdims=True)
             order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out = []
-            for r in range(len(x)):
-                if unknown_below is not None and p[r, order[r, 0]] < unknown_below:
-                    out.append((ids[r], 1, None, s[r, order[r, 0]], p[r, order[r, 0]]))
-                else:
-                    out += [(ids[r], i + 1, names[c], s[r, c], p[r, c]) for i, c in enumerate(order[r])]
-            yield pd.DataFrame(out, columns=["id", "rank", "label", "score", "prob"])
+            if unknown_below is None:
+                width = order.shape[1]
+                at = np.arange(len(x))[:, None]
+                yield pd.DataFrame({"id": np.repeat(ids, width), "rank": np.tile(np.arange(1, width + 1), len(x)), "label": np.array(names, dtype=object)[order].ravel(), "score": s[at, order].ravel(), "prob": p[at, order].ravel()})
+                continue
+            sure = p[np.arange(len(x)), order[:, 0]] >= unknown_below
+            width = np.where(sure, order.shape[1], 1)
+            at = np.repeat(np.arange(len(x)), width)
+            rank = np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width)
+            best = order[at, rank]
+            label = np.where(sure[at], np.array(names, dtype=object)[best], None)
+            yield pd.DataFrame({"id": ids[at], "rank": rank + 1, "label": label, "score": s[at, best], "prob": p[at, best]})
 
     slim = df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(id).alias("id"), F.col(vector).alias("vector"))
     return slim.mapInPandas(score, f"id {id_kind}, rank int, label {kind}, score double, prob double").withColumnRenamed("id", id)

@@ -10,6 +10,7 @@ from chronoloom.operators.audit import burstiness, latency_stats
 from chronoloom.operators.fold import ordered_fold
 from chronoloom.operators.state import voice_fold
 from chronoloom.plans.common import CURVE, EV, GRID, curve, events, r
+from chronoloom.session import materialise
 
 T = ["event_type"]
 U = ["user_id"]
@@ -29,7 +30,7 @@ def visual_transients(spark, d):
 
 
 def global_thresholds(spark, d):
-    return robust.global_threshold(curve(spark, d), T).select("event_type", *[r(c) for c in ("med", "mad", "threshold")])
+    return robust.global_threshold(materialise(curve(spark, d)), T).select("event_type", *[r(c) for c in ("med", "mad", "threshold")])
 
 
 def onset_local_threshold(spark, d):

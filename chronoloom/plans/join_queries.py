@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import audit, gaze, grid, joins, resample
 from chronoloom.operators.binding import greedy_pairs
+from chronoloom.operators.ordered import numbered
 from chronoloom.plans.binding_queries import _HEAD
 from chronoloom.plans.common import CURVE, EV, GRID, WIDE, curve, events, of_type, r
 from chronoloom.session import table
@@ -61,11 +62,9 @@ def coincidence_semi(spark, d):
 
 
 def near_in_space(spark, d):
+    """For every event its user's latest earlier one close by, both out of the whole table."""
     ev = events(spark, d).select("event_id", "user_id", "ms", F.col("value").alias("x"), (F.col("event_id") % 50).cast("double").alias("y"))
-    right = ev.filter(F.col("event_id") % 2 == 0)
-    right = right.withColumn("near_id", F.col("event_id"))
-    left = ev.filter(F.col("event_id") % 2 == 1).withColumn("near_id", F.lit(None).cast("bigint"))
-    return joins.near_in_space(left, right, U, "event_id", "ms", "x", "y", "near_id", radius=20.0, min_age=HOUR, max_age=48 * HOUR)
+    return joins.near_in_space(ev, ev.withColumn("near_id", F.col("event_id")), U, "event_id", "ms", "x", "y", "near_id", radius=20.0, min_age=HOUR, max_age=48 * HOUR)
 
 
 def _sessions(spark, d, kind: str) -> DataFrame:
@@ -95,8 +94,9 @@ def equi_left_fill(spark, d):
 
 
 def update_merge(spark, d):
+    """Values of purchases and errors brought up to date: errors become -1, a null (of purchases) changes nothing."""
     base = events(spark, d).select("event_id", "event_type", "value")
-    new = base.filter("event_id % 7 = 0").select("event_id", F.when(F.col("event_id") % 14 == 0, F.lit(-1.0)).alias("value"))
+    new = base.filter(F.col("event_type").isin("purchase", "error")).select("event_id", F.when(F.col("event_type") == "error", F.lit(-1.0)).alias("value"))
     return joins.update_from(base, new, ["event_id"], ["value"]).select("event_id", "event_type", r("value", 4))
 
 
@@ -110,8 +110,8 @@ def topk_priority_union(spark, d):
 
 
 def systematic_sample(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ms", "event_id")
-    return events(spark, d).withColumn("n", F.row_number().over(w)).filter("n > 10 and n % 8 = 1").select("event_type", "event_id", F.col("n").cast("bigint").alias("n"))
+    """Every eighth event of a type after the first ten, by numbers that are counted block by block."""
+    return numbered(events(spark, d), ["event_type"], "ms", ["event_id"], block=24 * HOUR).filter("n > 10 and n % 8 = 1").select("event_type", "event_id", "n")
 
 
 def top_windows(spark, d):
@@ -143,7 +143,7 @@ def grouping_sets(spark, d):
 
 def set_algebra(spark, d):
     """Users by what they did: clicked and viewed, clicked but never bought."""
-    who = lambda k: _kind(spark, d, k).filter("value > 10").select("user_id").distinct()
+    who = lambda k: _kind(spark, d, k).select("user_id").distinct()
     both = who("click").intersect(who("view")).select("user_id", F.lit("both").alias("kind"))
     never = who("click").join(who("purchase"), "user_id", "left_anti").select("user_id", F.lit("never").alias("kind"))
     return both.unionByName(never)
@@ -211,13 +211,13 @@ SQL = {
     "bucket_list": f"with {EV} select event_type, ms // {24 * HOUR} as b, string_agg(event_id::varchar, ',' order by event_id) as ids from ev group by 1, 2",
     "first_following_within": f"with {EV}, {_K('l', 'click')}, {_K('p', 'purchase')} select l.event_id, min(p.ms) as follows from l left join p on l.user_id = p.user_id and p.ms > l.ms and p.ms <= l.ms + {24 * HOUR} group by 1",
     "coincidence_semi": f"with {EV}, {_K('l', 'click')}, {_K('v', 'view')} select event_id from l where exists (select 1 from v where v.user_id = l.user_id and abs(v.ms - l.ms) <= {HOUR})",
-    "near_in_space": f"with {EV}, p as (select event_id, user_id, ms, value as x, event_id % 50 as y from ev) select l.event_id, arg_max(x.event_id, (x.ms, x.event_id)) as near_id from p l left join p x on x.event_id % 2 = 0 and x.user_id = l.user_id "
-    f"and l.ms - x.ms > {HOUR} and l.ms - x.ms < {48 * HOUR} and sqrt((l.x - x.x) ** 2 + (l.y - x.y) ** 2) < 20 where l.event_id % 2 = 1 group by 1",
+    "near_in_space": f"with {EV}, p as (select event_id, user_id, ms, value as x, event_id % 50 as y from ev) select l.event_id, arg_max(x.event_id, (x.ms, x.event_id)) as near_id from p l left join p x on x.user_id = l.user_id "
+    f"and l.ms - x.ms > {HOUR} and l.ms - x.ms < {48 * HOUR} and sqrt((l.x - x.x) ** 2 + (l.y - x.y) ** 2) < 20 group by 1",
     "overlap_pairs": f"with {EV}, {_SPAN('a', 'click')}, {_SPAN('b', 'view')} select a.event_id as a, b.event_id as b from a join b on a.user_id = b.user_id and a.s < b.e and b.s < a.e",
     "span_to_moments": f"with {EV}, {_SPAN('a', 'click')} select event_id, unnest(range(s // {GRID}, greatest(e - 1, s) // {GRID} + 1)) as m from a",
     "speech_share": f"with {EV}, {_SPAN('a', 'click')}, m as (select distinct unnest(range(s // {GRID}, greatest(e - 1, s) // {GRID} + 1)) as m from a) select m // 6 as hour, round(count(*) / 6.0, 6) as share from m group by 1",
     "equi_left_fill": _HEAD + "select e.event_id, dt_ms, dt_ms is not null as bound from ev e left join pairs on e.event_id = left_id where event_type = 'click'",
-    "update_merge": "select event_id, event_type, round(case when event_id % 14 = 0 then -1.0 else value end, 4) as value from events",
+    "update_merge": "select event_id, event_type, round(case when event_type = 'error' then -1.0 else value end, 4) as value from events",
     "topk_priority_union": _HEAD + "select id, min(pri) as pri from (select * from (select id, 1 as pri from two where side = 0 order by s desc, id limit 50) union all select left_id, 2 from pairs) group by 1",
     "systematic_sample": f"with {EV}, n as (select event_type, event_id, row_number() over (partition by event_type order by ms, event_id) as n from ev) select * from n where n > 10 and n % 8 = 1",
     "top_windows": f"with {CURVE} select event_type, m, round(v, 4) as v from (select * from cur order by v desc, event_type, m limit 10)",
@@ -226,7 +226,7 @@ SQL = {
     "first_divergences": f"with {_RUN('a', 'run_report')}, {_RUN('b', 'run_report_copy')}, j as (select coalesce(a.run_id, b.run_id) as run_id, case when b.run_id is null then 'left' when a.run_id is null then 'right' else 'both' end as side, {_DIFF('n_saccades')} as x from a full join b on a.run_id = b.run_id) "
     "select run_id, side, round(x, 3) as d_n_saccades from j where side <> 'both' or x > 0 or x is null order by run_id limit 5",
     "grouping_sets": "select event_type, user_id % 4 as quarter, count(*) as n, count(distinct user_id) as users from events group by cube (event_type, user_id % 4)",
-    "set_algebra": "with c as (select distinct user_id from events where event_type = 'click' and value > 10), v as (select distinct user_id from events where event_type = 'view' and value > 10), p as (select distinct user_id from events where event_type = 'purchase' and value > 10) "
+    "set_algebra": "with c as (select distinct user_id from events where event_type = 'click'), v as (select distinct user_id from events where event_type = 'view'), p as (select distinct user_id from events where event_type = 'purchase') "
     "select user_id, 'both' as kind from c where user_id in (select user_id from v) union all select user_id, 'never' from c where user_id not in (select user_id from p)",
     "flow_onsets_by_user": f"with {EV}, {_SPAN('a', 'click')}, p as (select *, max(e) over (partition by user_id order by s, event_id rows between unbounded preceding and 1 preceding) as x from a), o as (select *, sum(case when x is null or s - x > {HOUR} then 1 else 0 end) over (partition by user_id order by s, event_id rows unbounded preceding) as k from p) "
     "select user_id, cast(k as bigint) as session, count(*) as n, min(s) as first_ms from o group by 1, 2",

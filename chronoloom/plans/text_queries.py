@@ -122,8 +122,7 @@ def unknown_threshold(spark, d):
 
 def label_agg(spark, d):
     e = table(spark, d, "embeddings")
-    out = vector.zero_shot(e, "vec_id", "embedding", vector.label_centroids(e, "embedding", "label"), k=10_000)
-    return out.groupBy("label").agg(F.avg("score").alias("mean_score")).select("label", r("mean_score", 5))
+    return vector.mean_scores(e, "embedding", vector.label_centroids(e, "embedding", "label")).select("label", r("mean_score", 5))
 
 
 def centroid_cosine(spark, d):

@@ -211,14 +211,14 @@ def said(text, at):
 
 
 def test_turns_fire_suppress_and_repeat(spark):
-    seg = said("Woodhouse look left", 0)
-    again = said("Woodhouse look left", 100)
-    later = said("Wood house look up", 18_000)
+    seg = said("Beacon look left", 0)
+    again = said("Beacon look left", 100)
+    later = said("Bea con look up", 18_000)
     looks = [("a", 1500, [seg], None), ("a", 3000, [seg], None), ("a", 8000, [seg, again], None), ("a", 21_000, [later], 0.9), ("b", 9000, [said("nothing here", 0)], None), ("c", 4000, [seg], 0.0), ("d", 4000, None, None)]
-    out = ordered_fold(spark.createDataFrame(looks, LOOK), ["conv"], ["now_ms"], state.turn_fold())
+    out = ordered_fold(spark.createDataFrame(looks, LOOK), ["conv"], ["now_ms"], state.turn_fold((r"bea\s*con",)))
     assert rows(out, "conv", "kind", "now_ms", "text") == [
-        ("a", "refire", 8000, "look left Woodhouse look left"), ("a", "turn", 21_000, "Wood house look up"),
-        ("a", "turn", 3000, "Woodhouse look left"), ("c", "no_speech", 4000, "Woodhouse look left"),
+        ("a", "refire", 8000, "look left Beacon look left"), ("a", "turn", 21_000, "Bea con look up"),
+        ("a", "turn", 3000, "Beacon look left"), ("c", "no_speech", 4000, "Beacon look left"),
     ]
 
 
@@ -297,3 +297,62 @@ def test_min_gap_over_block_borders(spark, kind):
     df = spark.createDataFrame(data, "k string, m bigint, v double")
     for block in (None, 40):
         assert rows(peaks.min_gap(df, ["k"], 5, block=block), "k", "m") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("n,accuracy", [(1, 100), (2, 100), (7, 100), (900, 100), (900, 50), (3000, 200)])
+def test_quantiles_are_exact(spark, n, accuracy):
+    rng = random.Random(n)
+    data = [(k, float(rng.choice([rng.randrange(5), rng.gauss(0, 1)])) if rng.random() > 0.1 or i == 0 else None) for k in ("a", None, "b") for i in range(n)]
+    want = {"p0": 0.0, "lo": 0.01, "mid": 0.5, "up": 0.75, "p99": 0.99, "p1": 1.0}
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r["k"]: r for r in robust.quantiles(df, ["k"], "v", want, accuracy=accuracy).collect()}
+    for k in ("a", None, "b"):
+        own = [v for q, v in data if q == k and v is not None]
+        assert got[k]["n"] == len(own)
+        assert [got[k][x] for x in want] == pytest.approx([float(np.quantile(own, q)) for q in want.values()])
+    assert robust.quantiles(df.limit(0), ["k"], "v", want).count() == 0
+    assert robust.quantiles(df, [], "v", {"mid": 0.5}, accuracy=accuracy).first()["mid"] == pytest.approx(np.quantile([v for _, v in data if v is not None], 0.5))
+
+
+def test_numbered(spark):
+    from chronoloom.operators.ordered import numbered
+
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-50, 50)]), i) for i in range(200)]
+    want = []
+    for k in ("a", "b", None):
+        want += [(i, n + 1) for n, (_, t, i) in enumerate(sorted((d for d in data if d[0] == k and d[1] is not None), key=lambda d: d[1:]))]
+    df = spark.createDataFrame(data, "k string, t bigint, i bigint")
+    for block in (1, 7, 1000):
+        assert rows(numbered(df, ["k"], "t", ["i"], block=block), "i", "n") == sorted(want, key=repr)
+
+
+def test_mean_scores_against_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    data = [(i, [float(x) for x in rng.normal(size=6)], "xyz"[i % 3]) for i in range(60)] + [(90, [0.0] * 6, None), (91, None, None), (92, [], None)]
+    df = spark.createDataFrame(data, "id bigint, v array<double>, label string")
+    labels = vector.label_centroids(df, "v", "label")
+    every = vector.zero_shot(df, "id", "v", labels, k=100).groupBy("label").agg(F.avg("score").alias("s"))
+    got = dict(rows(vector.mean_scores(df, "v", labels)))
+    assert got == pytest.approx(dict(rows(every)))
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_intervals_of_very_unequal_length(spark, width):
+    rng = random.Random(width)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            s = rng.randrange(-500, 500)
+            out.append((i, "k" if i % 5 else "j", s, s + rng.choice([0, 1, 2, 5, 40, 900, 10**6, 10**12])))
+        return out
+
+    a, b = some(60), some(70)
+    frame = lambda rows_: spark.createDataFrame(rows_, "id bigint, k string, s bigint, e bigint")
+    got = joins.overlapping(frame(a), frame(b), ["k"], "s", "e", width=width)
+    assert rows(got, "l_id", "r_id") == sorted(((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] < y[3] and y[2] < x[3]), key=repr)
+    points = frame(a).select("id", "k", F.col("s").alias("t"))
+    for closed in (False, True):
+        held = joins.containing(points, frame(b), ["k"], "t", "s", "e", width=width, closed_end=closed)
+        assert rows(held, "l_id", "r_id") == sorted(((x[0], y[0]) for x in a for y in b if x[1] == y[1] and y[2] <= x[2] and (x[2] <= y[3] if closed else x[2] < y[3])), key=repr)
