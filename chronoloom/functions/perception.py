@@ -89,3 +89,8 @@ def flicker_phase(t_ms: Column, on_ms: float, gap_ms: float) -> Column:
     half = on_ms + gap_ms
     p = F.pmod(t_ms.cast("double"), F.lit(2 * half))
     return F.when(p < on_ms, "A").when(p < half, "blank").when(p < half + on_ms, "B").otherwise("blank")
+
+
+def total_energy(static: Column, chromatic: Column, transient: Column) -> Column:
+    """Energy of a frame; an absent part counts 0."""
+    return F.coalesce(static, F.lit(0.0)) + F.coalesce(chromatic, F.lit(0.0)) + F.coalesce(transient, F.lit(0.0))

@@ -54,9 +54,9 @@ def check_stored(stored: DataFrame, recomputed: DataFrame, key: list[str], colum
 
 def latency_stats(df: DataFrame, value: str) -> DataFrame:
     """One row: n, mean, p50, p99, max; the quantiles are exact and null without a value."""
-    plain = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max")).withColumn("__one", F.lit(1))
-    ranked = quantiles(df, [], value, {"p50": 0.5, "p99": 0.99}).drop("n").withColumn("__one", F.lit(1))
-    return plain.join(F.broadcast(ranked), "__one", "left").select("n", "mean", "p50", "p99", "max")  # one row each
+    ranked = quantiles(df, [], value, {"p50": 0.5, "p99": 0.99})
+    plain = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return plain.select("n", "mean", *[ranked.select(q).scalar().alias(q) for q in ("p50", "p99")], "max")
 
 
 def burstiness(df: DataFrame, keys: list[str], ms: str, widths_ms: dict[str, int], *, block_ms: int = 3_600_000) -> DataFrame:
@@ -71,3 +71,22 @@ def burstiness(df: DataFrame, keys: list[str], ms: str, widths_ms: dict[str, int
         counts = densify(moments(rows, keys, ms, width, c=F.count(F.lit(1))), keys, "m", {"c": 0})
         out = out.join(counts.groupBy(*keys).agg((F.var_samp("c") / F.avg("c")).alias(f"fano_{name}")), keys)
     return out
+
+
+def segment_correlation(a: DataFrame, b: DataFrame, keys: list[str], segment: str, at: list[str], value: str) -> DataFrame:
+    """(keys, segment, n, corr): Pearson correlation of two series over the points they share, per segment."""
+    right = b.select(*keys, segment, *at, F.col(value).alias("__y"))
+    j = a.select(*keys, segment, *at, F.col(value).alias("__x")).join(right, [*keys, segment, *at])
+    return j.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("n"), F.corr("__x", "__y").alias("corr"))
+
+
+def span_share(spans: DataFrame, marks: DataFrame, keys: list[str], id: str, start: str, end: str, grid_ms: int) -> DataFrame:
+    """(id, moments, marked, share): how many of the moments that a span touches are marked.
+
+    marks: (keys, m), any number of times. A span without a time has no row, one without marks the share 0.
+    """
+    from chronoloom.operators.grid import span_moments
+
+    cells = span_moments(spans.select(*keys, id, start, end), start, end, grid_ms)
+    hit = cells.join(marks.select(*keys, "m", F.lit(1).alias("__hit")).distinct(), [*keys, "m"], "left")
+    return hit.groupBy(id).agg(F.count(F.lit(1)).alias("moments"), F.count("__hit").alias("marked")).withColumn("share", F.col("marked") / F.col("moments"))

@@ -89,9 +89,8 @@ def _bucket_of(at: Column, level: Column, width: int) -> Column:
 
 
 def _with_top(df: DataFrame, intervals: DataFrame) -> DataFrame:
-    """``df`` with __top, the highest level of the intervals: one row, joined on a constant."""
-    top = intervals.agg(F.coalesce(F.max("__k"), F.lit(0)).alias("__top")).withColumn("__one", F.lit(1))
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(top), "__one").drop("__one")
+    """``df`` with __top, the highest level of the intervals."""
+    return df.withColumn("__top", intervals.agg(F.coalesce(F.max("__k"), F.lit(0))).scalar())
 
 
 def containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, *, width: int, closed_end: bool = False) -> DataFrame:

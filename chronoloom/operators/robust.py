@@ -25,8 +25,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, floa
         tied = edges.select(*[F.col(k).alias(f"__{k}") for k in keys], "n", "__e")
         own = rows.join(tied, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*[f"__{k}" for k in keys])
     else:
-        # One row of bounded size; a join on a constant keeps it from being planned as a loop.
-        own = rows.withColumn("__one", F.lit(1)).join(F.broadcast(edges.withColumn("__one", F.lit(1))), "__one").drop("__one")
+        own = rows.withColumn("n", edges.select("n").scalar()).withColumn("__e", edges.select("__e").scalar())
     every = F.col("n") <= F.lit(accuracy)
     counted = []
     for i, name in enumerate(names):

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.functions import dsp
 from chronoloom.operators.fold import Fold, ordered_fold
+from chronoloom.operators.grid import differences
+from chronoloom.operators.ordered import block_carry
+from chronoloom.timekeys import floor_div
 
 
 def rms(samples: Column) -> Column:
@@ -69,6 +73,22 @@ def spectra(df: DataFrame, keys: list[str], samples: str, *, rate: int = dsp.RAT
     return df.select(*keys, samples).mapInPandas(run, f"{kinds}, m bigint, spec array<double>, profile array<double>, t_max double, loud double")
 
 
+def phase_slope(df: DataFrame, keys: list[str], at: str, phase: str, *, block: int) -> DataFrame:
+    """(keys, n, slope): least-squares slope of the unwrapped phase (radians) over time; null for fewer than two times.
+
+    Steps are brought into -pi..pi and added up block by block, so a stream never lies in one task.
+    """
+    turn = F.lit(2.0 * math.pi)
+    rows = df.filter(F.col(at).isNotNull() & F.col(phase).isNotNull()).select(*keys, at, F.col(phase).alias("__p"))
+    steps = differences(rows, keys, at, ["__p"], "__p", block_ms=block)
+    own = F.coalesce(F.col("diff") - turn * F.round(F.col("diff") / turn), F.lit(0.0))
+    steps = steps.withColumn("__d", own).withColumn("block", floor_div(at, block))
+    within = Window.partitionBy(*keys, "block").orderBy(at, "__p").rowsBetween(Window.unboundedPreceding, 0)
+    base = block_carry(steps.groupBy(*keys, "block").agg(F.sum("__d").alias("s")), keys, F.sum("s"), "__in")
+    whole = steps.withColumn("__u", F.sum("__d").over(within)).join(base, [*keys, "block"]).withColumn("__u", F.col("__u") + F.coalesce("__in", F.lit(0.0)))
+    return whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("__u", F.col(at).cast("double")).alias("slope"))
+
+
 @F.pandas_udf(T.DoubleType())
 def arrival_lag(left: pd.Series, right: pd.Series) -> pd.Series:
     """ms by which the left channel leads the right one; null if unclear."""

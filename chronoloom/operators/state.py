@@ -271,3 +271,17 @@ def recent(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFram
     """The last n rows of each key."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
     return df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
+
+
+def latest_distinct(df: DataFrame, keys: list[str], label: str, at: str, *, n: int | None = None) -> DataFrame:
+    """(keys, label, last, place): each label once, the one seen last first; ties by label. At most ``n`` per keys."""
+    last = df.filter(F.col(label).isNotNull() & F.col(at).isNotNull()).groupBy(*keys, F.col(label).alias("label")).agg(F.max(at).alias("last"))
+    out = last.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("last").desc(), "label")))
+    return out.filter(F.col("place") <= n) if n else out
+
+
+def context_payload(turns: DataFrame, id: str, said: str, state: str | None, objects: str, history: str, system: str) -> DataFrame:
+    """(id, payload): JSON of what a language model is told: the turn, the state, known objects (an empty list is null), the dialogue so far."""
+    listed = F.when(F.size(objects) > 0, F.col(objects))
+    fields = [F.col(said).alias("turn"), (F.col(state) if state else F.lit(None).cast("string")).alias("perceptual_state"), listed.alias("recognized_objects"), F.coalesce(F.col(history), F.lit("")).alias("dialogue_history"), F.lit(system).alias("system")]
+    return turns.select(id, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.plans import binding_queries, curve_queries, general, join_queries, program_queries, state_queries, text_queries
+from chronoloom.plans import binding_queries, curve_queries, detail_queries, general, join_queries, program_queries, state_queries, text_queries
 
-_MODULES = [binding_queries, curve_queries, join_queries, text_queries, state_queries, program_queries, general]
+_MODULES = [binding_queries, curve_queries, join_queries, text_queries, state_queries, program_queries, detail_queries, general]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -61,9 +61,20 @@ def sightings_log(spark: SparkSession, path: str) -> DataFrame:
     return hit.select(g(2).alias("label"), g(4).cast("double").alias("x"), g(5).cast("double").alias("y"), F.bround(g(1).cast("double") * 1000).cast("bigint").alias("t_ms"), g(3).cast("double").alias("conf"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON objects, one a line; broken lines are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def json_lines(spark: SparkSession, path: str, schema: StructType | str, *, broken: str | None = None) -> DataFrame:
+    """JSON objects, one a line. Broken lines are dropped, or with ``broken`` kept as text in a column of that name."""
+    if broken is None:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    return spark.read.schema(StructType([*kind.fields]).add(broken, "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).json(path)
+
+
+def frame_at(frames: DataFrame, keys: list[str], at: str, when: int, *, slack: int) -> DataFrame:
+    """The last frame of each stream at or before a time and not older than ``slack``; the filter reaches the scan."""
+    near = frames.filter((F.col(at) <= F.lit(when)) & (F.col(at) >= F.lit(when - slack)))
+    rest = [c for c in frames.columns if c not in keys]
+    best = near.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(at)).alias("__f"))
+    return best.select(*keys, *[F.col(f"__f.{c}").alias(c) for c in rest])
 
 
 def tokenizer_vocabulary(spark: SparkSession, path: str) -> DataFrame:

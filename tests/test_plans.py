@@ -16,5 +16,5 @@ def test_no_pairwise_plan(spark, data, name):
 
 
 def test_filters_reach_the_scan(spark, data):
-    plan = registry.queries()["bind_greedy_pairs"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    plan = registry.queries()["coincidence_semi"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,click)" in plan and "props" not in plan
