@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.text import thing_key
 from chronoloom.operators.fold import Fold, ordered_fold
+from chronoloom.timekeys import floor_div
 
 
 def voice_fold(level: str = "rms", at: str = "m", *, ratio: float = 4.0, hold: int = 3, pull: float = 0.05, floor: float = 1e-4) -> Fold:
@@ -56,7 +57,7 @@ def stitch_fold() -> Fold:
     return Fold(dict, step, "start_ms bigint, end_ms bigint, n_words bigint, text string", flush=lambda s: [(*k, *s[k]) for k in sorted(s)])
 
 
-def turn_fold(names: tuple[str, ...], *, silence_ms: int = 1500, margin_ms: int = 1000, least_speech: float = 0.2) -> Fold:
+def turn_fold(names: tuple[str, ...], *, silence_ms: int = 1500, margin_ms: int = 1000, least_speech: float = 0.2, keep_ms: int = 600_000) -> Fold:
     """Addressed turns in a rolling transcript.
 
     A row is one look at the transcript: now_ms, segments array<struct<start_ms, end_ms, words
@@ -70,9 +71,10 @@ def turn_fold(names: tuple[str, ...], *, silence_ms: int = 1500, margin_ms: int
 
     def step(s: dict, row) -> list[tuple]:
         fresh, words = [], []
+        s["seen"] = {k for k in s["seen"] if k[1] is None or k[1] >= row.now_ms - keep_ms}
         for seg in row.segments if row.segments is not None else []:
             key = (seg["start_ms"], seg["end_ms"])
-            own = [w for w in (seg["words"] if seg["words"] is not None else [])]
+            own = [w for w in (seg["words"] if seg["words"] is not None else []) if w["start_ms"] is not None and w["end_ms"] is not None]
             words += own
             if key not in s["seen"]:
                 s["seen"].add(key)
@@ -101,6 +103,20 @@ def turn_fold(names: tuple[str, ...], *, silence_ms: int = 1500, margin_ms: int
     return Fold(lambda: {"seen": set(), "from": None, "last": None}, step, "kind string, now_ms bigint, start_ms bigint, end_ms bigint, text string")
 
 
+def rolling_looks(segments: DataFrame, keys: list[str], *, every_ms: int = 10_000, span_ms: int = 30_000) -> DataFrame:
+    """(keys, now_ms, segments): at every multiple of ``every_ms`` the transcript of the last ``span_ms``.
+
+    segments: (keys, start_ms, end_ms, words). A look holds the segments that ended at or before it and less than
+    ``span_ms`` ago, in order, so consecutive looks overlap and an array never holds more than a span. Times
+    without a segment give no look; rows without an end are left out.
+    """
+    first = floor_div(F.col("end_ms") + F.lit(every_ms - 1), every_ms)
+    last = floor_div(F.col("end_ms") + F.lit(span_ms - 1), every_ms)
+    spread = segments.filter("end_ms is not null").select(*keys, "start_ms", "end_ms", "words", F.explode(F.sequence(first, last)).alias("k"))
+    packed = F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "words")))
+    return spread.groupBy(*keys, (F.col("k") * every_ms).alias("now_ms")).agg(packed.alias("segments"))
+
+
 def track_fold(*, radius: float = 10.0, lifetime_ms: int = 60_000, smooth: float = 0.5) -> Fold:
     """Sightings of one kind of thing joined into tracks by place and time.
 

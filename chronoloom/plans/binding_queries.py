@@ -65,7 +65,8 @@ def shift_null_candidates(spark, d):
 def bind_shift_null(spark, d):
     left, right = _sides(spark, d)
     start = lambda df: df.withColumn("ms", F.col("ms") - F.lit(_ORIGIN))
-    return shift_null(start(left), start(right), WIDE, grid_ms=GRID, duration_ms=_DURATION, tight_ms=60_000, margin_ms=36_000_000)
+    out = shift_null(start(left), start(right), WIDE, grid_ms=GRID, duration_ms=_DURATION, tight_ms=60_000, margin_ms=36_000_000)
+    return out.select(*[r(c, 9) if t == "double" else c for c, t in out.dtypes])
 
 
 def chance_rates(spark, d):
@@ -111,6 +112,26 @@ def _summary_sql() -> str:
     return _HEAD + "select " + ", ".join(cols) + " from pairs"
 
 
+_ALL_SHIFTS = null_shifts(_DURATION, GRID, 200, 20261014, 36_000_000)
+_NULL = f"""with recursive {EV}, sh as (select * from (values (-1, 0), {", ".join(f"({i}, {s})" for i, s in enumerate(_ALL_SHIFTS))}) x(g, s)),
+two as (select g, event_id as id, ms - {_ORIGIN} as ms, value as s, 0 as side from ev, sh where event_type = 'click'
+        union all select g, event_id, case when g < 0 then ms - {_ORIGIN} else (ms - {_ORIGIN} + sh.s) % {_DURATION} end, value, 1 from ev, sh where event_type = 'view'),
+cut as (select *, case when ms - lag(ms) over (partition by g order by ms, side, id) > {WIDE} then 1 else 0 end as brk from two),
+comp as (select *, sum(brk) over (partition by g order by ms, side, id rows unbounded preceding) as c from cut),
+l as materialized (select g, c, id, ms, row_number() over (partition by g, c order by s desc nulls last, id) as k from comp where side = 0),
+cand as materialized (select l.g, l.c, l.k, v.id as vid, l.ms - v.ms as dt from l join comp v on v.side = 1 and v.g = l.g and v.c = l.c and abs(l.ms - v.ms) <= {WIDE}),
+walk(g, c, k, dt, used) as (
+  select distinct g, c, cast(0 as bigint), cast(null as bigint), cast([] as bigint[]) from l
+  union all
+  select g, c, k, p[2], case when p is null then used else list_append(used, p[1]) end from (
+    select w.g, w.c, w.k + 1 as k, w.used, arg_min([cand.vid, cand.dt], (abs(cand.dt), -cand.vid)) as p
+    from walk w join l on l.g = w.g and l.c = w.c and l.k = w.k + 1 left join cand on cand.g = w.g and cand.c = w.c and cand.k = w.k + 1 and not list_contains(w.used, cand.vid)
+    group by w.g, w.c, w.k, w.used)),
+n as (select count(*) as n from ev where event_type = 'click'),
+st as (select sh.g, count(dt) / any_value(n) as bound_rate, count(*) filter (abs(dt) <= 60000) / any_value(n) as tight_rate, cast(count(*) filter (dt = 0) as double) as dt0_count, avg(abs(dt)) as mean_abs_dt from sh left join walk w on sh.g = w.g, n group by 1),
+long as (unpivot st on bound_rate, tight_rate, dt0_count, mean_abs_dt into name statistic value v)
+select statistic, round(any_value(o), 9) as observed, round(avg(v), 9) as null_mean, round(stddev_samp(v), 9) as null_sd, round(quantile_cont(v, 0.05), 9) as null_p5, round(quantile_cont(v, 0.95), 9) as null_p95,
+round(avg(cast(v <= o as int)) * 100, 9) as percentile, true as available from long join (select statistic, v as o from long where g = -1) using (statistic) where g >= 0 group by 1"""
 QUERIES = {f.__name__: f for f in (bind_greedy_pairs, bind_unmatched, bind_candidates_band_join, bind_summary, bind_dt_histogram, shift_null_candidates, bind_shift_null, chance_rates)}
 SQL = {
     "bind_greedy_pairs": _HEAD + "select * from pairs",
@@ -121,6 +142,7 @@ SQL = {
     + ", ".join(f"({a}, {b})" for a, b in zip(_EDGES, _EDGES[1:])) + ") bins(lo, hi)",
     "shift_null_candidates": f"with {EV}, s as (select * from (values " + ", ".join(f"({i}, {s})" for i, s in enumerate(_SHIFTS)) + f") x(shift_id, s)), v as (select shift_id, (ms - {_ORIGIN} + s) % {_DURATION} as ms from ev, s where event_type = 'view') "
     f"select cast(shift_id as bigint) as shift_id, count(*) as n_hit from (select distinct s.shift_id, e.event_id from ev e join s on e.event_type = 'click' join v on v.shift_id = s.shift_id and v.ms between e.ms - {_ORIGIN} - {WIDE} and e.ms - {_ORIGIN} + {WIDE}) group by 1",
+    "bind_shift_null": _NULL,
     "chance_rates": f"with {EV}, p as (select event_type, count(*) as n, (max(ms) - min(ms)) / 1000.0 as s from ev group by 1) "
     f"select event_type, round(1 - exp(-({2 * WIDE} / 1000.0) * n / s), 6) as poisson, round(1 - exp(-({2 * WIDE + GRID} / 1000.0) * n / s), 6) as on_grid from p",
 }

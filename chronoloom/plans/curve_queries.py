@@ -166,7 +166,14 @@ walk(event_type, c, k, kept) as (
   select w.event_type, w.c, q.k, case when len(list_filter(w.kept, lambda x: abs(x - q.m) < 5)) = 0 then list_append(w.kept, q.m) else w.kept end
   from walk w join q on q.event_type = w.event_type and q.c = w.c and q.k = w.k + 1),
 kept as (select event_type, unnest(kept) as m from (select event_type, c, arg_max(kept, k) as kept from walk group by 1, 2))"""
+_MIRRORED = f"""{CURVE}, ends as (select event_type, min(m) as lo, max(m) as hi from cur group by 1),
+ext as (select event_type, m, v, false as edge from cur union all select event_type, 2 * lo - 1 - m, v, true from cur join ends using (event_type) where m < lo + 80
+        union all select event_type, 2 * hi + 1 - m, v, true from cur join ends using (event_type) where m > hi - 80),
+lm as (select *, quantile_cont(v, 0.5) over ({_BY} rows between 40 preceding and 40 following) as lmed from ext),
+lx as (select *, quantile_cont(abs(v - lmed), 0.5) over ({_BY} rows between 40 preceding and 40 following) as lmad from lm),
+ld as (select event_type, m, v, lmed, lmad from lx where not edge)"""
 SQL = {
+    "onsets_reflected": f"with recursive {_CLUSTER.replace(_LOCAL, _MIRRORED)} select event_type, m, round(v, 4) as v from kept join cur using (event_type, m)",
     "moment_max_abs_diff": f"with {CURVE} select event_type, m, round(v, 4) as v from cur",
     "moment_mean_dense": f"with {EV}, c as (select event_type, ms // {GRID} as m, avg(value) as v, count(value) as n from ev group by 1, 2), b as (select event_type, unnest(range(min(m), max(m) + 1)) as m from c group by 1) "
     "select event_type, m, round(coalesce(v, 0), 6) as v, coalesce(n, 0) as n from b left join c using (event_type, m)",
