@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chronoloom.operators.grid import BLOCK, framed
+from chronoloom.operators.grid import BLOCK
+from chronoloom.operators.ordered import with_halo
+from chronoloom.operators.settle import changes, runs_of
 
 MAD_TO_SIGMA = 1.4826
 
@@ -72,17 +79,64 @@ def mirrored(curve: DataFrame, keys: list[str], rows: int, *, index: str = "m")
     return out.drop("__lo", "__hi")
 
 
+def sliding_quantile(v: np.ndarray, before: int, after: int, q: float) -> tuple[np.ndarray, np.ndarray]:
+    """(quantile, rows) over the frame of ``before`` preceding and ``after`` following rows, cut at both ends.
+
+    Linear interpolation; NaN where a frame is empty. A negative bound lies on the other side of the row.
+    """
+    n, width = len(v), before + after + 1
+    out, rows = np.full(n, np.nan), np.zeros(n, np.int64)
+    low, high = np.maximum(np.arange(n) - before, 0), np.minimum(np.arange(n) + after + 1, n)
+    rows = np.maximum(high - low, 0)
+    whole = rows == width
+    at = np.flatnonzero(whole)
+    if len(at):
+        windows = np.lib.stride_tricks.sliding_window_view(v, width)
+        place = q * (width - 1)
+        k = int(place)
+        share = place - k
+        for lo in range(0, len(at), 1024):
+            part = np.partition(windows[low[at[lo : lo + 1024]]], [k, min(k + 1, width - 1)], axis=1)
+            out[at[lo : lo + 1024]] = part[:, k] + (part[:, min(k + 1, width - 1)] - part[:, k]) * share
+    for i in np.flatnonzero(~whole & (rows > 0)).tolist():
+        out[i] = np.quantile(v[low[i] : high[i]], q)
+    return out, rows
+
+
+def _by_blocks(curve: DataFrame, keys: list[str], index: str, value: str, before: int, after: int, made: Callable[[np.ndarray], dict[str, np.ndarray]], *, block: int = BLOCK) -> DataFrame:
+    """``curve`` with the double columns that ``made`` gives a stretch of values, computed per halo block in Arrow batches."""
+    rows = with_halo(curve, index, before, after, max(block, before, after)).repartition(*keys, "blk").sortWithinPartitions(*keys, "blk", index)
+    names, columns = list(made(np.zeros(1))), list(curve.columns)
+    schema = T.StructType([*curve.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in runs_of(batches, [*keys, "blk"]):
+            starts = changes(pdf, [*keys, "blk"])
+            v, core = pdf[value].to_numpy(dtype=float), pdf["core"].to_numpy(dtype=bool)
+            got = {n: np.empty(len(pdf)) for n in names}
+            for a, b in zip(starts, np.append(starts[1:], len(pdf))):
+                for n, x in made(v[a:b]).items():
+                    got[n][a:b] = x
+            out = pdf[columns][core].reset_index(drop=True)
+            yield out.assign(**{n: x[core] for n, x in got.items()})
+
+    return rows.mapInPandas(run, schema)
+
+
 def local_threshold(curve: DataFrame, keys: list[str], *, index: str = "m", value: str = "v", half: int = 40, k: float = 3.0, floor: float = 0.1, reflect: bool = False, block: int = BLOCK) -> DataFrame:
     """``curve`` with lmed, lmad and threshold = max(lmed + k 1.4826 lmad, floor).
 
     lmed is the median over 2 half + 1 rows; lmad the median, over the same frame, of each row's
-    distance to its own lmed. At the ends frames are cut, or with ``reflect`` mirrored.
+    distance to its own lmed. At the ends frames are cut, or with ``reflect`` mirrored. Both medians come from
+    one pass over blocks with a halo of 2 half. The curve must be dense and without nulls.
     """
     rows = mirrored(curve, keys, 2 * half, index=index) if reflect else curve
-    mid = lambda c, w: F.percentile(c, F.lit(0.5)).over(w)
-    rows = framed(rows, keys, index, half, half, lambda fr: {"lmed": mid(F.col(value), fr(-half, half))}, block=block)
-    rows = rows.withColumn("__away", F.abs(F.col(value) - F.col("lmed")))
-    rows = framed(rows, keys, index, half, half, lambda fr: {"lmad": mid(F.col("__away"), fr(-half, half))}, block=block).drop("__away")
+
+    def made(v: np.ndarray) -> dict[str, np.ndarray]:
+        lmed = sliding_quantile(v, half, half, 0.5)[0]
+        return {"lmed": lmed, "lmad": sliding_quantile(np.abs(v - lmed), half, half, 0.5)[0]}
+
+    rows = _by_blocks(rows, keys, index, value, 2 * half, 2 * half, made, block=block)
     if reflect:
         rows = rows.filter(~F.col("edge")).drop("edge")
     bar = F.col("lmed") + F.lit(k * MAD_TO_SIGMA) * (F.col("lmad") + F.lit(1e-12))
@@ -100,11 +154,13 @@ def causal_gate(curve: DataFrame, keys: list[str], *, index: str = "m", value: s
     never change an earlier gate.
     """
 
-    def make(frame):
-        w = frame(-window, -1)
-        return {"gate": F.when(F.count(value).over(w) >= warmup, _boost(F.col(value), F.percentile(value, F.lit(q)).over(w))).otherwise(F.lit(0.0))}
+    def made(v: np.ndarray) -> dict[str, np.ndarray]:
+        bar, rows = sliding_quantile(v, window, -1, q)
+        return {"__q": bar, "__n": rows.astype(float)}
 
-    return framed(curve, keys, index, window, 0, make)
+    out = _by_blocks(curve, keys, index, value, window, 0, made)
+    gate = F.when(F.col("__n") >= warmup, _boost(F.col(value), F.col("__q"))).otherwise(F.lit(0.0))
+    return out.withColumn("gate", gate).drop("__q", "__n")
 
 
 def whole_gate(curve: DataFrame, keys: list[str], *, value: str = "v", q: float = 0.75) -> DataFrame:
@@ -114,7 +170,8 @@ def whole_gate(curve: DataFrame, keys: list[str], *, value: str = "v", q: float
 
 def onset_bar(curve: DataFrame, keys: list[str], *, index: str = "m", value: str = "v", window: int = 200, q: float = 0.95, floor: float = 6.0) -> DataFrame:
     """``curve`` with ``bar``: q-quantile of the last ``window`` rows including this one, at least ``floor``."""
-    return framed(curve, keys, index, window - 1, 0, lambda fr: {"bar": F.greatest(F.percentile(value, F.lit(q)).over(fr(-(window - 1), 0)), F.lit(floor))})
+    out = _by_blocks(curve, keys, index, value, window - 1, 0, lambda v: {"bar": sliding_quantile(v, window - 1, 0, q)[0]})
+    return out.withColumn("bar", F.greatest("bar", F.lit(floor)))
 
 
 def running_ceiling(curve: DataFrame, keys: list[str], chunk: str, *, value: str = "v", q: float = 0.99) -> DataFrame:

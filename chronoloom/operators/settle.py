@@ -29,7 +29,7 @@ from chronoloom.timekeys import floor_div
 OPEN, CHOSEN, GONE, NOTHING = 0, 1, 2, -1
 
 
-def _changes(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+def changes(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
     """Positions at which a key-sorted frame begins another group, null being a value of its own."""
     new = np.zeros(len(pdf), bool)
     new[:1] = True
@@ -50,7 +50,7 @@ def runs_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         if not len(pdf):
             continue
         both = pd.concat([parts[-1].iloc[-1:], pdf], ignore_index=True) if parts else pdf
-        starts = _changes(both, keys)[1:] - (1 if parts else 0)
+        starts = changes(both, keys)[1:] - (1 if parts else 0)
         if len(starts):
             cut = int(starts[-1])
             whole = [*parts, pdf.iloc[:cut]] if cut else parts
@@ -98,7 +98,7 @@ def settle(
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in runs_of(batches, group):
-                starts = _changes(pdf, group)
+                starts = changes(pdf, group)
                 ends = np.append(starts[1:], len(pdf))
                 when = pdf[at].to_numpy()
                 blk = pdf["__blk"].to_numpy()

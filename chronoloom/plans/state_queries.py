@@ -16,7 +16,7 @@ def track_association(spark, d):
     ev = events(spark, d)
     seen = ev.select("user_id", F.col("event_type").alias("label"), F.col("value").alias("x"), (F.col("event_id") % 57).cast("double").alias("y"), F.call_function("div", F.col("ms"), F.lit(1000).cast("bigint")).alias("t_ms"), F.lit(0.5).alias("conf"))
     out = state.tracks(seen, ["user_id"], lifetime_ms=600_000)
-    return out.select("user_id", "thing", "t_ms", "track", r("x", 4), r("y", 4), r("conf", 4), "hits")
+    return out.select("user_id", "thing", "t_ms", "track", *[F.round(F.col(c) + F.lit(1e-9), 4).alias(c) for c in ("x", "y", "conf")], "hits")
 
 
 def live_tracks(spark, d):
@@ -24,7 +24,7 @@ def live_tracks(spark, d):
     seen = ev.select("user_id", F.col("event_type").alias("label"), F.col("value").alias("x"), F.lit(0.0).alias("y"), "ms", F.lit(0.5).alias("conf")).withColumnRenamed("ms", "t_ms")
     log = state.tracks(seen, ["user_id"], lifetime_ms=864_000_000)
     live = state.live_tracks(log, ["user_id"], 1_705_000_000_000, lifetime_ms=864_000_000)
-    return state.pick_by_place(live, ["user_id"], "leftmost").select("user_id", "thing", "track", r("x", 4), "hits", "age_ms")
+    return state.pick_by_place(live, ["user_id"], "leftmost").select("user_id", "thing", "track", F.round(F.col("x") + F.lit(1e-9), 4).alias("x"), "hits", "age_ms")
 
 
 def _words(spark, d):
@@ -108,9 +108,9 @@ w(user_id, thing, k, t, tracks, n, track, x, y, conf, hits) as (
 
 
 SQL = {
-    "track_association": f"with recursive {_tracks_sql('event_id % 57', 'ms // 1000', 600_000)} select user_id, thing, t as t_ms, track, round(x, 4) as x, round(y, 4) as y, round(conf, 4) as conf, hits from w where k > 0",
+    "track_association": f"with recursive {_tracks_sql('event_id % 57', 'ms // 1000', 600_000)} select user_id, thing, t as t_ms, track, round(x + 1e-9, 4) as x, round(y + 1e-9, 4) as y, round(conf + 1e-9, 4) as conf, hits from w where k > 0",
     "live_tracks": f"with recursive {_tracks_sql('0', 'ms', 864_000_000)}, l as (select user_id, thing, track, arg_max(x, (t, hits)) as x, arg_max(hits, (t, hits)) as hits, max(t) as t from w where k > 0 and t <= 1705000000000 group by 1, 2, 3) "
-    "select user_id, thing, track, round(x, 4) as x, hits, 1705000000000 - t as age_ms from l where 1705000000000 - t <= 864000000 qualify row_number() over (partition by user_id order by x, track) = 1",
+    "select user_id, thing, track, round(x + 1e-9, 4) as x, hits, 1705000000000 - t as age_ms from l where 1705000000000 - t <= 864000000 qualify row_number() over (partition by user_id order by x, track) = 1",
     "segment_stitch": f"""with recursive {_WORDS}, n as materialized (select *, len(words) as c, row_number() over (partition by run_id order by seg_id, a nulls first, b nulls first, len(words), text nulls first) as k from seg),
 w(run_id, k, kept) as (
   select distinct run_id, cast(0 as bigint), cast([] as struct(a bigint, b bigint, c bigint, text varchar)[]) from n

@@ -38,24 +38,23 @@ def referent_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", X.referent(F.col("text")).alias("referent"))
 
 
-_NAMES = ("leftmost windows", "the windows on the left", "the gate", "glass", "an Apple at the top", "Light-Strips")
-_SAYS = ("it", "it again", "that gate", "the left one", "upper one", "look there now")
-
-
-def _sample(spark, d) -> DataFrame:
-    names, says = (F.array(*[F.lit(x) for x in v]) for v in (_NAMES, _SAYS))
-    i = (F.col("event_id") % 6 + 1).cast("int")
-    return table(spark, d, "events").select("event_id", F.element_at(names, i).alias("name"), F.element_at(says, i).alias("says"))
+def _phrases(spark, d) -> DataFrame:
+    """Every part's name in one of six phrases that select by place, and in one of six that point back."""
+    p, k = F.col("p_name"), F.col("p_partkey") % 6
+    deal = lambda *ways: F.element_at(F.array(*ways), (k + 1).cast("int"))
+    name = deal(F.concat(F.lit("leftmost "), p, F.lit("s")), F.concat(F.lit("the "), p, F.lit(" on the left")), p, F.concat(F.lit("The Nearest "), p), F.concat(p, F.lit(" at the top")), F.concat(F.lit("The "), F.upper(p), F.lit("!")))
+    says = deal(F.lit("it"), F.lit("That again."), F.concat(F.lit("this "), p), F.lit("the upper one"), F.concat(F.lit("look at "), p), F.concat(F.lit("that "), p, F.lit(" again")))
+    return table(spark, d, "part").select("p_partkey", name.alias("name"), says.alias("says"))
 
 
 def spatial_names(spark, d):
     s = X.spatial_split(F.col("name"))
-    return _sample(spark, d).select("event_id", s["selector"].alias("selector"), s["name"].alias("rest"), X.thing_key(s["name"]).alias("key"), X.base_name(F.col("name")).alias("base"))
+    return _phrases(spark, d).select("p_partkey", s["selector"].alias("selector"), s["name"].alias("rest"), X.thing_key(s["name"]).alias("key"), X.base_name(F.col("name")).alias("base"))
 
 
 def anaphors(spark, d):
     a = X.anaphor(F.col("says"))
-    return _sample(spark, d).select("event_id", a["kind"].alias("kind"), a["word"].alias("word"))
+    return _phrases(spark, d).select("p_partkey", a["kind"].alias("kind"), a["word"].alias("word"))
 
 
 def segment_names(spark, d):
@@ -215,7 +214,6 @@ def _key(c: str) -> str:
 
 
 _WORDS = f"words as (select word, count(*) as n from (select unnest(list_filter(regexp_split_to_array({_norm('text')}, '\\s+'), lambda w: w <> '')) as word from documents where text is not null) group by 1)"
-_PICK = lambda v: "list_extract([" + ", ".join(_q(x) for x in v) + "], cast(event_id % 6 as int) + 1)"
 _VEC = "d as (select label, unnest(generate_series(1, 64)) as i, unnest(embedding) as x from embeddings), m as (select label, i, avg(cast(x as double)) as x from d group by 1, 2), c as (select label, list(x order by i) as c from m group by 1)"
 _SCORES = f"{_VEC}, s as (select vec_id, c.label, list_cosine_similarity(cast(embedding as double[]), c.c) as score from embeddings e cross join c)"
 
@@ -224,16 +222,11 @@ SQL = {
     "intent_classify": f"with {_SEG}, t as (select seg_id, {_norm('text')} as n, {_LOOK} as l from seg) select seg_id, {_intent()} as intent, {_direction('l')} as direction from t",
     "addressed": f"with {_SEG} select seg_id, regexp_matches({_norm('text')}, '(operator)|(sound\\s*desk)|(lab\\s+lead)') as called from seg where text is not null",
     "referent_extract": f"select doc_id, nullif(trim(regexp_extract({_norm('text')}, {_q(X.REFERENT)}, 1)), '') as referent from documents",
-    "spatial_names": "select event_id, x.selector, x.rest, x.key, x.base from (select event_id, list_extract(["
-    + ", ".join(
-        f"{{'selector': {a}, 'rest': {b}, 'key': '{c}', 'base': '{e}'}}"
-        for a, b, c, e in (
-            ("'leftmost'", "'windows'", "window", "windows"), ("'left'", "'windows'", "window", "windows"), ("null", "'the gate'", "gate", "the gate"),
-            ("null", "'glass'", "glass", "glass"), ("'top'", "'an apple'", "apple", "an apple"), ("null", "'Light-Strips'", "lightstrip", "Light-Strips"),
-        )
-    )
-    + "], cast(event_id % 6 as int) + 1) as x from events)",
-    "anaphors": "select event_id, list_extract(['pronoun', 'pronoun', 'det', 'one', 'one', null], cast(event_id % 6 as int) + 1) as kind, list_extract([null, null, 'gate', 'left', 'upper', null], cast(event_id % 6 as int) + 1) as word from events",
+    # What each phrase was made to say, not how it is parsed.
+    "spatial_names": "with p as (select p_partkey, p_partkey % 6 as k, p_name as p from part), n as (select p_partkey, case k when 0 then 'leftmost' when 1 then 'left' when 3 then 'nearest' when 4 then 'top' end as selector, "
+    "case k when 0 then p || 's' when 5 then 'The ' || upper(p) || '!' else p end as rest, p, k from p) select p_partkey, selector, rest, "
+    "case when k <> 0 and p like '%s' and p not like '%ss' then replace(p[:-2], ' ', '') else replace(p, ' ', '') end as key, rest as base from n",
+    "anaphors": "select p_partkey, case p_partkey % 6 when 0 then 'pronoun' when 1 then 'pronoun' when 2 then 'det' when 3 then 'one' when 5 then 'det' end as kind, case p_partkey % 6 when 2 then p_name when 3 then 'upper' when 5 then p_name || ' again' end as word from part",
     "region_name": "with p as (select event_id, fmod(value * 10, 224) as x, user_id as y from events), q as (select event_id, trim((case when y < 75 then 'upper' when y > 149 then 'lower' else '' end) || ' ' || (case when x < 75 then 'left' when x > 149 then 'right' else '' end)) as t from p) "
     "select event_id, case when t = '' then 'center' else t end as region from q",
     "phonetic_keys": f"with {_WORDS} select word, {_key('word')} as key from words",
