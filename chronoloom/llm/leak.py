@@ -19,8 +19,10 @@ a block. With more than one block the words are written out once. Documents are
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from chronoloom.llm.lookalike import connect, glue_words, look_alikes, mapped, words_sql
+from chronoloom.llm.lookalike import caseless_sql, connect, look_alikes, mapped
 from chronoloom.session import materialise
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -37,14 +39,34 @@ _FAR = 1 << 30
 CELLS = 2_000_000
 
 
-def _words(con, texts: list[str | None], sql: str) -> list[str]:
-    return mapped(con, texts, sql, glue_words)
-
-
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+@lru_cache(maxsize=1)
+def _word_signs() -> np.ndarray:
+    """Which code points are letters, digits or marks."""
+    out = np.zeros(0x110000, bool)
+    out[:0x33480] = [unicodedata.category(c)[0] in "LNM" for c in map(chr, range(0x33480))]  # no letters above
+    out[0xE0100:0xE01F0] = True  # marks
+    return out
+
+
+def _spaced(text: str) -> np.ndarray:
+    """The words of a text as codes, each with one space before and after; nothing without words."""
+    codes = _codes(text)
+    at = np.flatnonzero(_word_signs()[codes])
+    if not len(at):
+        return np.empty(0, np.uint32)
+    out = np.full(len(at) + int((np.diff(at) > 1).sum()) + 2, 32, np.uint32)
+    out[np.arange(1, len(at) + 1) + np.concatenate(([0], np.cumsum(np.diff(at) > 1)))] = codes[at]
+    return out
+
+
+def _words(con, texts: list[str], sql: str) -> list[str]:
+    return [_spaced(t).tobytes().decode("utf-32-le", "surrogatepass") for t in mapped(con, texts, sql)]
+
+
 def _gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of every q-gram of one array, by position."""
     n = len(codes) - q + 1
@@ -155,31 +177,34 @@ def _expand(index: _Index, at: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray
     return np.repeat(at, n), index.passage[where], index.pos[where]
 
 
-def _regions(index: _Index, where: np.ndarray, passage: np.ndarray, pos: np.ndarray, step: int) -> np.ndarray:
-    """(passage, lowest diagonal, first, last position): parts of bands with as many hits as a window must share.
+def _regions(index: _Index, doc: np.ndarray, where: np.ndarray, passage: np.ndarray, pos: np.ndarray, docs: int, step: int) -> np.ndarray:
+    """(document, passage, lowest diagonal, first, last position): parts of bands with as many hits as a window must share.
 
     Hits of a band further apart than any window of the passage belong to different parts.
     """
-    many = (np.bincount(passage, minlength=len(index.texts)) >= index.bound)[passage]
-    where, passage, pos = where[many], passage[many], pos[many]
+    none = np.empty((0, 5), np.int64)
+    n = len(index.texts)
+    unit = doc * n + passage
+    many = (np.bincount(unit, minlength=docs * n).reshape(docs, n) >= index.bound).ravel()[unit]
+    unit, where, pos = unit[many], where[many], pos[many]
     if not len(pos):
-        return np.empty((0, 4), np.int64)
+        return none
     band = (where - pos) // step
     low = int(band.min()) - 1
     # Diagonal x lies in the bands that begin at its own step and at the one before.
     span = int(band.max()) - low + 2
-    key = passage * span + (band - low)
-    # Most hits are alone in their band: coarse counts, two bands to a slot, drop them before the sort.
-    slots = np.bincount(key & 0xFFF, minlength=4096)
-    near = slots + np.concatenate((slots[-1:], slots[:-1])) + np.concatenate((slots[1:], slots[:1]))
-    some = near[key & 0xFFF] >= index.bound[passage]
+    key = unit * span + (band - low)
+    # Most hits are alone in their band: coarse counts, a band and its neighbours together, drop them before the sort.
+    slots = np.bincount(key & 0xFFFFF, minlength=1 << 20)
+    near = slots + np.roll(slots, 1) + np.roll(slots, -1)
+    some = near[key & 0xFFFFF] >= index.bound[unit % n]
     key, pos = key[some], pos[some]
     if not len(pos):
-        return np.empty((0, 4), np.int64)
+        return none
     wide = int(pos.max()) + 1
     both = np.sort(np.concatenate((key * wide + pos, (key - 1) * wide + pos)))
     keys, at = both // wide, both % wide
-    owner = keys // span
+    owner = keys // span % n
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (at[1:] - at[:-1] > index.longest[owner[1:]])
     first = np.flatnonzero(new)
@@ -187,7 +212,7 @@ def _regions(index: _Index, where: np.ndarray, passage: np.ndarray, pos: np.ndar
     enough = last - first + 1 >= index.bound[owner[first]]
     first, last = first[enough], last[enough]
     own = owner[first]
-    return np.stack((own, (keys[first] % span + low) * step, at[first] - index.longest[own], at[last] + index.longest[own] + index.q), axis=1)
+    return np.stack((keys[first] // span // n, own, (keys[first] % span + low) * step, at[first] - index.longest[own], at[last] + index.longest[own] + index.q), axis=1)
 
 
 def _align(index: _Index, joined: np.ndarray, cands: np.ndarray, width: int, max_edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,8 +265,8 @@ def _align(index: _Index, joined: np.ndarray, cands: np.ndarray, width: int, max
     return tuple(np.concatenate(x) for x in zip(*got))
 
 
-def _search(block: _Block, docs: list[np.ndarray], max_edits: int) -> Iterator[tuple[int, int, int]]:
-    """(document, item set, least edits) of one slice of documents."""
+def _search(block: _Block, docs: list[np.ndarray], max_edits: int) -> dict[tuple[int, int], int]:
+    """(document, item set) -> least edits, of one slice of documents."""
     sizes = np.array([len(d) for d in docs], np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))
     joined = np.zeros(int(begin[-1]), np.uint32)  # a zero follows every document and is in no item
@@ -256,30 +281,32 @@ def _search(block: _Block, docs: list[np.ndarray], max_edits: int) -> Iterator[t
         hit = index.grams[found] == h[at]
         at, found = at[hit], found[hit]
         of = np.searchsorted(begin, at, side="right") - 1
-        enough = np.bincount(of, minlength=len(docs)) >= index.bound.min()
-        cands, owner = [], []
-        for d in np.flatnonzero(enough):
-            mine = slice(*np.searchsorted(of, [d, d + 1]))
-            kept = _regions(index, *_expand(index, at[mine] - begin[d], found[mine]), step)
-            if len(kept):
-                cands.append(np.concatenate((np.full((len(kept), 1), begin[d]), np.full((len(kept), 1), sizes[d]), kept), axis=1))
-                owner.append(np.full(len(kept), d))
-        if not cands:
-            continue
-        every, owners = np.concatenate(cands), np.concatenate(owner)
-        long = np.argsort(every[:, 5] - every[:, 4], kind="stable")  # regions of like length together
-        every, owners = every[long], owners[long]
+        enough = (np.bincount(of, minlength=len(docs)) >= index.bound.min())[of]
+        at, found, of = at[enough], found[enough], of[enough]
+        cands = []
+        together = max(1, CELLS // len(index.texts))  # documents counted at once
+        for lo in range(0, len(docs), together):
+            mine = slice(*np.searchsorted(of, [lo, lo + together]))
+            if mine.start == mine.stop:
+                continue
+            n = index.start[found[mine] + 1] - index.start[found[mine]]
+            doc = np.repeat(of[mine] - lo, n)
+            kept = _regions(index, doc, *_expand(index, at[mine] - begin[of[mine]], found[mine]), min(together, len(docs) - lo), step)
+            kept[:, 0] += lo
+            cands.append(kept)
+        every = np.concatenate(cands) if cands else np.empty((0, 5), np.int64)
+        every = every[np.argsort(every[:, 4] - every[:, 3], kind="stable")]  # regions of like length together
         lo = 0
         while lo < len(every):
             hi = lo + 1
-            while hi < len(every) and (hi + 1 - lo) * int(every[hi, 5] - every[hi, 4]) <= CELLS:
+            while hi < len(every) and (hi + 1 - lo) * int(every[hi, 4] - every[hi, 3]) <= CELLS:
                 hi += 1
-            cand, group, edits = _align(index, joined, every[lo:hi], 2 * step, max_edits)
-            rows = np.unique(np.stack((owners[lo:hi][cand], group, edits), axis=1), axis=0)[::-1]  # fewest edits last
+            some = every[lo:hi]
+            cand, group, edits = _align(index, joined, np.column_stack((begin[some[:, 0]], sizes[some[:, 0]], some[:, 1:])), 2 * step, max_edits)
+            rows = np.unique(np.stack((some[cand, 0], group, edits), axis=1), axis=0)[::-1]  # fewest edits last
             best |= {(d, g): e if (d, g) not in best else min(e, best[d, g]) for d, g, e in rows.tolist()}
             lo = hi
-    for (d, g), edits in best.items():
-        yield d, g, edits
+    return best
 
 
 def leaked_items(
@@ -312,7 +339,7 @@ def leaked_items(
     slim = documents.select(F.col(doc_id).alias("d"), F.col(doc_text).cast("string").alias("text")).filter("text is not null and text <> ''")
     sc = documents.sparkSession.sparkContext
     arrow = list(to_arrow_schema(schema))
-    sql = words_sql(look_alikes(documents.sparkSession))
+    sql = caseless_sql(look_alikes(documents.sparkSession))
 
     def blocks() -> Iterator[_Block]:
         con, block, size = connect(), [], 0
@@ -331,19 +358,21 @@ def leaked_items(
     def passes(shared, ready: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             con, block = None if ready else connect(), shared.value
+            overlap = max(int(x.longest.max()) for x in block.indexes) + max_edits + 1
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                if not ready:
-                    texts = _words(con, texts, sql)
+                found = [_codes(t) for t in texts] if ready else [_spaced(t) for t in mapped(con, texts, sql)]
+                # A long text goes in stretches that overlap by more than any window, so none is lost between them.
+                parts = [(n, c[lo : lo + slice_chars + overlap]) for n, c in enumerate(found) for lo in range(0, max(len(c) - overlap, 1), slice_chars)]
                 lo = 0
-                while lo < len(ids):
+                while lo < len(parts):
                     hi, size = lo, 0
-                    while hi < len(ids) and (hi == lo or size + len(texts[hi]) <= slice_chars):
-                        size += len(texts[hi])
+                    while hi < len(parts) and (hi == lo or size + len(parts[hi][1]) <= slice_chars):
+                        size += len(parts[hi][1])
                         hi += 1
-                    for d, group, edits in _search(block, [_codes(t) for t in texts[lo:hi]], max_edits):
-                        own = block.sets[group]
-                        columns = [[ids[lo + d]] * len(own), own, [edits] * len(own)]
+                    got = [(parts[lo + d][0], i, e) for (d, g), e in _search(block, [c for _, c in parts[lo:hi]], max_edits).items() for i in block.sets[g]]
+                    if got:
+                        columns = [[ids[d] for d, _, _ in got], [i for _, i, _ in got], [e for _, _, e in got]]
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], names=["d", "i", "edits"])
                     lo = hi
 

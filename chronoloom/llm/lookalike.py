@@ -122,7 +122,15 @@ _PARTS = (0x530, 0xFF00, 0x10000, 0x110000)
 def _when(sql: str, chars: list[str], then: Callable[[str], str]) -> str:
     """``then`` of an expression where it holds any of the characters: translate and replace pay for
     their whole table on every text, a scan does not."""
-    return f"list_transform([{sql}], lambda x: CASE WHEN regexp_matches(x, {_quoted(_class(sorted(chars)))}) THEN {then('x')} ELSE x END)[1]"
+    return _where(sql, _class(sorted(chars)), then)
+
+
+def _where(sql: str, kind: str, then: Callable[[str], str]) -> str:
+    return f"list_transform([{sql}], lambda x: CASE WHEN regexp_matches(x, {_quoted(kind)}) THEN {then('x')} ELSE x END)[1]"
+
+
+# Texts without a character from U+0300 on are composed already; later only a mark or a Hangul letter can compose.
+_MAY_COMPOSE, _MARKS = r"[\x{300}-\x{10FFFF}]", r"[\p{M}\x{1100}-\x{11FF}]"
 
 
 def _translate(sql: str, pairs: dict[str, str]) -> str:
@@ -141,8 +149,9 @@ def _form(text: str, single: dict[str, str], many: dict[str, str]) -> str:
             x = f"replace({x}, {_quoted(c)}, {_quoted(many[c])})"
         return x
 
-    seen = f"regexp_replace({_translate(f'nfc_normalize({text})', single)}, {_quoted(INVISIBLE)}, '', 'g')"
-    return f"nfc_normalize({_when(seen, list(many), spelled)})"
+    composed = lambda x: f"nfc_normalize({x})"
+    seen = f"regexp_replace({_translate(_where(text, _MAY_COMPOSE, composed), single)}, {_quoted(INVISIBLE)}, '', 'g')"
+    return _where(_when(seen, list(many), spelled), _MARKS, composed)
 
 
 @lru_cache(maxsize=8)
@@ -155,32 +164,14 @@ def form_sql(alikes: Alikes, text: str = "text") -> str:
 
 
 @lru_cache(maxsize=8)
-def words_sql(alikes: Alikes, text: str = "text") -> str:
-    """The SQL expression of a text's words, each with one space before and after; '' without words.
-
-    Case makes no difference, so a letter stands for what it or its capital looks like (в as В as B).
-    """
+def caseless_sql(alikes: Alikes, text: str = "text") -> str:
+    """The SQL expression of the consistent form without case: a letter stands for what it or its capital looks like (в as В as B)."""
     single, looks, many = character_maps(alikes)
     lower: dict[str, str] = {}
     for c in sorted(looks, key=lambda c: (c != c.lower(), c)):  # capitals last: theirs is the last word
         low = c.lower() if len(c.lower()) == 1 else c
         lower[low] = looks[c].lower()
-    formed = _translate(f"lower({_form(text, single, many)})", lower)
-    spaced = f"regexp_replace({formed}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g')"
-    return f"coalesce(nullif(' ' || trim({spaced}) || ' ', '  '), '')"
-
-
-def glue_words(parts: list[str], cut: list[str]) -> str:
-    """The words of a text from those of its pieces; a word that a cut went through becomes whole again."""
-    out = parts[0]
-    for words, piece in zip(parts[1:], cut[1:]):
-        if not out or not words:
-            out = out or words
-        elif unicodedata.category(piece[0])[0] in "LN":
-            out = out[:-1] + words[1:]
-        else:
-            out = out[:-1] + words
-    return out
+    return _translate(f"lower({_form(text, single, many)})", lower)
 
 
 def connect():
@@ -214,13 +205,10 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
     return [*out, text[start:]] if start < len(text) or not out else out
 
 
-def mapped(con, texts: list[str | None], sql: str, glue: Callable[[list[str], list[str]], str] | None = None) -> list[str | None]:
-    """An SQL expression of ``text`` for every text, run by DuckDB over pieces; glue joins the results of a text's pieces."""
+def mapped(con, texts: list[str | None], sql: str) -> list[str | None]:
+    """An SQL expression of ``text`` for every text, run by DuckDB over pieces whose results are put together."""
     parts = [(i, p) for i, t in enumerate(texts) if t is not None for p in (pieces(t) if len(t) > PIECE_CHARS else (t,))]
     got: list[list[str]] = [[] for _ in texts]
-    cut: dict[int, list[str]] = {}
-    for i, p in parts if glue else ():
-        cut.setdefault(i, []).append(p)
     lo = 0
     while lo < len(parts):
         hi, size = lo, 0
@@ -232,7 +220,7 @@ def mapped(con, texts: list[str | None], sql: str, glue: Callable[[list[str], li
             got[i].append(x)
         con.unregister("batch")
         lo = hi
-    return [None if t is None else g[0] if len(g) == 1 else glue(g, cut[i]) if glue else "".join(g) for i, (t, g) in enumerate(zip(texts, got))]
+    return [None if t is None else g[0] if len(g) == 1 else "".join(g) for t, g in zip(texts, got)]
 
 
 def _slim(df: DataFrame, id: str, text: str) -> tuple[DataFrame, T.DataType]:

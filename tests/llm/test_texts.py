@@ -5,7 +5,7 @@ import pytest
 
 from chronoloom.llm import leak
 from chronoloom.llm.leak import leaked_items
-from chronoloom.llm.lookalike import character_maps, connect, consistent_form, form_sql, look_alikes, look_classes, look_pairs, mapped, pieces, words_sql
+from chronoloom.llm.lookalike import caseless_sql, character_maps, connect, consistent_form, form_sql, look_alikes, look_classes, look_pairs, mapped, pieces
 from tests.conftest import rows
 
 DOC = "doc_id bigint, text string, id string, form string, look string"
@@ -65,7 +65,7 @@ def test_the_policy_of_look_alike_letters(alikes):
 
 
 def test_long_texts_are_cut_where_nothing_composes(monkeypatch, alikes):
-    form_of, words_of = form_sql(alikes), words_sql(alikes)
+    form_of, words_of = form_sql(alikes), caseless_sql(alikes)
     rng = random.Random(6)
     pool = "ab é\u0301\u200d ﬁо,\n" + "e\u0301" * 3
     con = connect()
@@ -116,7 +116,7 @@ WORDS = "the quiet lamp near wide harbour turns while seven gulls cross under co
 
 
 def brute(texts, items, n, alikes):
-    sql = words_sql(alikes)
+    sql = caseless_sql(alikes)
     split = lambda pairs: [(k, w.split()) for (k, _), w in zip(pairs, leak._words(connect(), [t or "" for _, t in pairs], sql))]
     out = []
     wanted = [(i, {tuple(v[k : k + n]) for k in range(len(v) - n + 1)}) for i, v in split(items)]
@@ -189,7 +189,7 @@ def test_short_words_lose_no_edit(spark, alikes, max_edits):
             at = rng.randrange(len(body))
             body[at : at + 1] = rng.choice([[], ["z"], [body[at], "y"], [" "]])
         texts.append((d, f"{word()} {''.join(body)} {word()}"))
-    sql = words_sql(alikes)
+    sql = caseless_sql(alikes)
     ws = dict(zip([d for d, _ in texts], leak._words(connect(), [t for _, t in texts], sql)))
     ts = dict(zip([i for i, _ in items], leak._words(connect(), [t for _, t in items], sql)))
     want = sorted(((d, i, e) for d, w in ws.items() for i, t in ts.items() if (e := least_edits(t, w, 12)) is not None and e <= max_edits), key=repr)
