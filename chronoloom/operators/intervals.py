@@ -42,9 +42,8 @@ def periods_and_gaps(df: DataFrame, entity: str, start_ms: Column, end_ms: Colum
 
     bases = _carry(rows.groupBy("entity", "block").agg(F.sum("opens").alias("n")), F.sum("n"), "base")
     labelled = rows.join(bases, ["entity", "block"]).withColumn("island", F.coalesce("base", F.lit(0)) + F.col("local"))
-    periods = labelled.groupBy("entity", "island").agg(F.min("s").alias("start_ms"), F.max("e").alias("end_ms"))
     # Where an island opens, the running maximum before it is the end of the period before.
-    gaps = rows.filter("opens = 1 and reach is not null")
-    return periods.select("entity", F.lit("period").alias("kind"), "start_ms", "end_ms").unionByName(
-        gaps.select("entity", F.lit("gap").alias("kind"), F.col("reach").alias("start_ms"), F.col("s").alias("end_ms"))
-    ).withColumnRenamed("entity", entity)
+    periods = labelled.groupBy("entity", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("reach", "s").alias("before"))
+    part = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("start_ms"), F.col(b).alias("end_ms"))
+    both = F.when(F.col("before").isNull(), F.array(part("period", "s", "e"))).otherwise(F.array(part("period", "s", "e"), part("gap", "before", "s")))
+    return periods.select(F.col("entity").alias(entity), F.inline(both))
