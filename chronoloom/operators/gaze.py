@@ -12,6 +12,7 @@ from chronoloom.functions import dsp
 from chronoloom.functions.perception import saccade_ms
 from chronoloom.operators.fold import Fold
 from chronoloom.operators.joins import as_of
+from chronoloom.operators.ordered import with_halo
 
 
 def movements(saccades: DataFrame, keys: list[str], *, per_px: float = 1.0, start: tuple[float, float] = (112.0, 112.0)) -> DataFrame:
@@ -96,14 +97,67 @@ def vision_fold(height: int = 56, width: int = 56, *, fade_ms: float = 200.0) ->
     return Fold(lambda: {"last": None, "t": 0, "change": np.zeros((height, width))}, step, "t_ms bigint, salience array<double>")
 
 
-def motion_fold(height: int, width: int, *, fade_ms: float = 200.0, sure: float = 0.1) -> Fold:
+def steady_velocity(track: list[tuple[float, float, float]], *, samples: int, span_ms: float, speeds: tuple[float, float], cosine: float) -> tuple[float | None, float | None]:
+    """Mean velocity of a track of (t, x, y), or nulls where it is too short, too slow, too fast or keeps turning.
+
+    Keeps turning: the mean cosine between its steps and their mean is under ``cosine``.
+    """
+    steps = [((xb - xa) / (tb - ta), (yb - ya) / (tb - ta)) for (ta, xa, ya), (tb, xb, yb) in zip(track, track[1:]) if tb > ta]
+    if len(track) < samples or not steps or track[-1][0] - track[0][0] < span_ms:
+        return None, None
+    vx, vy = (sum(c) / len(steps) for c in zip(*steps))
+    speed = math.hypot(vx, vy)
+    if not speeds[0] <= speed <= speeds[1] or speed == 0.0:
+        return None, None
+    turns = [(x * vx + y * vy) / (math.hypot(x, y) * speed) for x, y in steps if math.hypot(x, y) > 1e-9]
+    return (None, None) if turns and sum(turns) / len(turns) < cosine else (vx, vy)
+
+
+# Memory of the motion channel in ms, and what a velocity needs to be believed.
+HISTORY_MS, LEAST_SAMPLES, LEAST_SPAN_MS, LEAST_COSINE = 400, 3, 150, 0.5
+
+
+def consistent_velocity(track: DataFrame, keys: list[str], at: str, x: str, y: str, *, window_ms: int = HISTORY_MS, samples: int = LEAST_SAMPLES, span_ms: int = LEAST_SPAN_MS, speeds: tuple[float, float] = (0.0, 1e9), cosine: float = LEAST_COSINE, block: int = 60_000) -> DataFrame:
+    """``track`` with vx, vy: steady_velocity of the last ``window_ms`` up to each row, in the JVM, block by block.
+
+    Times of a key must differ; rows without time or place are left out.
+    """
+    rows = track.filter(F.col(at).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = with_halo(rows, at, window_ms, 0, max(block, window_ms))
+    own = Window.partitionBy(*keys, "blk").orderBy(at)
+    dt = F.col(at) - F.lag(at).over(own)
+    step = lambda c: F.when(dt > 0, (F.col(c) - F.lag(c).over(own)) / dt)
+    rows = rows.withColumn("__sx", step(x)).withColumn("__sy", step(y)).withColumn("__s", F.hypot("__sx", "__sy"))
+    unit = lambda c: F.when(F.col("__s") > 1e-9, F.col(c) / F.col("__s"))
+    rows = rows.withColumn("__ux", unit("__sx")).withColumn("__uy", unit("__sy"))
+    w = own.rangeBetween(-window_ms, 0)
+    # The first row's step comes from outside the window.
+    total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0.0)) - F.coalesce(F.first(c).over(w), F.lit(0.0))
+    count = lambda c: F.count(c).over(w) - F.first(F.col(c).isNotNull().cast("int")).over(w)
+    rows = rows.select(
+        "*", F.count(F.lit(1)).over(w).alias("__n"), (F.col(at) - F.first(at).over(w)).alias("__span"), (total("__sx") / F.nullif(count("__sx"), F.lit(0))).alias("__vx"), (total("__sy") / F.nullif(count("__sy"), F.lit(0))).alias("__vy"),
+        total("__ux").alias("__tx"), total("__uy").alias("__ty"), count("__ux").alias("__k"),
+    )
+    speed = F.hypot("__vx", "__vy")
+    turn = (F.col("__tx") * F.col("__vx") + F.col("__ty") * F.col("__vy")) / speed / F.col("__k")
+    sure = (F.col("__n") >= samples) & (F.col("__span") >= span_ms) & (speed > 0) & speed.between(*speeds) & F.coalesce(turn >= cosine, F.lit(True))
+    return rows.filter("core").select(*track.columns, F.when(sure, F.col("__vx")).alias("vx"), F.when(sure, F.col("__vy")).alias("vy"))
+
+
+def motion_fold(height: int, width: int, *, fade_ms: float = 200.0, sure: float = 0.1, focus: tuple[float, float] | None = None, radius: float = 0.25, contrast: float | None = None, speeds: tuple[float, float] = (0.0, 1e9)) -> Fold:
     """Motion energy of thumbnails, the camera's own motion taken out where its shift is sure enough.
 
-    Output: mean energy after fading and the global shift (null where it was not used).
+    With ``contrast`` (a blur's sigma) motion counts only where it stands out from its surroundings, so floods
+    cancel. Output: mean energy after fading, the global shift (null where it was not used), and the velocity
+    in px a ms of the energy's centre within ``radius`` (of the width) around ``focus`` (default: the middle) over
+    the last HISTORY_MS, null where it is not steady. A pixel that is no number is 0.
     """
+    fx, fy = focus or ((width - 1) / 2.0, (height - 1) / 2.0)
+    yy, xx = np.mgrid[0:height, 0:width].astype(float)
+    disk = (xx - fx) ** 2 + (yy - fy) ** 2 <= (radius * width) ** 2
 
     def step(s: dict, row) -> list[tuple]:
-        now = np.asarray(row.px, dtype=float).reshape(height, width)
+        now = np.nan_to_num(np.asarray(row.px, dtype=float), nan=0.0, posinf=1.0, neginf=0.0).reshape(height, width)
         before, shift = s["last"], (None, None)
         if before is None:
             energy = np.zeros_like(now)
@@ -111,11 +165,19 @@ def motion_fold(height: int, width: int, *, fade_ms: float = 200.0, sure: float
             dx, dy, peak = dsp.global_shift(before, now)
             if peak >= sure and math.hypot(dx, dy) > 0.5:
                 before, shift = dsp.translated(before, dx, dy), (dx, dy)
-            energy = np.maximum(s["energy"] * math.exp(-(row.t_ms - s["t"]) / fade_ms), np.abs(now - before))
+            moved = np.abs(now - before)
+            if contrast is not None:
+                moved = np.clip(moved - dsp.gaussian_blur(moved, contrast), 0.0, None)
+            energy = np.maximum(s["energy"] * math.exp(-(row.t_ms - s["t"]) / fade_ms), moved)
+            seen = energy * disk
+            if seen.sum() > 1e-9:
+                s["track"].append((row.t_ms, float((seen * xx).sum() / seen.sum()), float((seen * yy).sum() / seen.sum())))
+        s["track"] = [p for p in s["track"] if p[0] >= row.t_ms - HISTORY_MS]
         s.update(last=now, t=row.t_ms, energy=energy)
-        return [(row.t_ms, float(energy.mean()), *shift)]
+        velocity = steady_velocity(s["track"], samples=LEAST_SAMPLES, span_ms=LEAST_SPAN_MS, speeds=speeds, cosine=LEAST_COSINE)
+        return [(row.t_ms, float(energy.mean()), *shift, *velocity)]
 
-    return Fold(lambda: {"last": None, "t": 0, "energy": None}, step, "t_ms bigint, energy double, dx double, dy double")
+    return Fold(lambda: {"last": None, "t": 0, "energy": None, "track": []}, step, "t_ms bigint, energy double, dx double, dy double, vx double, vy double")
 
 
 def decision_interval_ms(luminance: float, activity: float, *, rate_hz: float = 3.5, reference: float = 0.05, busy: tuple[float, float] = (0.7, 1.6), bounds: tuple[float, float] = (200.0, 667.0)) -> float:
@@ -124,7 +186,7 @@ def decision_interval_ms(luminance: float, activity: float, *, rate_hz: float =
     return min(max(1000.0 / rate_hz * dark / min(max(activity / reference, busy[0]), busy[1]), bounds[0]), bounds[1])
 
 
-def gaze_fold(*, size: int = 56, scale: float = 4.0, per_px: float = 1.0, rate_hz: float = 3.5, latency_ms: float = 200.0, fade_ms: float = 300.0, seen: float = 1.0, heard: float = 0.7, speech_boost: float = 1.0, adaptive: bool = False) -> Fold:
+def gaze_fold(*, size: int = 56, scale: float = 4.0, per_px: float = 1.0, rate_hz: float = 3.5, latency_ms: float = 200.0, fade_ms: float = 300.0, seen: float = 1.0, heard: float = 0.7, speech_boost: float = 1.0, adaptive: bool = False, remember_ms: float = 0.0, remembered: int = 10, pursue: bool = False, least_energy: float = 0.03) -> Fold:
     """The closed loop, tick by tick: a shared priority map fades, takes in what is seen, heard and
     asked for, and from time to time sends the eyes to its peak.
 
@@ -140,7 +202,7 @@ def gaze_fold(*, size: int = 56, scale: float = 4.0, per_px: float = 1.0, rate_h
 
     def init() -> dict:
         c = size * scale / 2.0
-        return {"map": np.zeros((size, size)), "t": None, "next": None, "at": (c, c), "coming": None, "left": [], "lum": None, "act": None}
+        return {"map": np.zeros((size, size)), "t": None, "next": None, "at": (c, c), "coming": None, "left": [], "pois": [], "glide": None, "lum": None, "act": None}
 
     def step(s: dict, row) -> list[tuple]:
         t = float(row.t_ms)
@@ -157,7 +219,10 @@ def gaze_fold(*, size: int = 56, scale: float = 4.0, per_px: float = 1.0, rate_h
             field = sum((a * spot(x, size / 2.0, 6.0) for a, x in zip(loud, where) if a > 1e-6), np.zeros((size, size)))
             m = m + heard * (1.0 + speech_boost * (getattr(row, "speech", None) or 0.0)) * field / len(loud)
         if s["coming"] is not None and t >= s["coming"][0]:
-            s["at"], s["coming"] = s["coming"][1:], None
+            s["at"], s["coming"], s["glide"] = s["coming"][1:], None, None
+        if s["glide"] is not None:
+            since, x0, y0, vx, vy = s["glide"]
+            s["at"] = tuple(min(max(p + v * (t - since), 0.0), size * scale) for p, v in ((x0, vx), (y0, vy)))
         s["map"], s["t"] = m, t
         if s["next"] is None:
             s["next"] = t + 100.0
@@ -167,17 +232,27 @@ def gaze_fold(*, size: int = 56, scale: float = 4.0, per_px: float = 1.0, rate_h
                 v = float(getattr(row, source))
                 s[name] = v if s[name] is None else s[name] + a * (v - s[name])
         iy, ix = divmod(int(m.argmax()), size)
-        saccade = (None, None, None)
-        if t >= s["next"]:
+        saccade, kind = (None, None, None), None
+        vx, vy = getattr(row, "vx", None), getattr(row, "vy", None)
+        if t >= s["next"] and pursue and vx is not None and vy is not None and (getattr(row, "energy", None) or 0.0) >= least_energy:
+            kind, s["glide"] = "pursuit", (t, *s["at"], float(vx), float(vy))
+            s["left"] = [p for p in s["left"] if t - p[2] < 1500.0]
+        elif t >= s["next"]:
+            kind = "saccade"
             s["left"] = [p for p in s["left"] if t - p[2] < 1500.0]
             field = m - sum((math.exp(-(t - u) / 800.0) * spot(x, y, 5.0) for x, y, u in s["left"]), np.zeros((size, size)))
             away = np.hypot(xx - s["at"][0] / scale, yy - s["at"][1] / scale) * scale * per_px
             field = field + 1.5 * np.exp(-(((away - 8.0) / 7.0) ** 2))
+            s["pois"] = [p for p in s["pois"] if t - p[2] < remember_ms]
+            field = field + sum((p * math.exp(-(t - u) / (remember_ms / 2.0)) * spot(x, y, 12.0) for x, y, u, p in s["pois"]), np.zeros((size, size)))
             ty, tx = divmod(int(field.argmax()), size)
+            if remember_ms:
+                s["pois"] = [*s["pois"], (tx, ty, t, min(max(float(m[ty, tx]) / 2.0, 0.2), 1.5))][-remembered:]
             saccade = (t + latency_ms, (tx + 0.5) * scale, (ty + 0.5) * scale)
             s["coming"] = saccade
             s["left"].append((tx, ty, t))
+        if kind:
             s["next"] = t + (decision_interval_ms(s["lum"], s["act"], rate_hz=rate_hz) if adaptive else 1000.0 / rate_hz)
-        return [(row.t_ms, float(ix), float(iy), float(m[iy, ix]), *saccade)]
+        return [(row.t_ms, float(ix), float(iy), float(m[iy, ix]), *saccade, kind, *s["at"])]
 
-    return Fold(init, step, "t_ms bigint, peak_x double, peak_y double, peak double, onset double, x double, y double")
+    return Fold(init, step, "t_ms bigint, peak_x double, peak_y double, peak double, onset double, x double, y double, kind string, at_x double, at_y double")

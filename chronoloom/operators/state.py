@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.text import thing_key
 from chronoloom.operators.fold import Fold, ordered_fold
+from chronoloom.operators.joins import as_of
 from chronoloom.timekeys import floor_div
 
 
@@ -301,3 +302,24 @@ def context_payload(turns: DataFrame, id: str, said: str, state: str | None, obj
     listed = F.when(F.size(objects) > 0, F.col(objects))
     fields = [F.col(said).alias("turn"), (F.col(state) if state else F.lit(None).cast("string")).alias("perceptual_state"), listed.alias("recognized_objects"), F.coalesce(F.col(history), F.lit("")).alias("dialogue_history"), F.lit(system).alias("system")]
     return turns.select(id, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def cooldown_effect(probes: DataFrame, firings: DataFrame, keys: list[str], at: str, fired: str, *, from_ms: int = 150, to_ms: int = 2500, fade_ms: float = 1500.0, block: int = 3_600_000) -> DataFrame:
+    """``probes`` with ``effect``: exp(-age / fade) of the last firing while its age lies between the bounds, else 0."""
+    last = firings.select(*keys, F.col(fired).alias("__fired"), F.lit(True).alias("__was"))
+    j = as_of(probes, last, keys, at, "__fired", values=["__was"], block=block)
+    age = (F.col(at) - F.col("r___fired")).cast("double")
+    on = (age > from_ms) & (age < to_ms)
+    return j.select(*probes.columns, F.when(on, F.exp(-age / F.lit(fade_ms))).otherwise(F.lit(0.0)).alias("effect"))
+
+
+def last_seen(sightings: DataFrame, keys: list[str], label: str, at: str, *, least: float = 0.3, ring: int = 200) -> DataFrame:
+    """(keys, thing, t_ms, x, y, conf): where each thing was seen last, among the last ``ring`` sightings of the keys.
+
+    Unknown and unsure sightings are not remembered; of equal times the surer, then the one further right.
+    """
+    known = sightings.filter((F.col(label) != "unknown") & (F.col("conf") >= least) & F.col(at).isNotNull())
+    order = [F.col(at).desc(), F.col("conf").desc(), F.col("x").desc(), F.col("y").desc(), F.col(label)]
+    held = known.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= ring)
+    best = held.groupBy(*keys, thing_key(F.col(label)).alias("thing")).agg(F.min_by(F.struct(F.col(at).alias("t_ms"), "x", "y", "conf"), F.col("__n")).alias("__s"))
+    return best.select(*keys, "thing", "__s.t_ms", "__s.x", "__s.y", "__s.conf")

@@ -299,7 +299,28 @@ def stream_sessions(spark, d):
     return _ran(spark, s).filter("user_id >= 0").select("user_id", _ms("start").alias("start_ms"), "n")
 
 
+def steady_motion(spark, d):
+    """Users whose views drift steadily over three days."""
+    ev = _kind(spark, d, "view").select("user_id", "event_id", "ms", F.col("value").alias("x"), (F.col("event_id") % 7).cast("double").alias("y"))
+    out = gaze.consistent_velocity(ev, U, "ms", "x", "y", window_ms=3 * DAY, samples=3, span_ms=HOUR, speeds=(0.0, 1e-5), cosine=0.2, block=10 * DAY)
+    return out.select("event_id", F.round(F.col("vx") * 1e6, 4).alias("vx"), F.round(F.col("vy") * 1e6, 4).alias("vy"))
+
+
+def cooldown_effects(spark, d):
+    """What is left, at each view, of its user's last error."""
+    fired = _kind(spark, d, "error").select("user_id", F.col("ms").alias("t"))
+    out = state.cooldown_effect(_kind(spark, d, "view"), fired, U, "ms", "t", from_ms=HOUR, to_ms=2 * DAY, fade_ms=float(DAY), block=DAY)
+    return out.select("event_id", r("effect", 6))
+
+
+def last_sightings(spark, d):
+    """Where each user's things were seen last, among the last twenty sightings."""
+    ev = events(spark, d).select("user_id", F.col("event_type").alias("label"), "ms", F.col("value").alias("x"), F.col("event_id").cast("double").alias("y"), (F.col("value") / 50.0).alias("conf"))
+    return state.last_seen(ev, U, "label", "ms", ring=20).select("user_id", "thing", "t_ms", r("x", 4), "y", r("conf", 6))
+
+
 _ALL = (
+    steady_motion, cooldown_effects, last_sightings,
     lockstep_pairs, clamped_rows, gaze_jumps, array_stats, pan_gains, vector_blocks, total_energy, box_centres, token_parts, modeled_readings, trailing_commands, prompts, shifted_words, music_flags,
     latest_things, payloads, dominant_frequency, phase_slopes, segment_correlation, span_shares, onsets_with_floor, frame_steps, two_tier_texts, words_over_floor, model_errors, run_artifacts, feed_again,
     trace_again, sightings_again, sidecar_again, frame_lookup, stream_moments, stream_sliding, stream_sessions,
@@ -333,6 +354,16 @@ select event_type, m, round(v, 4) as v from kept join cur using (event_type, m)"
 
 _TWO_PI = "6.283185307179586"
 SQL = {
+    "steady_motion": f"""with {EV}, v as (select user_id, event_id, ms, value as x, cast(event_id % 7 as double) as y from ev where event_type = 'view'),
+p as (select a.event_id, a.ms as now, b.ms, b.x, b.y from v a join v b on a.user_id = b.user_id and b.ms <= a.ms and b.ms >= a.ms - {3 * DAY}),
+s as (select event_id, now, ms, (x - lag(x) over w) / (ms - lag(ms) over w) as sx, (y - lag(y) over w) / (ms - lag(ms) over w) as sy from p window w as (partition by event_id order by ms)),
+m as (select event_id, count(*) as n, max(ms) - min(ms) as span, avg(sx) as vx, avg(sy) as vy from s group by 1),
+c as (select event_id, any_value(n) as n, any_value(span) as span, any_value(vx) as vx, any_value(vy) as vy, avg((sx * vx + sy * vy) / (sqrt(sx * sx + sy * sy) * sqrt(vx * vx + vy * vy))) filter (sqrt(sx * sx + sy * sy) > 1e-9) as turn from s join m using (event_id) group by 1),
+k as (select *, coalesce(n >= 3 and span >= {HOUR} and sqrt(vx * vx + vy * vy) > 0 and sqrt(vx * vx + vy * vy) <= 1e-5 and coalesce(turn >= 0.2, true), false) as sure from c)
+select event_id, case when sure then round(vx * 1e6, 4) end as vx, case when sure then round(vy * 1e6, 4) end as vy from k""",
+    "cooldown_effects": f"with {EV}, {_K('l', 'view')}, {_K('f', 'error')}, j as (select l.event_id, l.ms - f.ms as age from l asof left join f on l.user_id = f.user_id and l.ms >= f.ms) select event_id, round(case when age > {HOUR} and age < {2 * DAY} then exp(-age / {float(DAY)}) else 0 end, 6) as effect from j",
+    "last_sightings": f"with {EV}, s as (select *, value / 50 as conf, row_number() over (partition by user_id order by ms desc, value / 50 desc, value desc, event_id desc, event_type) as n from ev where value / 50 >= 0.3) "
+    "select user_id, event_type as thing, arg_min(ms, n) as t_ms, round(arg_min(value, n), 4) as x, cast(arg_min(event_id, n) as double) as y, round(arg_min(conf, n), 6) as conf from s where n <= 20 group by 1, 2",
     "lockstep_pairs": f"with {CURVE}, n as (select event_type, m - min(m) over (partition by event_type) as m, v from cur) select a.m, round(a.v, 4) as v, round(b.v, 4) as r_v from n a join n b on a.event_type = 'click' and b.event_type = 'view' and a.m = b.m",
     "clamped_rows": 'select event_id, least(cast(trunc(value * 10) as bigint), 199) as "row" from events',
     "gaze_jumps": f"with {EV}, {_K('v', 'view')}, p as (select event_id, value as x, event_id % 7 as y, lag(value) over w as a, lag(event_id % 7) over w as b from v window w as (partition by user_id order by ms)) select event_id, coalesce(sqrt((x - a) ** 2 + (y - b) ** 2) > 5, false) as jump from p",

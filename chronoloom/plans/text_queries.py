@@ -190,7 +190,25 @@ def _count(c: str) -> str:
 
 
 _SEG = "seg as (select run_id, seg_id, max(text) as text, max(avg_logprob) as avg_logprob, max(words) as words from segments group by 1, 2)"
-_LOOK = f"nullif(regexp_extract({_norm('text')}, {_q(X.LOOK)}, 1), '')"
+# The SQL says what the patterns mean in its own words: phrases between blanks, first words, rewrites spelled 'this=that'.
+_PHRASES = {
+    "farewell": "bye/goodbye/good bye/see you/good night",
+    "see_question": "what do you see/what are you looking at/where are you looking/describe what you see/what can you see",
+    "identity": "who are you/what are you/your name",
+    "hear_question": "what do you hear/what did you hear/what was that sound/what are you hearing",
+    "look_command": "",
+    "look_at_thing": "look at/look toward*/find the*/where is*/wheres*/locate the*",
+    "thanks": "thank*",
+    "greeting": "hi/hello/hey/howdy/greetings",
+}
+_FIRST = {"yesno_question": "do does did is are was were can could would will have has should", "wh_question": "what where who when why how"}
+_REWRITES = r"^[kgp]n=n ^wr=r ph=f sch=sk ck=k ch=x sh=x th=0 dge=j gh= q=k x=ks z=s c([eiy])=s\1 c=k g([eiy])=j\1 mb$=m"
+_TURN = r"\blook\s+(left|right|up|down|center|centre|middle)\b"
+_LOOK = f"nullif(regexp_extract({_norm('text')}, '{_TURN}', 1), '')"
+_FIND = r"\b(?:look\s+(?:at|towards?)|find|locate|wheres|where\s+is)\s+(?:(?:the|a|an)\s+)?(.+?)(?:\s+please)?\s*$"
+_PLACED = r"\b(?:on the|at the|in the)\s+(left|right|top|upper|bottom|lower|middle|center)\s*$"
+_LEADS = "('leftmost', 'rightmost', 'topmost', 'uppermost', 'bottommost', 'lowermost', 'nearest', 'closest', 'farthest', 'furthest')"
+_SPLIT = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')"
 
 
 def _direction(c: str) -> str:
@@ -198,21 +216,48 @@ def _direction(c: str) -> str:
 
 
 def _intent() -> str:
-    arms = " ".join(f"when regexp_matches(n, {_q(p)}) then '{label}'" for label, p in X.INTENTS)
-    return f"case when n is null then null {arms} when {_count('n')} <= 4 then 'statement' else 'unknown' end"
+    blank = "' ' || regexp_replace(n, '\\s', ' ', 'g') || ' '"
+    arms = []
+    for label, phrases in _PHRASES.items():
+        tests = [f"contains({blank}, ' {x[:-1]}')" if x.endswith("*") else f"contains({blank}, ' {x} ')" for x in phrases.split("/") if x]
+        arms.append(f"when {' or '.join(tests) or f'regexp_matches(n, {_q(_TURN)})'} then '{label}'")
+    arms += [f"when string_split(regexp_replace(n, '\\s', ' ', 'g'), ' ')[1] in ({', '.join(map(_q, words.split()))}) then '{label}'" for label, words in _FIRST.items()]
+    return f"case when n is null then null {' '.join(arms)} when {_count('n')} <= 4 then 'statement' else 'unknown' end"
 
 
 def _key(c: str) -> str:
     w = f"regexp_replace(lower({c}), '[^a-z]', '', 'g')"
-    for p, to in X.SOUNDS:
-        w = f"regexp_replace({w}, {_q(p)}, {_q(to.replace('$', chr(92)))}, 'g')"
-    w = f"translate({w}, '{X.CLASSES[0]}', '{X.CLASSES[1]}')"
+    for rule in _REWRITES.split():
+        p, to = rule.split("=")
+        w = f"regexp_replace({w}, {_q(p)}, {_q(to)}, 'g')"
+    w = f"translate({w}, 'bvfd', 'pppt')"
     w = f"list_transform([{w}], lambda k: k[1:1] || regexp_replace(k[2:], '[aeiouy]', '', 'g'))[1]"
     for c1 in "0abcdefghijklmnopqrstuvwxyz":
         w = f"regexp_replace({w}, '{c1}{c1}+', '{c1}', 'g')"
     return f"upper({w})"
 
 
+def _names_sql() -> str:
+    bare = f"regexp_replace(trim({_norm('rest')}), '^(the|a|an)\\s+', '')"
+    return (
+        f"with {_SEG}, a as (select run_id, seg_id, text, {_norm('text')} as full_norm, regexp_replace({_norm('text')}, '^the ', '') as n from seg where text is not null), "
+        f"b as (select *, {_SPLIT.format('n')} as w, nullif(regexp_extract(n, {_q(_PLACED)}, 1), '') as side from a), "
+        f"c as (select *, case when w[1] in {_LEADS} then w[1] else side end as selector, case when w[1] in {_LEADS} then array_to_string(w[2:], ' ') when side is not null then trim(regexp_replace(n, {_q(_PLACED)}, '')) else text end as rest from b), "
+        f"d as (select *, {bare} as k from c) select run_id, seg_id, selector, rest, replace(case when regexp_matches(k, '(^|[^s])s$') then k[:-2] else k end, ' ', '') as key, "
+        "case when text <> '' and full_norm not in ('left', 'right', 'up', 'down') then rest end as base from d"
+    )
+
+
+def _anaphors_sql() -> str:
+    pro = "('it', 'that', 'this', 'there')"
+    return (
+        f"with {_SEG}, a as (select run_id, seg_id, {_SPLIT.format(_norm('text'))} as w from seg where text is not null), b as (select *, case when w[1] = 'the' then w[2:] else w end as t, "
+        f"w[1] in {pro} and (len(w) = 1 or len(w) = 2 and w[2] = 'again') as alone from a), c as (select *, coalesce(not alone and w[1] in ('that', 'this'), false) as det, "
+        f"coalesce(w[1] not in {pro} and len(t) = 2 and t[2] = 'one' and t[1] in ('left', 'right', 'top', 'upper', 'bottom', 'lower'), false) as one from b) "
+        "select run_id, seg_id, case when alone then 'pronoun' when det then 'det' when one then 'one' end as kind, case when det then array_to_string(w[2:], ' ') when one then t[1] end as word from c"
+    )
+
+
 _WORDS = f"words as (select word, count(*) as n from (select unnest(list_filter(regexp_split_to_array({_norm('text')}, '\\s+'), lambda w: w <> '')) as word from documents where text is not null) group by 1)"
 _VEC = "d as (select label, unnest(generate_series(1, 64)) as i, unnest(embedding) as x from embeddings), m as (select label, i, avg(cast(x as double)) as x from d group by 1, 2), c as (select label, list(x order by i) as c from m group by 1)"
 _SCORES = f"{_VEC}, s as (select vec_id, c.label, list_cosine_similarity(cast(embedding as double[]), c.c) as score from embeddings e cross join c)"
@@ -221,12 +266,14 @@ SQL = {
     "text_normalize": f"select doc_id, {_norm('text')} as norm, {_count(_norm('text'))} as n_words from documents where text is not null",
     "intent_classify": f"with {_SEG}, t as (select seg_id, {_norm('text')} as n, {_LOOK} as l from seg) select seg_id, {_intent()} as intent, {_direction('l')} as direction from t",
     "addressed": f"with {_SEG} select seg_id, regexp_matches({_norm('text')}, '(operator)|(sound\\s*desk)|(lab\\s+lead)') as called from seg where text is not null",
-    "referent_extract": f"select doc_id, nullif(trim(regexp_extract({_norm('text')}, {_q(X.REFERENT)}, 1)), '') as referent from documents",
+    "referent_extract": f"select doc_id, nullif(trim(regexp_extract({_norm('text')}, {_q(_FIND)}, 1)), '') as referent from documents",
     # What each phrase was made to say, not how it is parsed.
     "spatial_names": "with p as (select p_partkey, p_partkey % 6 as k, p_name as p from part), n as (select p_partkey, case k when 0 then 'leftmost' when 1 then 'left' when 3 then 'nearest' when 4 then 'top' end as selector, "
     "case k when 0 then p || 's' when 5 then 'The ' || upper(p) || '!' else p end as rest, p, k from p) select p_partkey, selector, rest, "
     "case when k <> 0 and p like '%s' and p not like '%ss' then replace(p[:-2], ' ', '') else replace(p, ' ', '') end as key, rest as base from n",
     "anaphors": "select p_partkey, case p_partkey % 6 when 0 then 'pronoun' when 1 then 'pronoun' when 2 then 'det' when 3 then 'one' when 5 then 'det' end as kind, case p_partkey % 6 when 2 then p_name when 3 then 'upper' when 5 then p_name || ' again' end as word from part",
+    "segment_names": _names_sql(),
+    "segment_anaphors": _anaphors_sql(),
     "region_name": "with p as (select event_id, fmod(value * 10, 224) as x, user_id as y from events), q as (select event_id, trim((case when y < 75 then 'upper' when y > 149 then 'lower' else '' end) || ' ' || (case when x < 75 then 'left' when x > 149 then 'right' else '' end)) as t from p) "
     "select event_id, case when t = '' then 'center' else t end as region from q",
     "phonetic_keys": f"with {_WORDS} select word, {_key('word')} as key from words",
@@ -246,7 +293,7 @@ SQL = {
     "json_props": "select event_type, cast(sum(cast(props->>'$.k' as bigint)) as bigint) as k_sum, max(cast(props->>'$.k' as bigint)) as k_max from events group by 1",
     "config_hash": "select event_id, sha256('{\"k\":' || (props->>'$.k') || ',\"type\":\"' || event_type || '\"}') as hash from events",
     "artifact_names": "select distinct run_id, video as file from run_report where video is not null",
-    "dialogue_last_region": f"with {_SEG}, t as (select run_id, seg_id, nullif(regexp_extract({_norm(chr(39).join(['regexp_replace(text, ', 'to the ', ', ', '', ', ', 'g', ')']))}, {_q(X.LOOK)}, 1), '') as l from seg) "
+    "dialogue_last_region": f"with {_SEG}, t as (select run_id, seg_id, nullif(regexp_extract({_norm(chr(39).join(['regexp_replace(text, ', 'to the ', ', ', '', ', ', 'g', ')']))}, {_q(_TURN)}, 1), '') as l from seg) "
     f"select seg_id, last_value({_direction('l')} ignore nulls) over (partition by run_id order by seg_id rows between unbounded preceding and 1 preceding) as region_before from t",
     "recent_turns": f"with {_SEG} select run_id, seg_id from seg qualify row_number() over (partition by run_id order by seg_id desc) <= 10",
     "prefix_resolution": "select p_partkey, case when p_size > 10 or k in (select k from (select replace(regexp_replace(lower(p_name), '[^a-z\\s]', '', 'g'), ' ', '') as k from part where p_size > 10)) then m end as matched from "

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from chronoloom.functions.dsp import downsampled
 from chronoloom.sources.schemas import schema as named_schema
 
 
@@ -153,6 +154,59 @@ def wav_blocks(spark: SparkSession, path: str, *, rate: int = 16_000, block: int
     return files.mapInPandas(read, "stream_id string, m bigint, ch int, x array<float>")
 
 
+def wav_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(stream_id, rate, channels, samples, duration_s, error) of WAV files; a broken file has only its error."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, data in zip(pdf["path"], pdf["content"]):
+                stem = re.sub(r"\.wav$", "", name.rsplit("/", 1)[-1], flags=re.I)
+                try:
+                    rate, x = parse_wav(data)
+                    out.append((stem, rate, x.shape[1], len(x), len(x) / rate, None))
+                except (ValueError, struct.error) as e:
+                    out.append((stem, None, None, None, None, str(e)))
+            yield pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(("stream_id", "rate", "channels", "samples", "duration_s", "error"), zip(*out))})
+
+    return found.mapInPandas(read, "stream_id string, rate int, channels int, samples bigint, duration_s double, error string")
+
+
+def whole_track(blocks: DataFrame, *, rate: int, block: int, seconds: float, slack_s: float = 1.0) -> DataFrame:
+    """``blocks`` of a track that is to last ``seconds``; a track that is off by more than ``slack_s``, or has a hole, is an error."""
+    per = blocks.groupBy("stream_id", "ch").agg(F.count(F.lit(1)).alias("__n"), F.max("m").alias("__last"))
+    long = (F.col("__last") + 1) * F.lit(block / rate)
+    fault = F.when(F.col("__n") != F.col("__last") + 1, "track has a hole").when(F.abs(long - F.lit(seconds)) > F.lit(slack_s), "track and picture differ in length")
+    checked = per.select("stream_id", "ch", F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.lit(0)).alias("__ok"))
+    return blocks.join(checked, ["stream_id", "ch"]).filter("__ok = 0").drop("__ok")
+
+
+def peak_normalised(blocks: DataFrame) -> DataFrame:
+    """``blocks`` scaled so that a stream's loudest sample over all channels is 1; silence stays silent."""
+    loud = blocks.groupBy("stream_id").agg(F.max(F.array_max(F.transform("x", lambda v: F.abs(v)))).alias("__top"))
+    return blocks.join(loud, "stream_id").withColumn("x", F.when(F.col("__top") > 0, F.transform("x", lambda v: (v / F.col("__top")).cast("float"))).otherwise(F.col("x"))).drop("__top")
+
+
+def split_scales(frames: DataFrame, sizes: dict[str, tuple[int, int]]) -> DataFrame:
+    """Grey frames (h, w, px bytes) with one array column of 0..1 values per wanted size, all from one reading of a frame.
+
+    Every row holds all its scales, so they cannot fall out of step.
+    """
+    names = list(sizes)
+
+    @F.pandas_udf(", ".join(f"{n} array<float>" for n in names))
+    def scale(px: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFrame:
+        out: dict[str, list] = {n: [] for n in names}
+        for p, a, b in zip(px, h, w):
+            frame = np.frombuffer(p, np.uint8).reshape(a, b) / 255.0
+            for n, (height, width) in sizes.items():
+                out[n].append(downsampled(frame, height, width).astype(np.float32).ravel())
+        return pd.DataFrame(out)
+
+    return frames.withColumn("__s", scale("px", "h", "w")).select(*frames.columns, "__s.*")
+
+
 def raw_frames(spark: SparkSession, path: str, height: int, width: int, channels: int, fps: float) -> DataFrame:
     """(stream_id, t_ms, h, w, px): raw video files (one byte a value) cut into frames; a torn last frame is dropped."""
     size = height * width * channels

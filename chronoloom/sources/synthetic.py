@@ -55,6 +55,12 @@ def mixed(voice: np.ndarray, bed: np.ndarray, bed_db: float) -> np.ndarray:
     return voice + level * bed
 
 
+def tone_sequence(hz: list[float], each_s: float, rate: int = 16_000, level: float = 0.3, gap_s: float = 0.0) -> np.ndarray:
+    """Faded tones one after another, silence between them."""
+    quiet = np.zeros(int(gap_s * rate), np.float32)
+    return np.concatenate([x for f in hz for x in (faded(tone(f, each_s, rate, level), rate=rate), quiet)] or [quiet])
+
+
 def wav_bytes(x: np.ndarray, rate: int = 16_000) -> bytes:
     import struct
 

@@ -85,3 +85,45 @@ def test_lockstep(spark):
     assert rows(resample.lockstep(mk(range(5)), mk(range(3)), ["k"]), "m", "v", "r_v") == [(0, 0.0, 0.0), (1, 1.0, 1.0), (2, 2.0, 2.0)]
     with pytest.raises(Exception, match="out of step"):
         resample.lockstep(mk([0, 1, 3]), mk([0, 1, 2, 3]), ["k"]).collect()
+
+
+def test_velocity_of_a_mover(spark):
+    def scene(x):
+        f = np.zeros((24, 24))
+        f[10:14, int(x) : int(x) + 4] = 1.0
+        return f.ravel().tolist()
+
+    fold = gaze.motion_fold(24, 24, sure=9.0, fade_ms=40.0, radius=1.0)
+    drift = [("a", 50 * i, scene(3 + i)) for i in range(12)]
+    jitter = [("b", 50 * i, scene(8 + 4 * (i % 2))) for i in range(12)]
+    nan = [("c", 0, [float("nan")] * 576), ("c", 50, scene(3))]
+    df = spark.createDataFrame(drift + jitter + nan, "k string, t_ms bigint, px array<double>")
+    out = ordered_fold(df, ["k"], ["t_ms"], fold).orderBy("k", "t_ms").collect()
+    a, b = [r for r in out if r["k"] == "a"], [r for r in out if r["k"] == "b"]
+    assert a[0]["vx"] is None and a[-1]["vx"] == pytest.approx(0.02, rel=0.2) and abs(a[-1]["vy"]) < 1e-3
+    assert all(r["vx"] is None for r in b)
+    assert np.isfinite(out[-1]["energy"])
+    flood = ordered_fold(spark.createDataFrame([("f", 0, [0.0] * 576), ("f", 50, [1.0] * 576)], "k string, t_ms bigint, px array<double>"), ["k"], ["t_ms"], gaze.motion_fold(24, 24, sure=9.0, contrast=6.0)).collect()
+    assert flood[1]["energy"] == pytest.approx(0.0, abs=1e-6)
+
+
+def test_pursuit_and_memory(spark):
+    def sal(x, y):
+        f = np.zeros((56, 56))
+        f[y, x] = 3.0
+        return f.ravel().tolist()
+
+    ddl = "k string, t_ms bigint, sal array<double>, bias array<double>, vx double, vy double, energy double"
+    steady = [("a", 50 * i, sal(20, 20), None, 0.01 if i < 30 else None, 0.0 if i < 30 else None, 0.5) for i in range(60)]
+    weak = [("b", 50 * i, sal(20, 20), None, 0.01, 0.0, 0.001) for i in range(20)]
+    out = ordered_fold(spark.createDataFrame(steady + weak, ddl), ["k"], ["t_ms"], gaze.gaze_fold(pursue=True)).orderBy("k", "t_ms").collect()
+    a, b = [r for r in out if r["k"] == "a"], [r for r in out if r["k"] == "b"]
+    kinds = [r["kind"] for r in a if r["kind"]]
+    assert kinds[0] == "pursuit" and "saccade" in kinds and kinds.index("saccade") == kinds.count("pursuit")
+    first = next(r["t_ms"] for r in a if r["kind"])
+    assert a[28]["at_x"] == pytest.approx(112.0 + 0.01 * (a[28]["t_ms"] - first)) and all(r["onset"] is None for r in a if r["kind"] == "pursuit")
+    assert {r["kind"] for r in b} == {None, "saccade"}
+    plain = ordered_fold(spark.createDataFrame(weak, ddl), ["k"], ["t_ms"], gaze.gaze_fold()).orderBy("t_ms").collect()
+    assert [tuple(r) for r in plain] == [tuple(r) for r in b]
+    kept = ordered_fold(spark.createDataFrame(weak, ddl), ["k"], ["t_ms"], gaze.gaze_fold(remember_ms=12_000.0)).orderBy("t_ms").collect()
+    assert len(kept) == len(plain) and all(0 <= r["at_x"] <= 224 for r in kept)

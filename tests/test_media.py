@@ -151,3 +151,56 @@ def test_seams(spark):
     base = lambda: lambda v: [(v, {"a b": -1.0, "": -2.0}.get(v))] if v is not None else []
     better = lambda: lambda v: [(v.upper(), -0.1)]
     assert rows(seams.two_tier(df, "id", "v", base, better), "id", "text", "tier") == [(1, "A B", "better"), (2, "", "base"), (3, "bad", "base")]
+
+
+def test_facts_whole_tracks_and_peaks(spark, tmp_path):
+    x = syn.tone_sequence([300.0, 600.0], 0.25, gap_s=0.05)
+    assert len(x) == int(0.6 * 16_000) and np.abs(x[4000:4800]).max() == 0.0
+    assert len(syn.tone_sequence([], 0.1)) == 0
+    (tmp_path / "a.wav").write_bytes(syn.wav_bytes(syn.placed(x, -1.0)))
+    (tmp_path / "bad.wav").write_bytes(b"no sound")
+    facts = {r["stream_id"]: r for r in files.wav_facts(spark, str(tmp_path)).collect()}
+    assert (facts["a"]["rate"], facts["a"]["channels"], facts["a"]["samples"], facts["a"]["error"]) == (16_000, 2, 9600, None)
+    assert facts["a"]["duration_s"] == pytest.approx(0.6) and facts["bad"]["error"] == "not a WAV file"
+    b = files.wav_blocks(spark, str(tmp_path), mono=False, on_error="skip")
+    assert files.whole_track(b, rate=16_000, block=800, seconds=0.6, slack_s=0.1).count() == b.count() == 24
+    for broken, why in ((b, "differ in length"), (b.filter("m <> 3"), "hole")):
+        with pytest.raises(Exception, match=why):
+            files.whole_track(broken, rate=16_000, block=800, seconds=0.6 if why == "hole" else 9.0).count()
+    loud = files.peak_normalised(b).groupBy("ch").agg(F.max(F.array_max("x")).alias("top"))
+    assert dict(rows(loud))[0] == pytest.approx(1.0) and dict(rows(loud))[1] == pytest.approx(0.0, abs=1e-3)
+    silent = b.withColumn("x", F.transform("x", lambda v: (v * 0).cast("float")))
+    assert files.peak_normalised(silent).agg(F.max(F.array_max("x"))).first()[0] == 0.0
+
+
+def test_scales_stay_in_step(spark, tmp_path):
+    frames = (syn.step_edge(5, 16, 3) * 255).astype(np.uint8)
+    (tmp_path / "v.raw").write_bytes(frames.tobytes() + b"torn")
+    raw = files.raw_frames(spark, str(tmp_path), 16, 16, 1, 10.0)
+    out = files.split_scales(raw, {"small": (4, 4), "tiny": (2, 2)}).orderBy("t_ms").collect()
+    assert [r["t_ms"] for r in out] == [0, 100, 200, 300, 400] and all(len(r["small"]) == 16 and len(r["tiny"]) == 4 for r in out)
+    assert out[4]["tiny"] == [0.0, 1.0, 0.0, 1.0] and max(out[0]["small"]) == 0.0
+    last = files.frame_at(raw.select("stream_id", "t_ms"), ["stream_id"], "t_ms", 250, slack=100)
+    assert rows(last) == [("v", 200)] and files.frame_at(raw.select("stream_id", "t_ms"), ["stream_id"], "t_ms", 9000, slack=100).count() == 0
+
+
+def test_frame_lookup_reaches_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("'s' as k", "id * 10 as t_ms", "id as x").write.parquet(str(tmp_path / "f"))
+    plan = files.frame_at(spark.read.parquet(str(tmp_path / "f")), ["k"], "t_ms", 500, slack=100)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(t_ms,500)" in plan and "GreaterThanOrEqual(t_ms,400)" in plan
+
+
+def test_broken_lines_are_kept(spark, tmp_path):
+    (tmp_path / "f.json").write_text('{"a": 1}\n{"a": \n{"a": 2, "b": 3}\n')
+    assert rows(files.json_lines(spark, str(tmp_path / "f.json"), "a int")) == [(1,), (2,)]
+    kept = files.json_lines(spark, str(tmp_path / "f.json"), "a int", broken="bad")
+    assert sorted((r["a"], r["bad"]) for r in kept.collect() if r["bad"] is None) == [(1, None), (2, None)] and [r["bad"] for r in kept.collect() if r["bad"]] == ['{"a": ']
+
+
+def test_provenance(tmp_path):
+    from chronoloom.sources import provenance as P
+
+    assert P.git_state(str(tmp_path)) == {"commit": None, "dirty": None}
+    a, b = P.provenance({"x": 1, "y": 2}, str(tmp_path)), P.provenance({"y": 2, "x": 1}, str(tmp_path))
+    assert a == b and len(a["config_hash"]) == 64
+    assert P.constants()["binder"]["n_shifts"] == 200 and P.constants()["eye"]["mad_to_sigma"] == 1.4826
