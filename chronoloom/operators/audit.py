@@ -74,10 +74,10 @@ def burstiness(df: DataFrame, keys: list[str], ms: str, widths_ms: dict[str, int
 
 
 def segment_correlation(a: DataFrame, b: DataFrame, keys: list[str], segment: str, at: list[str], value: str) -> DataFrame:
-    """(keys, segment, n, corr): Pearson correlation of two series over the points they share, per segment."""
+    """(keys, segment, n, corr): Pearson correlation of two series over the points they share, per segment; null where one is constant."""
     right = b.select(*keys, segment, *at, F.col(value).alias("__y"))
     j = a.select(*keys, segment, *at, F.col(value).alias("__x")).join(right, [*keys, segment, *at])
-    return j.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("n"), F.corr("__x", "__y").alias("corr"))
+    return j.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("__x", "__y"), F.stddev_pop("__x") * F.stddev_pop("__y")).alias("corr"))
 
 
 def span_share(spans: DataFrame, marks: DataFrame, keys: list[str], id: str, start: str, end: str, grid_ms: int) -> DataFrame:

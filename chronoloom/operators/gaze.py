@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,3 +259,52 @@ def gaze_fold(*, size: int = 56, scale: float = 4.0, per_px: float = 1.0, rate_h
         return [(row.t_ms, float(ix), float(iy), float(m[iy, ix]), *saccade, kind, *s["at"])]
 
     return Fold(init, step, "t_ms bigint, peak_x double, peak_y double, peak double, onset double, x double, y double, kind string, at_x double, at_y double")
+
+
+def change_trial(a: np.ndarray, b: np.ndarray, change: tuple[float, float], *, on_ms: int = 500, gap_ms: int = 200, most_cycles: int = 25, radius: float = 20.0, tick_ms: int = 25, after_ms: int = 120, left_ms: int = 80) -> tuple[bool, int]:
+    """(found, cycles) of a change-detection trial: two square scenes in turn, a blank between, watched by the closed loop.
+
+    The change at (x, y), in the gaze's px, is found when the eyes are within ``radius`` of it ``after_ms`` after the
+    second scene appears, or land there with ``left_ms`` of it still to come. A trial without that ends at
+    ``most_cycles`` (right-censored).
+    """
+    size = len(a)
+    see, look = vision_fold(size, size), gaze_fold(size=size)
+    seen, gaze = see.init(), look.init()
+    half = on_ms + gap_ms
+    blank, landing = np.full(a.shape, 0.5), None
+    near = lambda x, y: math.hypot(x - change[0], y - change[1]) <= radius
+    for t in range(0, most_cycles * 2 * half, tick_ms):
+        cycle, phase = t // (2 * half) + 1, t % (2 * half)
+        frame = a if phase < on_ms else b if half <= phase < half + on_ms else blank
+        salience = list(see.step(seen, SimpleNamespace(t_ms=t, px=frame.ravel())))[0][1]
+        row = list(look.step(gaze, SimpleNamespace(t_ms=t, sal=salience)))[0]
+        if landing is not None and t >= landing:
+            if half <= phase < half + on_ms - left_ms and near(*row[8:10]):
+                return True, cycle
+            landing = None
+        if row[4] is not None:
+            landing = row[4]
+        if phase == half + after_ms // tick_ms * tick_ms and near(*row[8:10]):
+            return True, cycle
+    return False, most_cycles
+
+
+def change_trials(df: DataFrame, id: str, size: int, **how) -> DataFrame:
+    """(id, found, cycles) of rows (id, a, b: arrays of size x size values, x, y); a row without a scene is left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(i, *change_trial(np.asarray(a, float).reshape(size, size), np.asarray(b, float).reshape(size, size), (x, y), **how)) for i, a, b, x, y in pdf.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["id", "found", "cycles"])
+
+    slim = df.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(id).alias("id"), "a", "b", "x", "y")
+    return slim.mapInPandas(run, f"id {df.schema[id].dataType.simpleString()}, found boolean, cycles int").withColumnRenamed("id", id)
+
+
+def steered(salience: np.ndarray, words: str, wanted: dict[str, tuple[float, float]], *, gain: float = 1.5, sigma: float = 8.0) -> np.ndarray:
+    """Salience with a bump at every known thing that the words name; things are {name: (column, row)}."""
+    height, width = salience.shape
+    yy, xx = np.mgrid[0:height, 0:width].astype(float)
+    said = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in words.lower()).split())} "
+    return salience + sum((gain * np.exp(-((xx - x) ** 2 + (yy - y) ** 2) / (2 * sigma * sigma)) for name, (x, y) in wanted.items() if f" {name.lower()} " in said), np.zeros_like(salience))

@@ -113,9 +113,9 @@ def rolling_looks(segments: DataFrame, keys: list[str], *, every_ms: int = 10_00
     """
     first = floor_div(F.col("end_ms") + F.lit(every_ms - 1), every_ms)
     last = floor_div(F.col("end_ms") + F.lit(span_ms - 1), every_ms)
-    spread = segments.filter("end_ms is not null").select(*keys, "start_ms", "end_ms", "words", F.explode(F.sequence(first, last)).alias("k"))
+    spread = segments.filter("end_ms is not null").select(*keys, "start_ms", "end_ms", "words", F.explode(F.sequence(first, last)).alias("__look"))
     packed = F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "words")))
-    return spread.groupBy(*keys, (F.col("k") * every_ms).alias("now_ms")).agg(packed.alias("segments"))
+    return spread.groupBy(*keys, (F.col("__look") * every_ms).alias("now_ms")).agg(packed.alias("segments"))
 
 
 def track_fold(*, radius: float = 10.0, lifetime_ms: int = 60_000, smooth: float = 0.5) -> Fold:

@@ -388,7 +388,7 @@ select event_id, case when sure then round(vx * 1e6, 4) end as vx, case when sur
     "dominant_frequency": f"with {_X} select label, count(*) as n, round(quantile_cont(50 * pow(160.0, (list_position(x, list_max(x)) - 0.5) / 64), 0.5), 4) as median_hz from x where label is not null group by 1",
     "phase_slopes": f"with {EV}, p as (select user_id, ms, fmod(value / 20 + ms / 4.0e7, {_TWO_PI}) as p from ev where event_type = 'view'), s as (select *, p - lag(p) over (partition by user_id order by ms, p) as d from p), "
     f"u as (select user_id, ms, sum(coalesce(d - {_TWO_PI} * round(d / {_TWO_PI}), 0)) over (partition by user_id order by ms, p rows unbounded preceding) as u from s) select user_id, count(*) as n, round(regr_slope(u, cast(ms - 1704067200000 as double)) * 1e9, 3) as slope from u group by 1",
-    "segment_correlation": f"with {EV}, c as (select event_type, ms // {10 * DAY} as seg, ms // {HOUR} as h, count(*) as n from ev group by 1, 2, 3) select a.seg, count(*) as n, round(corr(a.n, b.n), 6) as corr from c a join c b on a.event_type = 'click' and b.event_type = 'view' and a.h = b.h group by 1",
+    "segment_correlation": f"with {EV}, c as (select event_type, ms // {10 * DAY} as seg, ms // {HOUR} as h, count(*) as n from ev group by 1, 2, 3) select a.seg, count(*) as n, round(case when var_pop(a.n) > 0 and var_pop(b.n) > 0 then corr(a.n, b.n) end, 6) as corr from c a join c b on a.event_type = 'click' and b.event_type = 'view' and a.h = b.h group by 1",
     "span_shares": f"with {EV}, s as (select event_id, unnest(range(ms // {GRID}, greatest(ms + cast(round(value * 120000) as bigint) - 1, ms) // {GRID} + 1)) as m from ev where event_type = 'click'), v as (select distinct ms // {GRID} as m from ev where event_type = 'view') "
     "select event_id, count(*) as moments, count(v.m) as marked, round(count(v.m) / count(*), 6) as share from s left join v on s.m = v.m group by 1",
     "onsets_with_floor": _floor_sql(),

@@ -127,3 +127,26 @@ def test_pursuit_and_memory(spark):
     assert [tuple(r) for r in plain] == [tuple(r) for r in b]
     kept = ordered_fold(spark.createDataFrame(weak, ddl), ["k"], ["t_ms"], gaze.gaze_fold(remember_ms=12_000.0)).orderBy("t_ms").collect()
     assert len(kept) == len(plain) and all(0 <= r["at_x"] <= 224 for r in kept)
+
+
+def test_change_detection(spark):
+    from chronoloom.sources import synthetic as syn
+
+    plain = np.full((56, 56), 0.5)
+    dot = plain.copy()
+    dot[24:30, 34:40] = 1.0
+    found, cycles = gaze.change_trial(plain, dot, (37 * 4, 27 * 4), most_cycles=8)
+    assert found and cycles <= 8
+    assert gaze.change_trial(plain, plain, (500.0, 500.0), most_cycles=2) == (False, 2)
+    a, b = syn.flicker_pair(56, 3)
+    df = spark.createDataFrame([(1, a.ravel().tolist(), b.ravel().tolist(), 10.0, 10.0), (2, None, b.ravel().tolist(), 1.0, 1.0), (3, plain.ravel().tolist(), dot.ravel().tolist(), 148.0, 108.0)], "id bigint, a array<double>, b array<double>, x double, y double")
+    got = {r["id"]: (r["found"], r["cycles"]) for r in gaze.change_trials(df, "id", 56, most_cycles=3).collect()}
+    assert set(got) == {1, 3} and got[1] == gaze.change_trial(a, b, (10.0, 10.0), most_cycles=3) and got[3][1] <= 3
+
+
+def test_steering_by_words():
+    flat = np.zeros((20, 20))
+    things = {"red lamp": (5, 12), "gate": (15, 3)}
+    peak = lambda x: divmod(int(x.argmax()), 20)[::-1]
+    assert peak(gaze.steered(flat, "find the Red  lamp, please", things)) == (5, 12)
+    assert not gaze.steered(flat, "the lamp", things).any() and peak(gaze.steered(flat, "gate!", things)) == (15, 3)
