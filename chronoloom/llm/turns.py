@@ -23,7 +23,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -320,7 +320,7 @@ def _pair(kind: str, a: str, b: str) -> str:
 
 
 def features(lexicon: Lexicon, batch: Batch, i: int) -> list[list[str]]:
-    """The features of each token of the batch's text ``i``, spelled out (training only)."""
+    """The features of each token of the batch's text ``i``, spelled out."""
     a, b = int(batch.begin[i]), int(batch.begin[i + 1])
     rows = [lexicon.rows[k] for k in batch.ids[a:b]]
     out = []
@@ -336,6 +336,38 @@ def features(lexicon: Lexicon, batch: Batch, i: int) -> list[list[str]]:
     return out
 
 
+def feature_numbers(lexicon: Lexicon, batch: Batch, names: dict[str, int]) -> np.ndarray:
+    """What features() spells out for every token of the batch, as numbers that ``names`` is extended by."""
+    number = lambda x: names.setdefault(x, len(names))
+    rows, ids, n = lexicon.rows, batch.ids, len(batch.ids)
+    own = np.array([[number(x) for x in r.own] for r in rows])
+    prior = np.array([[number(f"-{x}") for x in r.beside] for r in rows])
+    later = np.array([[number(f"+{x}") for x in r.beside] for r in rows])
+    place = np.arange(n)
+    begin, end = np.repeat(batch.begin[:-1], batch.sizes), np.repeat(batch.begin[1:], batch.sizes)
+
+    def beside(table: np.ndarray, by: int, edge: str) -> np.ndarray:
+        inside = (place + by >= begin) & (place + by < end)
+        none = np.array([number(edge)] + [-1] * (table.shape[1] - 1))
+        return np.where(inside[:, None], table[ids[np.where(inside, place + by, 0)]], none)
+
+    kinds = sorted({r.kind for r in rows})
+    kind = np.searchsorted(kinds, [r.kind for r in rows])[ids]
+    at = lambda by: np.where((place + by >= begin) & (place + by < end), kind[np.clip(place + by, 0, n - 1)], len(kinds))
+    spelled = [*kinds, ""]
+
+    def pairs(a: np.ndarray, b: np.ndarray, say: Callable[[int, int], str]) -> np.ndarray:
+        code = a * (len(kinds) + 1) + b
+        met, back = np.unique(code, return_inverse=True)
+        return np.array([number(say(*divmod(int(c), len(kinds) + 1))) for c in met])[back][:, None]
+
+    return np.concatenate((
+        own[ids], pairs(batch.inside, kind, lambda x, y: _pair("in", str(x), spelled[y])), pairs(batch.place, kind, lambda x, y: _pair("at", str(x), spelled[y])),
+        pairs(batch.inside, kind, lambda x, y: _pair("in2", str(x), spelled[y][1:-1])), beside(prior, -1, "-start"), beside(later, 1, "+end"),
+        pairs(at(-1), kind, lambda x, y: _pair("-k", spelled[x], spelled[y])), pairs(kind, at(1), lambda x, y: _pair("+k", spelled[x], spelled[y])), pairs(kind, at(2), lambda x, y: _pair("+2k", spelled[x], spelled[y])),
+    ), axis=1)
+
+
 def viterbi(scores: np.ndarray, begin: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """The best tag of every token, all sequences at once; of equal ones the smaller tag."""
     n, sizes = len(TAGS), np.diff(begin)
@@ -472,11 +504,14 @@ def train(rows: list[tuple[str, list[str]]], roster: Roster, epochs: int = 10, a
     Weights change after every ``at_once`` lines; the result is the mean of all weights met on the way.
     """
     first = {"s": SPEAKER, "t": TIMESTAMP, "a": ANNOTATION, "f": FILLER, "z": SPEECH}
-    lines: list[tuple[list[list[str]], list[int]]] = []
+    names: dict[str, int] = {}
+    lines: list[tuple[np.ndarray, np.ndarray]] = []  # features and tags of a line
 
     def take(lexicon: Lexicon, data: list[tuple[list[str], list[int]]]) -> None:
-        batch = lexicon.batch([[x.translate(_DIGITS) for x in toks] for toks, _ in data])
-        lines.extend((features(lexicon, batch, i), gold) for i, (_, gold) in enumerate(data))
+        if data:
+            batch = lexicon.batch([[x.translate(_DIGITS) for x in toks] for toks, _ in data])
+            every = feature_numbers(lexicon, batch, names)
+            lines.extend((every[a:b], np.array(g)) for a, b, (_, g) in zip(batch.begin.tolist(), batch.begin[1:].tolist(), data))
 
     take(Lexicon(Roster.of([(1, "Operator"), (2, "Sound Desk")])), [([a for a, _ in line], [first[b] for _, b in line]) for line in seed_lines()])
     own = [(tokens(text), gold) for text, words in rows if (gold := self_label(text, words, roster)) is not None]
@@ -486,9 +521,7 @@ def train(rows: list[tuple[str, list[str]]], roster: Roster, epochs: int = 10, a
     take(Lexicon(roster), [([a for a, _ in line], [first[b] for _, b in line]) for line in composed_lines(spoken, roster, composed)])
     lines = [lines[k] for k in np.argsort([k * 0.6180339887498949 % 1.0 for k in range(len(lines))], kind="stable")]  # mixed evenly
 
-    names: dict[str, int] = {}
-    ids = [np.array([[names.setdefault(x, len(names)) for x in f] + [-1] * (32 - len(f)) for f in feats]) for feats, _ in lines]
-    gold = [np.array(g) for _, g in lines]
+    ids, gold = [f for f, _ in lines], [g for _, g in lines]
     n = len(TAGS)
     w, total = np.zeros((len(names) + 1, n)), np.zeros((len(names) + 1, n))  # the last row stands for "no feature"
     steps, step_total = np.zeros((n + 1, n)), np.zeros((n + 1, n))

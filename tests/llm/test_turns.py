@@ -76,8 +76,12 @@ def test_tables_give_the_same_scores_as_spelled_out_features(tagger, roster):
     texts = [[x.translate(T._DIGITS) for x, _ in line] for line in T.composed_lines([["so", "it", "goes"]], roster, 60)]
     batch = lexicon.batch(texts)
     scores = tagger.scores(lexicon, batch)
+    names = {}
+    numbers = T.feature_numbers(lexicon, batch, names)
+    said = {n: x for x, n in names.items()}
     for i in range(len(texts)):
         for k, f in enumerate(T.features(lexicon, batch, i)):
+            assert sorted(f) == sorted(said[n] for n in numbers[batch.begin[i] + k] if n >= 0)
             assert scores[batch.begin[i] + k] == pytest.approx(tagger._sum(f))
 
 
