@@ -91,7 +91,7 @@ def key_marks(df: DataFrame, key: str, columns: list[str], tolerances: dict[str,
 def _place(key: str) -> tuple[Column, Column]:
     """The word and the bit of a key in a map of 2**24 bits."""
     h = F.xxhash64(F.lit(29), F.col(key))
-    return F.shiftrightunsigned(h, 46).alias("word"), h.bitwiseAND(F.lit(63).cast("bigint")).cast("int")
+    return F.shiftrightunsigned(h, 46).alias("__word"), h.bitwiseAND(F.lit(63).cast("bigint")).cast("int").alias("__bit")
 
 
 def _differs(name: str, tolerance: float | None) -> Column:
@@ -159,13 +159,13 @@ def table_diff(
     needed = [(i, c) for i, c in enumerate(columns) if used >> i & 1]  # only these are read again
     word, bit = _place("key")
     # Never more than 2**18 rows of two longs, however many keys differ.
-    bits = F.broadcast(asked.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+    bits = F.broadcast(asked.select(word, bit).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits")))
 
     def part(df: DataFrame) -> DataFrame:
         word, bit = _place(key)
         mask = mask_of(masks, key)
         own = [F.when(F.getbit(mask, F.lit(i)) == 1, F.col(c)).alias(c) for i, c in needed]
-        return df.select(F.col(key), *own, word, bit.alias("bit")).join(bits, "word").filter("getbit(bits, bit) = 1").drop("word", "bit", "bits").distinct()
+        return df.select(F.col(key), *own, word, bit).join(bits, "__word").filter("getbit(__bits, __bit) = 1").drop("__word", "__bit", "__bits").distinct()
 
     joined = part(left).alias("x").join(part(right).alias("y"), F.col(f"x.{key}") == F.col(f"y.{key}"))
     issues = F.filter(F.array(*[F.when(_differs(c, tolerances.get(c)), F.lit(c)) for _, c in needed] or [F.lit(None).cast("string")]), lambda i: i.isNotNull())

@@ -87,3 +87,12 @@ def test_rows_move_only_behind_the_map_of_keys(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert rows(out) == [(77, "a")]
     assert "getbit" in plan
+
+
+def test_columns_named_like_the_operators_own(spark):
+    ddl = "key bigint, word string, bit int, bucket bigint, low bigint, h3 string, x bigint, y bigint, other string, issue string"
+    left = [(i, f"w{i}", i, 1, None, "h", i, i, "o", "i") for i in range(50)]
+    right = [(*r[:1], *(["W"] if r[0] == 7 else [r[1]]), r[2] + (r[0] == 9), *r[3:6], r[6], r[7], r[8], "I" if r[0] == 3 else r[9]) for r in left]
+    names = ["word", "bit", "bucket", "low", "h3", "x", "y", "other", "issue"]
+    out = table_diff(spark.createDataFrame(left, ddl), spark.createDataFrame(right, ddl), "key", names, buckets=4)
+    assert rows(out.toDF("k", "i")) == [(3, "issue"), (7, "word"), (9, "bit")]
