@@ -8,10 +8,12 @@ between micro-batches (see chronoloom.streaming.stateful).
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,22 @@ def _none(v: Any) -> Any:
     return None if v is pd.NaT or (isinstance(v, float) and v != v) else v
 
 
+def values(column: pd.Series) -> list:
+    """A batch's column as plain values, None for null and NaN."""
+    if column.dtype.kind in "iub":
+        return column.tolist()
+    if column.dtype.kind == "f":
+        out = column.tolist()
+        for i in np.flatnonzero(np.isnan(column.to_numpy())).tolist():
+            out[i] = None
+        return out
+    return [_none(v) for v in column.tolist()]
+
+
+def row_type(names: list[str]) -> type:
+    return namedtuple("Row", names, rename=True)
+
+
 def frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
     """Rows as a frame whose columns keep nulls apart from NaN-coerced integers."""
     columns = list(zip(*rows)) if rows else [()] * len(schema)
@@ -49,11 +67,12 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold) -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
+        make = row_type(names)._make
+        at = [names.index(k) for k in keys]
         for pdf in batches:
             rows: list[tuple] = []
-            columns = [[_none(v) for v in pdf[c].tolist()] for c in names]
-            for row in pd.DataFrame(dict(zip(names, [pd.Series(c, dtype=object) for c in columns]))).itertuples(index=False, name="Row"):
-                key = tuple(getattr(row, k) for k in keys)
+            for row in map(make, zip(*(values(pdf[c]) for c in names))):
+                key = tuple(row[i] for i in at)
                 if key != current:
                     if current is not None and fold.flush:
                         rows += [current + tuple(x) for x in fold.flush(state)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronoloom.operators.fold import Fold, _none, frame
+from chronoloom.operators.fold import Fold, frame, row_type, values
 
 
 def stream_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold, *, idle_ms: int | None = None) -> DataFrame:
@@ -31,8 +31,7 @@ def stream_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold, *,
             yield frame([key + tuple(x) for x in fold.flush(state)] if fold.flush else [], out)
             return
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-        columns = {c: pd.Series([_none(v) for v in pdf[c].tolist()], dtype=object) for c in names}
-        rows = [key + tuple(x) for row in pd.DataFrame(columns).itertuples(index=False, name="Row") for x in fold.step(state, row)]
+        rows = [key + tuple(x) for row in map(row_type(names)._make, zip(*(values(pdf[c]) for c in names))) for x in fold.step(state, row)]
         group.update((pickle.dumps(state),))
         if idle_ms:
             group.setTimeoutDuration(idle_ms)
