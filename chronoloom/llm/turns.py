@@ -39,7 +39,10 @@ TAGS = ("speaker", "timestamp", "annotation", "filler", "speech")
 SPEAKER, TIMESTAMP, ANNOTATION, FILLER, SPEECH = range(5)
 
 # Number words that a speaker label may use.
-NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty").split()
+UNITS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen").split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBERS = {w: n for n, w in enumerate(UNITS)} | {t: 10 * k for k, t in enumerate(TENS, 2)} | {f"{t} {u}": 10 * k + n for k, t in enumerate(TENS, 2) for n, u in enumerate(UNITS[:10]) if n}
+NUMBER_PARTS = frozenset([*UNITS, *TENS])
 # Parts of hand-labelled lines. A body's tokens carry the first letter of their tag, z for speech.
 LABEL_FORMS = ("", "Operator:", "**Operator:**", ">> OPERATOR:", "[Operator]", "(Operator)", "<operator>", "operator -", "Operator. :", "Operator ：", "S1:", "SPK_01:", "Speaker 1:", "speaker one:", "Oprator:", "Sound Desk:", "**Sound Desk:**", ">> SOUND DESK:", "[Sound Desk]", "(Sound Desk)", "<sound_desk>", "sound desk -", "Sound-Desk. :", "Sound Desk ：", "Sond Desk:")
 CLOCK_FORMS = ("", "[00:00:45]", "(00:53)", "<00:55.8>", "1:24", "00:00:24.986 --> 00:00:26.986")
@@ -79,6 +82,7 @@ def composed_lines(bodies: list[list[str]], roster: Roster, n: int) -> list[list
     """
     rng = random.Random(20261014)
     names = sorted(roster.titles.items()) or [(0, "Nobody")]
+    spelled_number = {n: w for w, n in NUMBERS.items()}
     plain = [w for body in bodies for w in body] or ["well"]
     parts = sorted(roster.parts) or ["well"]
     out = []
@@ -104,7 +108,7 @@ def composed_lines(bodies: list[list[str]], roster: Roster, n: int) -> list[list
         label = rng.choice(NAME_FORMS)
         spelled = typo(name) if rng.random() < 0.2 else name
         low = spelled.lower()
-        head = label.format(n=spelled, u=spelled.upper(), s=low, l=low.replace(" ", "_"), h=spelled.replace(" ", "-"), i=i, w=NUMBER_WORDS[i] if 0 <= i < len(NUMBER_WORDS) else i)
+        head = label.format(n=spelled, u=spelled.upper(), s=low, l=low.replace(" ", "_"), h=spelled.replace(" ", "-"), i=i, w=spelled_number.get(i, i))
         lead = [(x, "s") for x in head.split()] if roster.meant(head) is not None and rng.random() < 0.7 else []
         clock = [(x, "t") for x in rng.choice(CLOCK_FORMS).split()] if rng.random() < 0.5 else []
         line = lead + clock if rng.random() < 0.3 else clock + lead
@@ -184,8 +188,8 @@ class Roster:
     def _meant(self, label: str) -> int | None:
         if label in self.names:
             return self.names[label]
-        if m := re.fullmatch(r"(?:s|spk|speaker) ?(\d{1,9}|[a-z]+)", label):
-            n = int(m[1]) if m[1].isdecimal() else (NUMBER_WORDS.index(m[1]) if m[1] in NUMBER_WORDS else -1)
+        if m := re.fullmatch(r"(?:s|spk|speaker)(?: ?(\d{1,9})| ([a-z]+(?: [a-z]+)?))", label):
+            n = int(m[1]) if m[1] else NUMBERS.get(m[2], -1)
             return n if n in self.ids else None
         near = {i for n, i in self.names.items() if len(n) > 3 and _one_edit(label, n)}
         return near.pop() if len(near) == 1 else None
@@ -246,7 +250,7 @@ def seen(tok: str, roster: Roster) -> Seen:
         known = "name"
     elif bare and head in ("s", "spk", "speaker"):
         known = "spk0" if head != bare.replace("_", "") else "spk"
-    elif bare in NUMBER_WORDS:
+    elif parts and all(p in NUMBER_PARTS for p in parts):
         known = "number"
     elif len(bare) > 1 and not _less_one(bare).isdisjoint(roster.near):
         known = "near"

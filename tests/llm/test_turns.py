@@ -6,7 +6,7 @@ import pytest
 from chronoloom.llm import turns as T
 from tests.conftest import rows
 
-ROSTER = [(1, "Operator"), (2, "Narrator"), (5, "Gallery Guide"), (12, "Sound Desk")]
+ROSTER = [(1, "Operator"), (2, "Narrator"), (5, "Gallery Guide"), (12, "Sound Desk"), (21, "Late Guest")]
 SEG = "run_id bigint, seg_id bigint, start_s double, text string, words array<struct<start:double,end:double,word:string,prob:double>>, speaker_id string, block string"
 
 
@@ -22,7 +22,7 @@ def tagger(roster):
 
 @pytest.mark.parametrize(
     "label,want",
-    [("Operator:", 1), ("opertor", 1), ("S12", 12), ("SPK_02", 2), ("speaker five", 5), ("Speaker 12:", 12), ("<sound_desk>", 12), ("Gallery-Guide. :", 5), ("S3", None), ("note", None), ("", None), ("speaker stack", None)],
+    [("Operator:", 1), ("opertor", 1), ("S12", 12), ("SPK_02", 2), ("speaker five", 5), ("Speaker 12:", 12), ("<sound_desk>", 12), ("Gallery-Guide. :", 5), ("S3", None), ("note", None), ("", None), ("speaker stack", None), ("speaker twenty-one:", 21), ("Speaker twenty two", None)],
 )
 def test_labels(roster, label, want):
     assert roster.meant(label) == want
