@@ -3,7 +3,7 @@
 Left events choose in order of falling strength; each takes the nearest free right event at most W
 away, of equally near ones the later in input order. An event's pair depends on the stronger left
 events within 2 W of it, so the merged streams are walked in time blocks with a halo (see settle), however
-dense they are.
+dense they are. Rotated copies of a stream are matched without being written out (see rotation).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from chronoloom.functions.chance import grid_rate, poisson_rate
+from chronoloom.operators.rotation import rotated_counts
 from chronoloom.operators.settle import CHOSEN, GONE, NOTHING, OPEN, settle
 
 def _root(up: list[int], i: int, step: int) -> int:
@@ -91,6 +92,13 @@ def _match(window: int):
     return walk
 
 
+def _usable(df: DataFrame, keys: list[str], id: str, at: str, strength: str) -> DataFrame:
+    out = df.select(*keys, F.col(id).cast("bigint").alias("id"), F.col(at).cast("bigint").alias("ms"), F.col(strength).cast("double").alias("strength"))
+    for c in (*keys, "id", "ms"):
+        out = out.filter(F.col(c).isNotNull())
+    return out
+
+
 def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], window_ms: int, *, id: str = "id", at: str = "ms", strength: str = "strength", block_ms: int | None = None) -> DataFrame:
     """(keys, left_id, right_id, left_ms, right_ms, dt_ms, strengths): each event in at most one pair.
 
@@ -98,12 +106,7 @@ def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], window_ms:
     part; repeated rows are one event. Empty sides give no pairs. Runs a job per round of settle.
     """
 
-    def side(df: DataFrame, which: int) -> DataFrame:
-        out = df.select(*keys, F.col(id).cast("bigint").alias("id"), F.col(at).cast("bigint").alias("ms"), F.col(strength).cast("double").alias("strength"), F.lit(which).alias("side"))
-        for c in (*keys, "id", "ms"):
-            out = out.filter(F.col(c).isNotNull())
-        return out.distinct()
-
+    side = lambda df, which: _usable(df, keys, id, at, strength).withColumn("side", F.lit(which)).distinct()
     both = side(left, 0).unionByName(side(right, 1))
     made = settle(both, keys, ["side", "id"], "ms", window_ms, _match(window_ms), "right_id bigint, right_ms bigint, right_strength double", block=block_ms)
     return made.select(*keys, F.col("id").alias("left_id"), "right_id", F.col("ms").alias("left_ms"), "right_ms", F.col("strength").alias("left_strength"), "right_strength", (F.col("ms") - F.col("right_ms")).alias("dt_ms"))
@@ -170,28 +173,28 @@ def shifted(right: DataFrame, shifts: list[int], duration_ms: int, *, at: str =
     return spread.withColumn("shift_id", F.col("__s.i")).withColumn(at, F.pmod(F.col(at) + F.col("__s.s"), F.lit(duration_ms).cast("bigint"))).drop("__s")
 
 
-def shift_null(left: DataFrame, right: DataFrame, window_ms: int, *, grid_ms: int, duration_ms: int, tight_ms: int = 50, n_shifts: int = 200, seed: int = 20261014, margin_ms: int = 10_000, id: str = "id", at: str = "ms", strength: str = "strength") -> DataFrame:
+def shift_null(left: DataFrame, right: DataFrame, window_ms: int, *, grid_ms: int, duration_ms: int, tight_ms: int = 50, n_shifts: int = 200, seed: int = 20261014, margin_ms: int = 10_000, id: str = "id", at: str = "ms", strength: str = "strength", slab: int = 1_500_000, halo_ms: int | None = None) -> DataFrame:
     """(statistic, observed, null_mean, null_sd, null_p5, null_p95, percentile, available).
 
     The right stream is rotated by seeded multiples of the grid and matched again by the same greedy
-    matcher; statistics are the bound rate, the tight rate, the count of dt = 0 and the mean |dt|.
-    Undefined cases give rows with available = false and nulls.
+    rule, some ``slab`` events in a task (see rotation); statistics are the bound rate, the tight rate, the
+    count of dt = 0 and the mean |dt|. Undefined cases give rows with available = false and nulls.
     """
     names = ["bound_rate", "tight_rate", "dt0_count", "mean_abs_dt"]
     spark = left.sparkSession
     shifts = null_shifts(duration_ms, grid_ms, n_shifts, seed, margin_ms) if duration_ms > 0 else None
-    n_left = left.count()
-    if not shifts or not n_left or right.isEmpty():
+    n_left, n_right = left.count(), right.count()
+    if not shifts or not n_left or not n_right:
         return spark.createDataFrame([(n, None, None, None, None, None, None, False) for n in names], "statistic string, observed double, null_mean double, null_sd double, null_p5 double, null_p95 double, percentile double, available boolean")
-    # Shift -1 is the observed arrangement.
-    rotated = shifted(right, shifts, duration_ms, at=at).unionByName(right.withColumn("shift_id", F.lit(-1)))
-    copies = left.withColumn("shift_id", F.explode(F.sequence(F.lit(-1), F.lit(len(shifts) - 1))))
-    pairs = greedy_pairs(copies, rotated, ["shift_id"], window_ms, id=id, at=at, strength=strength)
     away = F.abs("dt_ms")
-    runs = spark.range(-1, len(shifts)).select(F.col("id").cast("int").alias("shift_id"))
-    got = pairs.groupBy("shift_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(away <= tight_ms).alias("t"), F.count_if(away == 0).alias("z"), F.avg(away).alias("mean_abs_dt"))
-    stats = runs.join(got, "shift_id", "left").select(
-        "shift_id", (F.coalesce("n", F.lit(0)) / n_left).alias("bound_rate"), (F.coalesce("t", F.lit(0)) / n_left).alias("tight_rate"), F.coalesce("z", F.lit(0)).cast("double").alias("dt0_count"), "mean_abs_dt",
+    pairs = greedy_pairs(left, right, [], window_ms, id=id, at=at, strength=strength)
+    seen = pairs.agg(F.count(F.lit(1)), F.count_if(away <= tight_ms), F.count_if(away == 0), F.coalesce(F.sum(away), F.lit(0))).first()
+    sides = [_usable(df, [], id, at, strength) for df in (left, right)]
+    counts = rotated_counts(*sides, shifts, window_ms, duration=duration_ms, tight=tight_ms, slabs=-(-(n_left + n_right) // slab), halo=halo_ms or max(1, 24 * window_ms))
+    # Shift -1 is the observed arrangement.
+    got = spark.createDataFrame([(-1, *seen), *[(i, *counts.get(s, (0, 0, 0, 0))) for i, s in enumerate(shifts)]], "shift_id int, n bigint, t bigint, z bigint, away bigint")
+    stats = got.select(
+        "shift_id", (F.col("n") / n_left).alias("bound_rate"), (F.col("t") / n_left).alias("tight_rate"), F.col("z").cast("double").alias("dt0_count"), F.when(F.col("n") > 0, F.col("away") / F.col("n")).alias("mean_abs_dt"),
     )
     long = stats.select("shift_id", F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).alias("v")) for n in names])).alias("x")).select("shift_id", "x.statistic", "x.v")
     seen = long.filter("shift_id = -1").select("statistic", F.col("v").alias("observed"))

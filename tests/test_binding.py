@@ -136,3 +136,37 @@ def test_one_unbroken_stream(spark):
             want.add((i, -min(near)[1]))
             free.discard(-min(near)[1])
     assert got == want
+
+
+def test_null_moves_streams_once_per_group_of_shifts(spark, monkeypatch):
+    """Disk was the streams once per shift: written, sorted and kept for all 201 arrangements."""
+    from chronoloom.operators import binding, rotation
+
+    moved, matched = [], binding.greedy_pairs
+    monkeypatch.setattr(binding, "greedy_pairs", lambda left, right, *a, **k: (moved.append(left.count() + right.count()), matched(left, right, *a, **k))[1])
+    events = [(i * 1.7 % 29, float(i % 5)) for i in range(300)]
+    left, right = side(spark, events), side(spark, [(t + 0.3, s) for t, s in events])
+    assert shift_null(left, right, 250, grid_ms=50, duration_ms=30_000, margin_ms=1_000).count() == 4
+    assert moved == [600] and rotation._GROUPS < 20
+
+
+@pytest.mark.parametrize("kind", ["ties", "falling", "dense", "copies"])
+@pytest.mark.parametrize("slabs", [1, 5])
+def test_rotated_counts_against_one_walk(spark, kind, slabs):
+    from chronoloom.operators.rotation import rotated_counts
+
+    rng = random.Random(kind)
+    duration, n, window, step = 6000, 260, 25, {"ties": 5, "copies": 40}.get(kind, 1)
+    strength = {"ties": lambda i: rng.choice([None, 0.0, 1.0, 2.0]), "falling": lambda i: 1000.0 - i, "dense": lambda i: rng.random(), "copies": lambda i: float(i % 7)}[kind]
+    span = 700 if kind == "dense" else duration
+    left = [(t, strength(i)) for i, t in enumerate(sorted(rng.randrange(-60, span + 60) // step * step for _ in range(n)))]
+    right = [(rng.randrange(0, span) // step * step, None) for _ in range(n)]
+    frame = lambda ev: spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(ev)] * 2, "id bigint, ms bigint, strength double")
+    shifts = [0, 40, 995, 995, 3000, 5960]
+    got = rotated_counts(frame(left), frame(right), shifts, window, duration=duration, tight=5, slabs=slabs, halo=60)
+    ranked = [(t, float("-inf") if s is None else s) for t, s in left]
+    for s in shifts:
+        turned = [((t + s) % duration, None) for t, _ in right]
+        away = [abs(left[i][0] - turned[j][0]) for i, j in brute(ranked, turned, window)]
+        assert got[s] == (len(away), sum(d <= 5 for d in away), away.count(0), sum(away))
+    assert set(got) == set(shifts)
