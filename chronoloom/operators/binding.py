@@ -12,6 +12,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from chronoloom.functions.chance import grid_rate, poisson_rate
@@ -183,16 +184,21 @@ def shift_null(left: DataFrame, right: DataFrame, window_ms: int, *, grid_ms: in
     names = ["bound_rate", "tight_rate", "dt0_count", "mean_abs_dt"]
     spark = left.sparkSession
     shifts = null_shifts(duration_ms, grid_ms, n_shifts, seed, margin_ms) if duration_ms > 0 else None
-    n_left, n_right = left.count(), right.count()
+    when = F.col(at).cast("bigint")
+    n_left, (n_right, first, last) = left.count(), right.agg(F.count(F.lit(1)), F.min(when), F.max(when)).first()
     if not shifts or not n_left or not n_right:
         return spark.createDataFrame([(n, None, None, None, None, None, None, False) for n in names], "statistic string, observed double, null_mean double, null_sd double, null_p5 double, null_p95 double, percentile double, available boolean")
-    away = F.abs("dt_ms")
-    pairs = greedy_pairs(left, right, [], window_ms, id=id, at=at, strength=strength)
-    seen = pairs.agg(F.count(F.lit(1)), F.count_if(away <= tight_ms), F.count_if(away == 0), F.coalesce(F.sum(away), F.lit(0))).first()
+    # Unless rights lie outside 0 .. duration, the observed arrangement is shift 0.
+    inside = first is not None and first >= 0 and last < duration_ms
     sides = [_usable(df, [], id, at, strength) for df in (left, right)]
-    counts = rotated_counts(*sides, shifts, window_ms, duration=duration_ms, tight=tight_ms, slabs=-(-(n_left + n_right) // slab), halo=halo_ms or max(1, 24 * window_ms))
+    counts = rotated_counts(*sides, [*shifts, *[0] * inside], window_ms, duration=duration_ms, tight=tight_ms, slabs=-(-(n_left + n_right) // slab), halo=halo_ms or max(1, 24 * window_ms))
+    if not inside:
+        away = F.abs("dt_ms")
+        pairs = greedy_pairs(left, right, [], window_ms, id=id, at=at, strength=strength)
+        counts[None] = tuple(pairs.agg(F.count(F.lit(1)), F.count_if(away <= tight_ms), F.count_if(away == 0), F.coalesce(F.sum(away), F.lit(0))).first())
+    runs = [0 if inside else None, *shifts]
     # Shift -1 is the observed arrangement.
-    got = spark.createDataFrame([(-1, *seen), *[(i, *counts.get(s, (0, 0, 0, 0))) for i, s in enumerate(shifts)]], "shift_id int, n bigint, t bigint, z bigint, away bigint")
+    got = spark.createDataFrame(pa.Table.from_pylist([{"shift_id": i - 1} | dict(zip(("n", "t", "z", "away"), counts.get(s, (0, 0, 0, 0)))) for i, s in enumerate(runs)]))
     stats = got.select(
         "shift_id", (F.col("n") / n_left).alias("bound_rate"), (F.col("t") / n_left).alias("tight_rate"), F.col("z").cast("double").alias("dt0_count"), F.when(F.col("n") > 0, F.col("away") / F.col("n")).alias("mean_abs_dt"),
     )

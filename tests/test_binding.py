@@ -139,15 +139,21 @@ def test_one_unbroken_stream(spark):
 
 
 def test_null_moves_streams_once_per_group_of_shifts(spark, monkeypatch):
-    """Disk was the streams once per shift: written, sorted and kept for all 201 arrangements."""
-    from chronoloom.operators import binding, rotation
+    """Both streams were written, sorted and kept once for each of the 201 arrangements."""
+    from chronoloom.operators import binding
 
     moved, matched = [], binding.greedy_pairs
     monkeypatch.setattr(binding, "greedy_pairs", lambda left, right, *a, **k: (moved.append(left.count() + right.count()), matched(left, right, *a, **k))[1])
     events = [(i * 1.7 % 29, float(i % 5)) for i in range(300)]
-    left, right = side(spark, events), side(spark, [(t + 0.3, s) for t, s in events])
-    assert shift_null(left, right, 250, grid_ms=50, duration_ms=30_000, margin_ms=1_000).count() == 4
-    assert moved == [600] and rotation._GROUPS < 20
+    left, right, late = side(spark, events), side(spark, [(t + 0.3, s) for t, s in events]), side(spark, [(t + 3, s) for t, s in events])
+    null = lambda r: {x["statistic"]: x for x in shift_null(left, r, 250, grid_ms=50, duration_ms=30_000, margin_ms=1_000).collect()}
+    inside = null(right)
+    assert moved == []
+    outside = null(late)  # rights beyond the duration are matched where they lie
+    assert moved == [600]
+    for got, r in ((inside, right), (outside, late)):
+        pairs = matched(left, r, ["k"], 250).select(F.count(F.lit(1)).alias("n"), F.avg(F.abs("dt_ms")).alias("a")).first()
+        assert (got["bound_rate"]["observed"], got["mean_abs_dt"]["observed"]) == (pairs["n"] / 300, pytest.approx(pairs["a"]))
 
 
 @pytest.mark.parametrize("kind", ["ties", "falling", "dense", "copies"])
@@ -170,3 +176,5 @@ def test_rotated_counts_against_one_walk(spark, kind, slabs):
         away = [abs(left[i][0] - turned[j][0]) for i, j in brute(ranked, turned, window)]
         assert got[s] == (len(away), sum(d <= 5 for d in away), away.count(0), sum(away))
     assert set(got) == set(shifts)
+    far = frame([(10 * duration, 1.0)])
+    assert rotated_counts(far, far.limit(0), shifts, window, duration=duration, tight=5, slabs=slabs, halo=60) == {}
